@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.llm import leakage, nearest, spans
+from marlinspike.llm import leakage, nearest, neardup, spans
 from marlinspike.plans.workspace import Workspace
 
 
@@ -25,6 +25,23 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_chars", "shared_chars", "shared_part", F.to_json("stretches").alias("stretches"))
 
 
+def _near(spark: SparkSession, d: str, ws: Workspace) -> list[tuple[str, DataFrame, DataFrame]]:
+    bodies = spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))
+    titles = spark.read.parquet(f"{d}/notes.parquet").select("id", F.col("title").alias("text"))
+    return [("chunks.body", *neardup.near_duplicates(bodies, neardup.BODIES, ws)), ("notes.title", *neardup.near_duplicates(titles, neardup.TITLES, ws))]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    out = [spans.expand(pairs, same).select(F.lit(f).alias("field"), F.col("a").alias("id_a"), F.col("b").alias("id_b")) for f, pairs, same in _near(spark, d, Workspace(spark))]
+    return out[0].unionByName(out[1])
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    ws = Workspace(spark)
+    out = [neardup.groups(pairs, same, ws).select(F.lit(f).alias("field"), "id", F.col("group").alias("group_id")) for f, pairs, same in _near(spark, d, ws)]
+    return out[0].unionByName(out[1])
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = spark.read.parquet(f"{d}/eval_items.parquet").select(F.col("item_id").alias("id"), "text")
     return leakage.leaks(_documents(spark, d), items)
@@ -48,11 +65,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "other").alias("hash_a"), F.greatest("id", "other").alias("hash_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_found, p7_found, p7_items, p9_found, p9_shared)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
+_NEAR = f"""
+WITH RECURSIVE b AS (SELECT DISTINCT id, {_WORDS.replace("text", "body")} AS w FROM chunks WHERE body IS NOT NULL),
+bs AS (SELECT DISTINCT id, array_to_string(w[k : k + 2], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM b WHERE len(w) >= 20)),
+t AS (SELECT id, array_to_string({_WORDS.replace("text", "title")}, ' ') AS w FROM notes WHERE title IS NOT NULL),
+ts AS (SELECT DISTINCT id, substr(w, k, 3) AS s FROM (SELECT id, w, unnest(range(1, length(w) - 1)) AS k FROM t)),
+bn AS (SELECT id, count(*) AS n FROM bs GROUP BY 1), tn AS (SELECT id, count(*) AS n FROM ts GROUP BY 1),
+bp AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM bs x JOIN bs y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+tp AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM ts x JOIN ts y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+p AS (SELECT 'chunks.body' AS field, a AS id_a, b AS id_b FROM bp JOIN bn x ON x.id = a JOIN bn y ON y.id = b WHERE bp.n / (x.n + y.n - bp.n) >= 0.5
+  UNION ALL SELECT 'notes.title', a, b FROM tp JOIN tn x ON x.id = a JOIN tn y ON y.id = b WHERE tp.n / (x.n + y.n - tp.n) >= 0.6)
+"""
+
 SQL = {
+    "p3_found": _NEAR + "SELECT * FROM p",
+    "p3_groups": _NEAR
+    + """, l AS (SELECT field, id_a AS x, id_b AS y FROM p UNION SELECT field, id_b, id_a FROM p),
+r AS (SELECT field, x, x AS y FROM l UNION SELECT r.field, r.x, l.y FROM r JOIN l ON l.field = r.field AND l.x = r.y)
+SELECT field, x AS id, min(y) AS group_id FROM r GROUP BY 1, 2""",
     "p6_found": """
 WITH v AS (SELECT hash, dim, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors
   WHERE len(vector) = dim AND list_bool_and(list_transform(vector, lambda y: isfinite(y))) AND list_bool_or(list_transform(vector, lambda y: y <> 0))),
