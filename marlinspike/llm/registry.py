@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.llm import leakage, nearest, neardup, spans
+from marlinspike.llm import conversations, leakage, nearest, neardup, pieces, spans
 from marlinspike.plans.workspace import Workspace
 
 
@@ -25,6 +25,47 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_chars", "shared_chars", "shared_part", F.to_json("stretches").alias("stretches"))
 
 
+def _sessions(spark: SparkSession, d: str, with_text: bool) -> tuple[DataFrame, DataFrame, Workspace]:
+    """All ordered messages, and the sessions to drop."""
+    ws = Workspace(spark)
+    t = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    nodes = t("message_nodes").select(F.col("session_id").alias("session"), F.col("node_id").alias("node"), F.col("parent_node_id").alias("parent"), F.col("chat_message").alias("message"))
+    heads = t("sessions").select(F.col("id").alias("session"), F.col("main_chain_id").alias("leaf"))
+    flat = t("message").select("id", F.col("session_id").alias("session"), F.col("time_created").alias("time"), F.col("data").alias("message"))
+    flat_heads = t("session_v2").select(F.col("id").alias("session"))
+    tree = conversations.tree_messages(nodes, heads.filter("session is not null"), ws, with_text)
+    both = tree.unionByName(conversations.flat_messages(flat, with_text))
+    both = ws.write(both)
+    known = heads.select("session").unionByName(flat_heads)
+    ids = known.unionByName(nodes.select("session")).unionByName(flat.select("session"))
+    return both, conversations.dropped(known, both, ids, ws), ws
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    _, bad, _ = _sessions(spark, d, with_text=False)
+    return bad.select(F.col("session").alias("session_id"))
+
+
+def p1_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Dropped sessions by reason."""
+    _, bad, _ = _sessions(spark, d, with_text=False)
+    return bad.groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
+    messages, bad, ws = _sessions(spark, d, with_text=True)
+    return conversations.turns(messages, bad, ws).withColumnRenamed("session", "session_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))
+    return pieces.oversized(rows).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.rechunk(spark.read.parquet(f"{d}/chunks.parquet"), Workspace(spark)).withColumnRenamed("id", "chunk_id")
+
+
 def _near(spark: SparkSession, d: str, ws: Workspace) -> list[tuple[str, DataFrame, DataFrame]]:
     bodies = spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))
     titles = spark.read.parquet(f"{d}/notes.parquet").select("id", F.col("title").alias("text"))
@@ -65,7 +106,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "other").alias("hash_a"), F.greatest("id", "other").alias("hash_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_found, p7_found, p7_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p7_found, p7_items, p9_found, p9_shared)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
@@ -81,7 +122,26 @@ p AS (SELECT 'chunks.body' AS field, a AS id_a, b AS id_b FROM bp JOIN bn x ON x
   UNION ALL SELECT 'notes.title', a, b FROM tp JOIN tn x ON x.id = a JOIN tn y ON y.id = b WHERE tp.n / (x.n + y.n - tp.n) >= 0.6)
 """
 
+_TALK = """
+WITH RECURSIVE n AS (SELECT DISTINCT session_id AS s, node_id AS n, parent_node_id AS p, chat_message AS m FROM message_nodes),
+c AS (SELECT h.id AS s, n.n, n.p, n.m, 0 AS d FROM sessions h JOIN n ON n.s = h.id AND n.n = h.main_chain_id
+  UNION ALL SELECT c.s, n.n, n.p, n.m, d + 1 FROM c JOIN n ON n.s = c.s AND n.n = c.p WHERE d < 5000 AND d <= (SELECT count(*) FROM n x WHERE x.s = c.s)),
+raw AS (SELECT s, CAST(-d AS BIGINT) AS o1, '' AS o2, m, (p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.s = c.s AND n.n = c.p)) OR d >= (SELECT count(*) FROM n x WHERE x.s = c.s) AS bad FROM c
+  UNION ALL SELECT session_id, epoch_us(time_created), id, data, time_created IS NULL FROM (SELECT DISTINCT * FROM message) WHERE session_id IS NOT NULL),
+j AS (SELECT s, o1, o2, bad, coalesce(json_valid(m) AND json_type(CASE WHEN json_valid(m) THEN m END) = 'OBJECT', false) AS ok, CASE WHEN json_valid(m) THEN CAST(m AS JSON) END AS m FROM raw),
+t AS (SELECT s, o1, o2, bad, ok, CASE WHEN ok THEN m ->> '$.role' END AS role,
+  CASE WHEN NOT ok THEN NULL WHEN json_type(m, '$.content') = 'VARCHAR' THEN m ->> '$.content'
+    WHEN json_type(m, '$.content') = 'ARRAY' THEN array_to_string(list_transform(list_filter(CAST(m -> '$.content' AS JSON[]), lambda x: x ->> '$.type' = 'text'), lambda x: x ->> '$.text'), '') END AS text FROM j),
+turns AS (SELECT s, o1, o2, role, text, lead(role) OVER (PARTITION BY s ORDER BY o1, o2) AS after FROM t WHERE role IN ('user', 'assistant') AND trim(text, E' \t\n\r\u00a0') <> ''),
+good AS (SELECT s FROM t GROUP BY 1 HAVING NOT bool_or(bad) AND bool_and(ok)),
+kept AS (SELECT s FROM turns GROUP BY 1 HAVING NOT bool_or(role = 'user' AND (after IS NULL OR after = 'user')) INTERSECT SELECT s FROM good
+  INTERSECT (SELECT id FROM sessions UNION SELECT id FROM session_v2))
+"""
+
 SQL = {
+    "p1_found": _TALK + "SELECT id AS session_id FROM sessions UNION SELECT id FROM session_v2 UNION SELECT session_id FROM message_nodes UNION SELECT session_id FROM message WHERE session_id IS NOT NULL EXCEPT SELECT s FROM kept",
+    "p1_conversations": _TALK + "SELECT s AS session_id, row_number() OVER (PARTITION BY s ORDER BY o1, o2) - 1 AS pos, role, text FROM turns WHERE s IN (SELECT s FROM kept)",
+    "p5_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(body) > 1200",
     "p3_found": _NEAR + "SELECT * FROM p",
     "p3_groups": _NEAR
     + """, l AS (SELECT field, id_a AS x, id_b AS y FROM p UNION SELECT field, id_b, id_a FROM p),
