@@ -299,7 +299,8 @@ def most_similar(vectors: DataFrame, k: int, min_cosine: float, ws: Workspace, p
     nth = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))
     heads = members.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
     tail = members.join(heads.select("id"), "id", "left_anti")
-    best = top_k(similar(vectors.join(tail.select("id"), "id", "left_anti"), min_cosine, ws, p), k)
+    pairs = ws.write(similar(vectors.join(tail.select("id"), "id", "left_anti"), min_cosine, ws, p))
+    best = top_k(pairs, k)
     rest = tail.join(heads.filter(F.col("nth") <= k).select("c1", "c2", F.col("id").alias("other"), "nth"), ["c1", "c2"])
     return best.unionByName(rest.select("id", "other", F.lit(1.0).alias("cosine"), F.col("nth").alias("rank")))
 
@@ -309,3 +310,65 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _scan(sent, k: int):
+    """Arrow map from (id, vector): the k best rows of each batch for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = sent.value
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            for dim, rows, x in _unit(batch, 1):
+                if dim not in queries:
+                    continue
+                q_ids, q = queries[dim]
+                got = names[rows]
+                for a in range(0, len(q), 512):
+                    sim = (q[a : a + 512].astype(np.float32) @ x.astype(np.float32).T)
+                    own = q_ids[a : a + 512, None] == got[None, :] if np.isin(q_ids[a : a + 512], got).any() else None
+                    if own is not None:
+                        sim[own] = -2
+                    n = min(k + 3, len(got))
+                    best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+                    qi = np.repeat(np.arange(len(best)), n)
+                    ri = best.ravel()
+                    keep = sim[qi, ri] > -1.5
+                    qi, ri = qi[keep], ri[keep]
+                    cos = np.einsum("ij,ij->i", q[a + qi], x[ri])
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(list(q_ids[a + qi]), pa.string()), "other": pa.array(list(got[ri]), pa.string()), "cosine": pa.array(cos)})
+
+    return run
+
+
+def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, shard: int = 8192) -> DataFrame:
+    """(id, other, cosine, rank): exact k most similar of a stated query set among all rows, however far.
+
+    Where neighbours are as far as strangers the stopping test holds only after
+    almost the whole collection, so a query set is scanned in blocks: ``shard``
+    queries at a time are broadcast, every row is read once for each shard, and each
+    batch of rows hands on its k best (and a few for ties in single precision).
+    """
+    ship(vectors.sparkSession)
+    sc = vectors.sparkSession.sparkContext
+    out = vectors.sparkSession.createDataFrame([], "id string, other string, cosine double")
+    held: dict[int, list] = {}
+    n = 0
+
+    def flush() -> None:
+        nonlocal out, held, n
+        if held:
+            sent = sc.broadcast({d: (np.array([i for i, _ in rows], dtype=object), np.array([v for _, v in rows])) for d, rows in held.items()})
+            out = out.unionByName(vectors.select("id", "vector").mapInArrow(_scan(sent, k), "id string, other string, cosine double"))
+        held, n = {}, 0
+
+    for r in queries.select("id", "vector").orderBy("id").toLocalIterator():
+        v = np.array(r.vector, np.float64)
+        v /= np.abs(v).max()
+        held.setdefault(len(v), []).append((r.id, v / np.sqrt(v @ v)))
+        n += 1
+        if n == shard:
+            flush()
+    flush()
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)

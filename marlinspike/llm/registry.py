@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.llm import conversations, leakage, nearest, neardup, pieces, spans
+from marlinspike.llm import conversations, leakage, mixing, nearest, neardup, pieces, spans
 from marlinspike.plans.workspace import Workspace
 
 
@@ -13,6 +13,33 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar of every vector whose hash, read as a number, is divisible by 100."""
+    rows = _valid_vectors(spark, d)
+    parts = [F.conv(F.substring("id", 8 * i + 1, 8), 16, 10).cast("long") * (pow(2, 32 * (7 - i)) % 100) for i in range(8)]
+    asked = rows.filter(sum(parts[1:], parts[0]) % 100 == 0)
+    best = nearest.nearest_of(asked, rows, 5)
+    return best.select(F.col("id").alias("hash"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ws = Workspace(spark)
+    name = F.lower(F.trim("source"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), name.alias("source"), "text")
+    targets = spark.read.parquet(f"{d}/mix_targets.parquet").withColumn("source", name)
+    sized = ws.write(mixing.sizes(docs))
+    plan = ws.write(mixing.demand(sized, targets.select("source", F.lit(0.0).alias("t"), "weight"), targets))
+    return plan, mixing.mixture(sized, plan, ws)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].select(F.col("id").alias("doc_id"), "source", "copy", "tokens", "position")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, same = spans.shared_pairs(_documents(spark, d), 200, Workspace(spark))
     return spans.expand(pairs, same).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -106,7 +133,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "other").alias("hash_a"), F.greatest("id", "other").alias("hash_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p7_found, p7_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shared)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
@@ -153,6 +180,13 @@ WITH v AS (SELECT hash, dim, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors
 c AS (SELECT a.hash AS h, b.hash AS o, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.dim = b.dim AND a.hash <> b.hash),
 k AS (SELECT h, o, c FROM c QUALIFY row_number() OVER (PARTITION BY h ORDER BY c DESC, o) <= 5)
 SELECT DISTINCT least(h, o) AS hash_a, greatest(h, o) AS hash_b FROM k WHERE c >= 0.90""",
+    "p6_neighbours": f"""
+WITH v AS (SELECT hash, dim, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors
+  WHERE len(vector) = dim AND list_bool_and(list_transform(vector, lambda y: isfinite(y))) AND list_bool_or(list_transform(vector, lambda y: y <> 0))),
+q AS (SELECT * FROM v WHERE ({" + ".join(f"('0x' || substr(hash, {8 * i + 1}, 8))::BIGINT * {pow(2, 32 * (7 - i)) % 100}" for i in range(8))}) % 100 = 0)
+SELECT a.hash, b.hash AS neighbour, round(list_cosine_similarity(a.x, b.x), 6) AS cosine,
+  row_number() OVER (PARTITION BY a.hash ORDER BY round(list_cosine_similarity(a.x, b.x), 9) DESC, b.hash) AS rank
+FROM q a JOIN v b ON a.dim = b.dim AND a.hash <> b.hash QUALIFY rank <= 5""",
     "p7_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
