@@ -41,14 +41,15 @@ def name_map(notes: DataFrame) -> DataFrame:
 
 
 def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
-    """``links`` with ``dst``: the note that answers to dst_name, null where broken.
+    """``links`` with ``dst`` (set anew if there): the note that answers to dst_name, null where broken.
 
     The distinct names meet the name map first; a name that holds a third of the
     links is one row of that join, and the small result goes back to the links.
     """
     wanted = links.select(F.col("dst_name").alias("_n")).filter("_n is not null").distinct()
     found = wanted.withColumn("name", fold(F.trim("_n"))).join(names, "name").select("_n", "dst")
-    return links.join(found, links["dst_name"] == found["_n"], "left").drop("_n")
+    plain = links.drop("dst")
+    return plain.join(found, plain["dst_name"] == found["_n"], "left").drop("_n")
 
 
 def broken(links: DataFrame, notes: DataFrame) -> DataFrame:

@@ -1,3 +1,131 @@
 """DuckDB SQL for the queries of ``queries``."""
 
-SQL: dict[str, str] = {}
+from marlinspike.operators.health import VERDICTS
+from marlinspike.operators.search import parse_terms, plain
+from marlinspike.queries import QUESTION
+
+_C = "c AS (SELECT DISTINCT id AS chunk_id, note_id, body, ord FROM chunks)"
+_L = "l AS (SELECT DISTINCT link_id, src_note_id AS src, dst_name, dst_note_id_or_null AS dst FROM links)"
+_W = "regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')"
+_P = "p AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(" + _W + ") AS term FROM c) GROUP BY 1, 2)"
+_Q = "q(t, stem, prefix) AS (VALUES " + ", ".join(f"({i}, '{t.stem}', {str(t.prefix).lower()})" for i, t in enumerate(parse_terms(QUESTION, plain))) + ")"
+_H = "h AS (SELECT t, chunk_id, sum(tf) AS tf FROM p JOIN q ON CASE WHEN prefix THEN starts_with(term, stem) ELSE term = stem END GROUP BY 1, 2)"
+_HITS = f"WITH {_C}, {_P}, {_Q}, {_H}"
+_STATS = f"""{_HITS}, n AS (SELECT count(*) AS n FROM c), d AS (SELECT t, count(*) AS df FROM h GROUP BY 1),
+w AS (SELECT q.t, coalesce(df, 0) AS df, ln(1 + n / (1 + coalesce(df, 0))) AS idf, coalesce(df, 0) <= greatest(n * 0.05, 20) AS content FROM q LEFT JOIN d USING (t), n)"""
+_BM25 = f"""{_STATS}, len AS (SELECT c.chunk_id, coalesce(sum(tf), 0) AS dl FROM c LEFT JOIN p USING (chunk_id) GROUP BY 1), a AS (SELECT avg(dl) AS avgdl FROM len),
+s AS (SELECT h.chunk_id, round(-sum(CASE WHEN n - df + 0.5 > 0 THEN greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) ELSE 1e-6 END
+  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM h JOIN w USING (t) JOIN len ON len.chunk_id = h.chunk_id, n, a GROUP BY 1),
+top AS (SELECT * FROM s ORDER BY bm25, chunk_id LIMIT 50)"""
+_NORM = "trim(regexp_replace(lower(coalesce(project, '')), '[^a-z0-9]+', '-', 'g'), '-')"
+_DAY = "CASE WHEN regexp_matches(left({0}, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast(left({0}, 10) AS DATE) END"
+_STEM = "regexp_replace(split_part(path, '/', -1), '(.)\\.[^.]*$', '\\1')"
+_SHOWN = "CASE WHEN length({0}) > {1} THEN left({0}, {1} - 1) || '…' ELSE {0} END"
+_BARE = "coalesce(nullif(trim(CASE WHEN strpos({0}, ' — ') > 0 THEN substr({0}, strpos({0}, ' — ') + 3) ELSE {0} END), ''), {0})"
+_OK = "vector IS NOT NULL AND dim > 0 AND len(vector) = dim AND list_bool_and(list_transform(vector, lambda x: isfinite(x)))"
+_ALIAS = "CASE WHEN trim(aliases) LIKE '[%' THEN coalesce(CAST(try_cast(aliases AS JSON) AS VARCHAR[]), [aliases]) WHEN trim(coalesce(aliases, '')) = '' THEN [] ELSE [aliases] END"
+_NAMES = f"""own AS (SELECT DISTINCT id, lower(upper(x)) AS name FROM (SELECT id, unnest([title, {_STEM}, regexp_replace(path, '\\.md$', ''), split_part(path, '/', -1), path]) AS x FROM notes) WHERE x <> ''),
+al AS (SELECT DISTINCT id, lower(upper(trim(x))) AS name FROM (SELECT id, unnest({_ALIAS}) AS x FROM notes) WHERE trim(x) <> ''),
+nm AS (SELECT name, min(id) AS dst FROM own GROUP BY 1 HAVING count(DISTINCT id) = 1
+  UNION ALL SELECT name, min(id) FROM al WHERE name NOT IN (SELECT name FROM own) GROUP BY 1 HAVING count(DISTINCT id) = 1)"""
+_EDGES = f"e AS (SELECT DISTINCT src AS a, dst AS b FROM l WHERE dst IS NOT NULL AND src <> dst UNION SELECT DISTINCT dst, src FROM l WHERE dst IS NOT NULL AND src <> dst)"
+_EMB = """v AS (SELECT vec_id AS id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM v GROUP BY 1), z AS (SELECT id, label, list(x - m ORDER BY i) AS x FROM v JOIN m USING (i) GROUP BY 1, 2)"""
+_NOTEV = f"""k AS (SELECT note_id, CAST(vector AS DOUBLE[]) AS x FROM c JOIN chunk_vectors ON hash = sha256(body) WHERE {_OK} AND dim = 64),
+f AS (SELECT note_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM k), g AS (SELECT note_id, i, avg(x) AS x FROM f GROUP BY 1, 2),
+nv AS (SELECT note_id, list(x ORDER BY i) AS x FROM g GROUP BY 1), nu AS (SELECT note_id, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM nv WHERE list_dot_product(x, x) > 0)"""
+_TURNS = """r AS (SELECT session_id, pos, min(struct_pack(role := role, text := text)) AS s FROM (
+  SELECT DISTINCT id, session_id, epoch_us(time_created) AS pos, m ->> '$.role' AS role, CASE WHEN json_type(m, '$.content') = 'NULL' THEN NULL ELSE m ->> '$.content' END AS text
+  FROM (SELECT *, CASE WHEN json_valid(data) THEN CAST(data AS JSON) END AS m FROM message) WHERE session_id IS NOT NULL AND time_created IS NOT NULL) WHERE role IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT session_id, pos, s.role AS role, s.text AS text FROM r)"""
+
+SQL = {
+    "text_functions": f"""SELECT id AS note_id, {_NORM} AS project_norm, {_NORM} AS project_canon,
+  left(sha256(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))), 16) AS thread_key,
+  'c-' || left(sha1(array_to_string(list_sort([coalesce(title, ''), path]), '|')), 16) AS finding_key,
+  {_SHOWN.format("coalesce(title, '')", 40)} AS shown, {_BARE.format("coalesce(title, '')")} AS bare,
+  replace(replace(lower(upper(coalesce(title, ''))), ' ', ''), '-', '') AS fold, {_DAY.format("date")} AS day, {_STEM} AS stem,
+  left(coalesce(title, ''), list_max(list_filter(range(0, 22), lambda n: strlen(left(coalesce(title, ''), CAST(n AS INT))) <= 21))::INT) AS clipped FROM notes""",
+    "token_counts": f"WITH {_C}, {_P} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY 1 ORDER BY df DESC, term LIMIT 50",
+    "link_resolution": f"WITH {_L}, {_NAMES} SELECT link_id, nm.dst FROM l LEFT JOIN nm ON nm.name = lower(upper(trim(dst_name)))",
+    "broken_links": f"WITH {_L} SELECT title, dst_name, count(*) AS n FROM l JOIN notes ON notes.id = src WHERE dst IS NULL GROUP BY 1, 2",
+    "link_demand": f"""WITH {_L}, e AS (SELECT dst_name, count(*) AS n FROM l WHERE dst IS NULL AND dst_name IS NOT NULL GROUP BY 1)
+SELECT string_agg(dst_name, '|' ORDER BY n DESC, dst_name) AS spellings, CAST(sum(n) AS BIGINT) AS demand FROM e GROUP BY replace(replace(lower(upper(dst_name)), ' ', ''), '-', '') HAVING sum(n) >= 3""",
+    "out_degrees": f"WITH {_L} SELECT src, count(*) AS n_out, count(*) FILTER (dst IS NULL) AS n_broken FROM l GROUP BY 1",
+    "hub_notes": f"WITH {_L} SELECT src, count(*) AS n_out, count(*) FILTER (dst IS NULL) AS n_broken FROM l GROUP BY 1 HAVING count(*) > 30",
+    "missing_vectors": f"SELECT DISTINCT sha256(body) AS hash FROM chunks WHERE body IS NOT NULL AND sha256(body) NOT IN (SELECT hash FROM chunk_vectors WHERE {_OK})",
+    "dead_vectors": "SELECT hash FROM chunk_vectors WHERE hash NOT IN (SELECT sha256(body) FROM chunks WHERE body IS NOT NULL)",
+    "duplicate_chunks": f"WITH {_C} SELECT sha256(body) AS hash, count(*) AS n, min(chunk_id) AS first_id FROM c WHERE body IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "term_df": f"{_HITS} SELECT stem AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM h JOIN q USING (t) GROUP BY 1",
+    "coverage_mass": f"""{_STATS}, x AS (SELECT t, idf, df, content OR NOT (SELECT bool_or(content) FROM w) AS content FROM w)
+SELECT chunk_id, round(sum(CASE WHEN content THEN idf ELSE 0 END), 6) AS mass, count(*) AS terms_matched, count(*) FILTER (content) AS content_matched FROM h JOIN x USING (t) GROUP BY 1""",
+    "bm25_top": f"{_BM25} SELECT chunk_id, bm25 FROM top",
+    "byte_budget": f"""{_BM25}, r AS (SELECT chunk_id, CAST(sum(strlen(body)) OVER (ORDER BY bm25, chunk_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes_so_far FROM top JOIN c USING (chunk_id))
+SELECT * FROM r WHERE bytes_so_far <= 8000""",
+    "lane_fusion": f"""{_BM25}, lex AS (SELECT chunk_id AS id, row_number() OVER (ORDER BY bm25, chunk_id) AS rank FROM top),
+v AS (SELECT hash, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors WHERE {_OK} AND dim = 64), one AS (SELECT x AS y FROM v ORDER BY hash LIMIT 1),
+nr AS (SELECT hash, round(coalesce(CASE WHEN list_dot_product(x, x) > 0 THEN list_cosine_similarity(x, y) END, 0), 6) AS cosine FROM v, one ORDER BY cosine DESC, hash LIMIT 50),
+b AS (SELECT chunk_id, max(cosine) AS cosine FROM nr JOIN c ON sha256(body) = hash GROUP BY 1 ORDER BY cosine DESC, chunk_id LIMIT 50),
+mn AS (SELECT chunk_id AS id, row_number() OVER (ORDER BY cosine DESC, chunk_id) AS rank FROM b)
+SELECT id, round(coalesce(1.0 / (10 + lex.rank), 0) + coalesce(1.2 / (10 + mn.rank), 0), 6) AS fusion, lex.rank AS lexical_rank, mn.rank AS meaning_rank FROM lex FULL JOIN mn USING (id)""",
+    "graph_neighbours": f"""WITH {_L}, s AS (SELECT id AS note, 1.0::DOUBLE / (id % 10 + 1) AS score FROM notes WHERE lower(type) = 'godnote'),
+hub AS (SELECT src FROM l GROUP BY 1 HAVING count(*) > 30), st AS (SELECT * FROM s WHERE note NOT IN (SELECT src FROM hub)),
+w AS (SELECT src AS a, dst AS b FROM l WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM l WHERE dst IS NOT NULL)
+SELECT b AS note, round(max(score * 0.5), 6) AS score FROM w JOIN st ON a = note WHERE b <> a GROUP BY 1""",
+    "knn_cosine": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS y FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), y), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, id LIMIT 20""",
+    "note_vectors": f"WITH {_C}, {_NOTEV} SELECT note_id, round(x[1], 6) AS v0, round(x[32], 6) AS v31, round(x[64], 6) AS v63 FROM nu",
+    "centred_pairs": f"""WITH {_EMB} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS sim, a.label <> b.label AS across
+FROM z a JOIN z b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) > 0.3""",
+    "notes_by_type": "SELECT coalesce(type, '') AS type, count(*) AS n FROM notes GROUP BY 1",
+    "totals": f"WITH {_C}, {_L} SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM l) AS links",
+    "islands": """WITH RECURSIVE k AS (SELECT DISTINCT src_note_id AS u, dst_note_id_or_null AS v FROM links WHERE seen_at < TIMESTAMPTZ '2024-03-01 00:00:00+00'
+    AND src_note_id IN (SELECT id FROM notes) AND dst_note_id_or_null IN (SELECT id FROM notes)),
+e AS (SELECT u, v FROM k UNION SELECT v, u FROM k), r AS (SELECT id, id AS x FROM notes UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.x),
+g AS (SELECT id, min(x) AS island FROM r GROUP BY 1), s AS (SELECT island, count(*) AS size FROM g GROUP BY 1), home AS (SELECT island FROM s ORDER BY size DESC, island LIMIT 1)
+SELECT island, size, id AS note_id FROM g JOIN s USING (island) WHERE island NOT IN (SELECT island FROM home)""",
+    "stale_notes": f"""SELECT title, path, date_diff('day', t, DATE '2025-07-01') AS age_days FROM (SELECT title, path, type, greatest({_DAY.format("date")}, {_DAY.format("reviewed")}) AS t FROM notes)
+WHERE type IN ('atom', 'molecule', 'godnote', 'source') AND date_diff('day', t, DATE '2025-07-01') > 60""",
+    "verdict_counts": f"""WITH m(e, verdict) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in zip(("click", "error", "purchase", "signup", "view"), VERDICTS))})
+SELECT verdict, count(event_id) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-22') AS last_7_days FROM m LEFT JOIN events ON event_type = e GROUP BY 1""",
+    "misses_due": "SELECT count(*) AS n, count(*) >= 3 AS due FROM events WHERE event_type = 'signup'",
+    "fresh_gotchas": f"""SELECT path, {_SHOWN.format(_BARE.format("title"), 200)} || CASE WHEN coalesce(project, '') = '' THEN ' (no project)' ELSE '' END AS line FROM notes
+WHERE lower(kind) = 'gotcha' AND lower(coalesce(type, '')) <> 'lead' AND (coalesce(project, '') = '' OR {_NORM} = 'quill-board')
+ORDER BY CASE WHEN coalesce(project, '') = '' THEN 1 ELSE 0 END, {_DAY.format("date")} DESC NULLS LAST, path LIMIT 15""",
+    "project_godnotes": f"""SELECT path, {_DAY.format("date")} AS day, {_SHOWN.format(_BARE.format("title"), 200)} AS line FROM notes WHERE lower(type) = 'godnote' AND {_NORM} = 'quill-board'""",
+    "project_sessions": f"""SELECT {_NORM} AS project, path, row_number() OVER (PARTITION BY {_NORM} ORDER BY {_DAY.format("date")} DESC NULLS LAST, path) AS rank
+FROM notes WHERE lower(type) = 'session' QUALIFY rank <= 10""",
+    "shared_neighbours": f"""WITH {_L}, {_EDGES}, t AS (SELECT id, {_NORM} AS p, {_DAY.format("date")} AS d FROM notes WHERE project <> '')
+SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.p = y.p AND x.d = y.d AND x.id < y.id
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = x.id AND e.b = y.id) AND NOT EXISTS (SELECT 1 FROM e f JOIN e g ON f.b = g.b WHERE f.a = x.id AND g.a = y.id)""",
+    "meaning_pairs": f"""WITH {_C}, {_L}, {_EDGES}, {_NOTEV},
+pool AS (SELECT note_id, x, lower(type) AS type, coalesce(title, '') AS title, coalesce(project, '') AS project FROM nu JOIN notes ON id = note_id WHERE lower(type) IN ('atom', 'godnote', 'source', 'lead') AND coalesce(died, '') = ''),
+ce AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(x) AS x, generate_subscripts(x, 1) AS i FROM pool) GROUP BY 1)),
+z AS (SELECT note_id, title, project, list_transform(list_zip(x, m), lambda y: y[1] - y[2]) AS x FROM pool, ce WHERE type <> 'lead'),
+s AS (SELECT a.note_id AS ia, b.note_id AS ib, a.title AS ta, b.title AS tb, a.project <> '' AND b.project <> '' AND a.project <> b.project AS across, list_cosine_similarity(a.x, b.x) AS sim
+  FROM z a JOIN z b ON a.note_id < b.note_id WHERE list_cosine_similarity(a.x, b.x) > 0.35),
+o AS (SELECT *, tb < ta AS swap FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = ia AND e.b = ib) AND NOT (across AND EXISTS (SELECT 1 FROM e f JOIN e g ON f.b = g.b WHERE f.a = ia AND g.a = ib)))
+SELECT CASE WHEN across THEN 'cross' ELSE 'same' END AS kind, CASE WHEN across THEN 'c-' ELSE 's-' END || left(sha1(least(ta, tb) || '|' || greatest(ta, tb)), 16) AS key,
+  CASE WHEN swap THEN ib ELSE ia END AS a, CASE WHEN swap THEN ia ELSE ib END AS b, round(sim, 3) AS sim FROM o""",
+    "stale_signs": f"""WITH {_L}, {_NAMES}, said AS (SELECT src, min(dst_name) AS name FROM l GROUP BY 1),
+h AS (SELECT n.id AS new, n.title AS nt, nm.dst AS old, o.title AS ot FROM said JOIN notes n ON n.id = src JOIN nm ON nm.name = lower(upper(trim(regexp_extract(said.name, '^[^\\]|#]+')))) JOIN notes o ON o.id = nm.dst
+  WHERE nm.dst <> n.id AND coalesce(o.died, '') = '' AND NOT contains('/' || n.path, '/sessions/')),
+k AS (SELECT 'u-' || left(sha1(array_to_string(list_sort(list_filter([ot, nt], lambda x: x IS NOT NULL)), '|')), 16) AS key, 'supersedes' AS how, old, new FROM h)
+SELECT key, how, old, new FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY new, old) = 1""",
+    "verdict_carry": "SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN 'keep' END AS verdict, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN id % 5 = 0 END AS decided FROM notes",
+    "finding_triage": """WITH f AS (SELECT id AS i, ['group', 'cross', 'same', 'stale'][id % 4 + 1] AS kind, id % 50 AS p, ['устарело', 'уточняет', 'дубль', 'мимо'][id // 4 % 4 + 1] AS v FROM notes),
+told AS (SELECT DISTINCT p FROM f WHERE kind = 'stale' AND i % 7 < 3 AND i % 11 <> 0)
+SELECT CAST(i AS VARCHAR) AS key, CASE WHEN i % 11 = 0 THEN 'unread' WHEN i % 13 = 0 THEN 'decided' WHEN kind = 'group' AND i % 8 < 5 AND i % 3 = 0 THEN 'safe' WHEN kind = 'group' AND i % 8 < 5 THEN 'page'
+  WHEN kind = 'cross' AND i % 8 < 5 THEN 'safe' WHEN kind = 'same' AND v = 'уточняет' THEN 'safe'
+  WHEN kind = 'same' AND v IN ('устарело', 'спор', 'дубль') AND NOT (v = 'устарело' AND p IN (SELECT p FROM told)) THEN 'page' WHEN kind = 'stale' AND i % 7 < 3 THEN 'page' ELSE 'dropped' END AS place FROM f""",
+    "reading_batches": "SELECT b AS batch, min(id) AS first_id, count(*) AS n FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 20 AS b FROM notes WHERE coalesce(died, '') = '') GROUP BY 1",
+    "session_facts": f"""WITH {_TURNS} SELECT session_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns,
+  length(min_by(text, pos) FILTER (role = 'user' AND text NOT LIKE '<%')) AS first_length FROM t GROUP BY 1""",
+    "role_totals": f"WITH {_TURNS} SELECT role, count(*) AS turns FROM t GROUP BY 1",
+    "unclosed_sessions": """WITH n AS (SELECT session_id, count(DISTINCT node_id) AS turns FROM message_nodes GROUP BY 1)
+SELECT id AS session_id, turns FROM sessions JOIN n ON n.session_id = id WHERE last_activity_at >= TIMESTAMPTZ '2025-06-10 00:00:00+00' - INTERVAL 14 DAY
+  AND last_activity_at <= TIMESTAMPTZ '2025-06-10 00:00:00+00' - INTERVAL 30 MINUTE AND turns >= 3 AND coalesce(hidden, 0) = 0 AND working_directory IS DISTINCT FROM '/work/Brindle'""",
+    "activity_windows": """WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""",
+}
