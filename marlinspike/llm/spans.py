@@ -160,7 +160,7 @@ def _verify(n: int):
 def copies(docs: DataFrame) -> DataFrame:
     """(id, rep) of rows (id, text): the least id of those with the same text."""
     h = docs.select("id", F.unhex(F.sha2("text", 256)).alias("h"))
-    reps = h.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "rep")
+    reps = h.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last").select("h", "rep")
     return h.join(reps, "h").select("id", "rep").distinct()
 
 
