@@ -47,9 +47,9 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def dead_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Hashes of vectors whose body no chunk has any more."""
+    """Hashes of vectors whose body no chunk has any more; null hashes are left out."""
     live = chunks.filter("body is not null").select(F.sha2("body", 256).alias("hash"))
-    return vectors.select("hash").join(live, "hash", "left_anti")
+    return vectors.select("hash").filter("hash is not null").join(live, "hash", "left_anti")
 
 
 def note_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

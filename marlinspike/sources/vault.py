@@ -39,12 +39,13 @@ def _parse(path: str, text: str) -> list[tuple]:
 def parse(files: DataFrame) -> DataFrame:
     """One row a file (path, content): metadata ('' where missing), aliases, chunks and link names.
 
-    A note with an empty body has one chunk that holds its title.
+    A note with an empty body has one chunk that holds its title; rows without a path
+    are left out, a null content is empty.
     """
     chunk = pa.list_(pa.struct([("heading_path", pa.string()), ("body", pa.string()), ("ord", pa.int32())]))
     text = ", ".join(f"{c} string" for c in ("path", "title", *(f.replace("-", "_") for f in FIELDS)))
     schema = f"{text}, aliases array<string>, chunks array<struct<heading_path:string,body:string,ord:int>>, names array<string>"
-    return M.arrow_map(files, ["path", "content"], _parse, schema, [pa.string()] * 10 + [pa.list_(pa.string()), chunk, pa.list_(pa.string())])
+    return M.arrow_map(files.filter("path is not null"), ["path", "content"], _parse, schema, [pa.string()] * 10 + [pa.list_(pa.string()), chunk, pa.list_(pa.string())])
 
 
 def diff(known: DataFrame, found: DataFrame) -> DataFrame:
