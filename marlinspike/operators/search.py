@@ -27,7 +27,7 @@ WEAK_SHARE, COSINE_FLOOR = 0.4, 0.90
 RRF_K, MEANING_WEIGHT = 10, 1.2
 HUB_CAP, GRAPH_DECAY, GRAPH_SHARE = 30, 0.5, 0.4
 K1, B = 1.2, 0.75
-LEAD_NOTES, LEAD_SHARE = 2, 0.25
+LEAD_TAIL, LEAD_SHARE = 2, 0.25
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,15 @@ def parse_terms(query: str, stem: Callable[[str], str] | None = None) -> list[Te
     """
     stem = stem or (lambda w: porter(fold(w)))
     seen = dict.fromkeys(re.findall(r"[^\W_]+", query))
-    return list({(t.stem, t.prefix): t for t in reversed([Term(stem(w), len(w) >= PREFIX_FROM, w) for w in seen])}.values())[::-1]
+    return _distinct([Term(stem(w), len(w) >= PREFIX_FROM, w) for w in seen])
+
+
+def _distinct(terms: list[Term]) -> list[Term]:
+    """The first of the terms that search for the same."""
+    first: dict[tuple, Term] = {}
+    for t in terms:
+        first.setdefault((t.stem, t.prefix), t)
+    return list(first.values())
 
 
 def plain(word: str) -> str:
@@ -131,7 +139,7 @@ def widen(posts: DataFrame, terms: list[Term]) -> list[Term]:
                 break
             size, count = cut, wider
         out[i] = Term(t.stem[:size], True, t.origin)
-    return list({(t.stem, t.prefix): t for t in reversed(out)}.values())[::-1]
+    return _distinct(out)
 
 
 def _any(conds: list[Column]) -> Column:
@@ -267,7 +275,10 @@ def _tier(c: Corpus, query: str, terms: list[Term], budget: int, hub_cap: int, g
     ids = set(_tickets(query))
     supported = share >= WEAK_SHARE or bool(ids and any(ids & set(_tickets(x["path"])) for x in text[:3]))
     kept = _take(text, budget)
-    seeds = list({x["note_id"]: (x["note_id"], 1 / (RRF_K + k)) for k, x in reversed(list(enumerate(kept, 1)))}.values())[::-1]
+    best: dict = {}
+    for k, x in enumerate(kept, 1):
+        best.setdefault(x["note_id"], 1 / (RRF_K + k))
+    seeds = list(best.items())
     linked, skipped = [], []
     if supported or any(x.get("cosine", 0) > COSINE_FLOOR for x in kept):
         linked, skipped = _linked(c, seeds, hub_cap, {x["chunk_id"] for x in text}, scope)
@@ -337,9 +348,9 @@ def search(c: Corpus, query: str, budget: int = 8000, hub_cap: int = HUB_CAP, gr
     """Fragments in order and a coverage report.
 
     meaning: (chunk_id, cosine) of every chunk to the query, if there is an encoder.
-    With scope 'own', at most two lead notes follow; own fragments give way to them
-    from the end, never the first, by at most a quarter of the budget.  A query
-    without a word gives nothing.
+    With scope 'own', leads follow: what the budget leaves, or, where the own answer
+    fills it, the best two, for which own fragments give way from the end, never the
+    first, by at most a quarter of the budget.  A query without a word gives nothing.
     """
     terms = parse_terms(query, c.stem)
     if not terms:
@@ -349,18 +360,17 @@ def search(c: Corpus, query: str, budget: int = 8000, hub_cap: int = HUB_CAP, gr
     if scope == "own":
         extra, _ = _linked(c, seeds, hub_cap, set(), "lead") if report["supported"] else ([], [])
         lead, _ = _tier(c, query, terms, budget, hub_cap, graph_share, "lead", meaning, extra)
-        tail = []
-        if lead["coverage"]["supported"] or extra:
-            for x in lead["fragments"]:
-                if len({y["path"] for y in tail} | {x["path"]}) <= LEAD_NOTES:
-                    tail.append(x)
-        used = sum(x["bytes"] for x in fragments)
-        freed, want = 0, tail[0]["bytes"] if tail else 0
-        while tail and len(fragments) > 1 and used + want > budget and freed + fragments[-1]["bytes"] <= budget * LEAD_SHARE:
-            gone = fragments.pop()
-            freed, used = freed + gone["bytes"], used - gone["bytes"]
-        fragments = fragments + _take(tail, budget - used)
-        report |= {"returned": len(fragments), "bytes_used": sum(x["bytes"] for x in fragments), "leads": len(fragments) - len(main["fragments"])}
+        used, room = (lambda items: sum(x["bytes"] for x in items)), int(budget * LEAD_SHARE)
+        tail, lost = lead["fragments"], 0
+        if report["dropped_by_budget"] and report["supported"]:  # a full answer makes room for the best leads
+            tail = [x for x in tail if lead["coverage"]["supported"] or x["found_by"] == "link"][:LEAD_TAIL]
+            while tail and len(fragments) > 1 and used(fragments) + used(tail) > budget and fragments[-1]["bytes"] <= room:
+                room -= fragments.pop()["bytes"]
+                lost += 1
+        tail = _take(tail, budget - used(fragments))
+        report |= {"dropped_by_budget": report["dropped_by_budget"] + lost + lead["coverage"]["dropped_by_budget"], "returned_leads": len(tail), "tail_omitted": len(lead["fragments"]) - len(tail)}
+        fragments = fragments + tail
+        report |= {"returned": len(fragments), "bytes_used": used(fragments), "returned_by_link": sum(x["found_by"] == "link" for x in fragments)}
     report["weak_match"] = not report["supported"]
     report["budget_limited"] = report["dropped_by_budget"] >= 10 and report["dropped_by_budget"] > 2 * report["returned"]
     return {"fragments": fragments, "coverage": report}

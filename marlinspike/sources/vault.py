@@ -17,7 +17,11 @@ _NOTE = ["note_id", "path", "title", "type", "kind", "source", "project", "date"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, mtime, sha256, content) of every ``*.md`` below a folder; the path is relative to it."""
+    """(path, mtime, sha256, content) of every ``*.md`` below a folder; the path is relative to it.
+
+    The engine's file source passes over files of zero bytes, so such a note is not
+    there; one with only a line end is.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").removeprefix("file://")
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
@@ -148,7 +152,10 @@ def route(rows: DataFrame) -> DataFrame:
 
 def near_notes(found: list[dict], limit: int = 3) -> list[dict]:
     """The first ``limit`` notes of a search's fragments, each once, best first."""
-    return list({x["path"]: x for x in reversed(found)}.values())[::-1][:limit]
+    first: dict[str, dict] = {}
+    for x in found:
+        first.setdefault(x["path"], x)
+    return list(first.values())[:limit]
 
 
 def ticket_notes(notes: DataFrame) -> DataFrame:
