@@ -81,10 +81,10 @@ def stemmed_postings(chunks: DataFrame) -> DataFrame:
     return arrow_map(chunks, ["chunk_id", "body"], lambda i, b: [(t, i, n) for t, n in Counter(tokens(b or "")).items()], "term string, chunk_id long, tf int", [pa.string(), pa.int64(), pa.int32()])
 
 
-def lengths(posts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl): tokens of every chunk, 0 where it has none."""
-    n = posts.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    return chunks.select("chunk_id").join(n, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl): tokens of every chunk (chunk_id, body), 0 where it has none; by row, without the postings."""
+    n = F.size(T.words(F.coalesce("body", F.lit(""))))
+    return chunks.select("chunk_id", n.alias("dl"))
 
 
 def in_scope(kind: Column, scope: str) -> Column:
@@ -224,7 +224,7 @@ class Corpus:
         """notes: note_id, path, type, ...; chunks: chunk_id, note_id, heading, body, ord; links: src, dst."""
         self.notes, self.chunks, self.links, self.stem = notes, chunks, links, stem
         self.posts = posts if posts is not None else postings(chunks)
-        self.lens = lens if lens is not None else lengths(self.posts, chunks)
+        self.lens = lens if lens is not None else lengths(chunks)
 
     def scoped(self, scope: str) -> DataFrame:
         """(chunk_id, note_id) of the chunks of a scope."""

@@ -146,9 +146,8 @@ def coverage_mass(spark: SparkSession, d: str) -> DataFrame:
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks by BM25 over the whole table."""
     t = Tables(spark, d)
-    posts = search.postings(t.chunks)
     found, stats = _stats(t)
-    lens = search.lengths(posts, t.chunks)
+    lens = search.lengths(t.chunks)
     score = search.bm25(found, lens, stats.df, stats.chunks, lens.agg(F.avg("dl")).first()[0] or 1.0)
     return score.select("chunk_id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "chunk_id").limit(50)
 
@@ -189,7 +188,7 @@ def search_report(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     ws = Workspace(spark)
     posts = ws.write(search.postings(t.chunks).sort("term"))
-    corpus = search.Corpus(t.notes, t.chunks, t.links, posts, ws.write(search.lengths(posts, t.chunks)))
+    corpus = search.Corpus(t.notes, t.chunks, t.links, posts, ws.write(search.lengths(t.chunks)))
     got = search.search(corpus, QUESTION)
     rows = [(k, x["chunk_id"], x["path"], x["found_by"], float(x["score"]), x["terms_matched"], x["bytes"]) for k, x in enumerate(got["fragments"], 1)]
     return spark.createDataFrame(rows, "rank int, chunk_id long, path string, found_by string, score double, terms_matched int, bytes int")

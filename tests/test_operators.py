@@ -112,7 +112,7 @@ def test_bm25_as_the_index(spark):
     posts = search.stemmed_postings(chunks).cache()
     terms = search.parse_terms("Cafe lamps")
     found = search.hits(posts, terms)
-    lens = search.lengths(posts, chunks)
+    lens = search.lengths(chunks)
     stats = search.term_stats(found, len(data), len(terms))
     got = {r.chunk_id: r.bm25 for r in search.bm25(found, lens, stats.df, len(data), lens.agg(F.avg("dl")).first()[0]).collect()}
     assert got == pytest.approx(want)
