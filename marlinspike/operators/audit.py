@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from marlinspike.functions import text as T
 from marlinspike.operators import links as L
 from marlinspike.operators import vectors as V
+from marlinspike.plans.ordered import prefix_sum
+from marlinspike.plans.workspace import Workspace
 
 #: Note types compared, batch sizes, verdict words of a same-project pair, staleness marks.
 POOL_TYPES = ("atom", "godnote", "source", "lead")
@@ -69,7 +71,8 @@ def group_facts(members: DataFrame, notes: DataFrame, vectors: DataFrame, edges:
     by = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.round("close", 9)), "id"))
     ranked = free.join(vectors, "id").join(mean, "label").select("label", "id", V.dot(F.col("vector"), F.col("centre")).alias("close")).withColumn("rank", by)
     god_vec = vectors.join(gods.withColumnRenamed("god", "id"), "id", "left_semi").select(F.col("id").alias("god"), "vector")
-    near = mean.join(god_vec).select("label", "god", V.dot(F.col("vector"), F.col("centre")).alias("close"))
+    # the groups come from one pool of at most GROUP_ROWS notes, so their centres are few
+    near = god_vec.join(F.broadcast(mean)).select("label", "god", V.dot(F.col("vector"), F.col("centre")).alias("close"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.round("close", 9)), "god"))).filter(F.col("rank") <= nearest)
     return ranked, near.join(linked, ["label", "god"], "left").select("label", "god", "rank", F.coalesce("links", F.lit(0)).alias("links_to_group"))
 
@@ -141,10 +144,11 @@ def triage(findings: DataFrame) -> DataFrame:
     return met.withColumn("place", place).drop("_told")
 
 
-def batches(rows: DataFrame, kind: str, *order: str) -> DataFrame:
-    """``rows`` with the number of their batch, of 20 or 40 rows by kind; for one audit's candidates."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("batch", F.floor((n - 1) / BATCH[kind]).cast("int"))
+def batches(rows: DataFrame, kind: str, order: str, ws: Workspace) -> DataFrame:
+    """``rows`` with the number of their batch, of 20 or 40 rows by kind, in the order of a unique column."""
+    one = rows.withColumn("_all", F.lit(1)).withColumn("_one", F.lit(1).cast("long"))
+    placed = prefix_sum(one, ["_all"], [order], "_one", "_before", ws)
+    return placed.withColumn("batch", F.floor(F.col("_before") / BATCH[kind]).cast("int")).drop("_all", "_one", "_before")
 
 
 def match_answers(asked: DataFrame, answers: DataFrame) -> DataFrame:

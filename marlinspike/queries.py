@@ -356,7 +356,7 @@ def finding_triage(spark: SparkSession, d: str) -> DataFrame:
 
 def reading_batches(spark: SparkSession, d: str) -> DataFrame:
     n = Tables(spark, d).notes.filter("died is null or died = ''").select("note_id")
-    return audit.batches(n, "cross", "note_id").groupBy("batch").agg(F.min("note_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return audit.batches(n, "cross", "note_id", Workspace(spark)).groupBy("batch").agg(F.min("note_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
 # --- sessions --------------------------------------------------------------------------

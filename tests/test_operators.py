@@ -204,3 +204,17 @@ def test_group_facts(spark):
     ranked, near = audit.group_facts(members, notes, vec, edge((10, 1)))
     assert {(r.god, r["rank"], r.links_to_group) for r in near.collect()} == {(10, 1, 1), (11, 2, 0)} and ranked.count() == 4
     assert audit.group_facts(members, notes, vec, edge((11, 1), (11, 2)))[0].count() == 0
+
+
+def test_threads_over_chunks(spark):
+    from marlinspike.operators import digest
+
+    notes = [(1, "s/Session — One.md", "session", "Quill Board", "2024-01-02"), (2, "s/two.md", "Session", "", "2024-01-03"), (3, "s/three.md", "session", "other", None), (4, "s/four.md", "atom", "", None)]
+    n = spark.createDataFrame(notes, "note_id long, path string, type string, project string, date string")
+    chunks = [(1, 1, "- [ ] first\n```\n- [ ] hidden", 0), (2, 1, "- [ ] still hidden\n```\n- [ ] second  one\n- [x] done", 1), (3, 2, "- [ ] third", 0), (4, 3, "- [ ] foreign", 0), (5, 4, "- [ ] no session", 0), (6, 1, None, 2)]
+    c = spark.createDataFrame(chunks, "chunk_id long, note_id long, body string, ord int")
+    rows = digest.threads(n, c, wanted="quill-board").orderBy("note_id", "pos").collect()
+    assert [r.line for r in rows] == ["[ ] first (Session — One)", "[ ] second one (Session — One)", "[ ] third (Session — two, no project)"]
+    closed = spark.createDataFrame([(rows[0].key,)], "key string")
+    assert [r.line for r in digest.tails(n, c, closed, wanted="quill-board").collect()] == [rows[1].line, rows[2].line]
+    assert digest.tails(n, c, limit=1).count() == 1 and digest.by_project(digest.threads(n, c)).count() == 3
