@@ -101,9 +101,11 @@ def demand(sized: DataFrame, knots: DataFrame, repeats: DataFrame, total_tokens:
     plan = schedule(knots).join(have, "source", "left").join(times, "source", "left").withColumn("supply", F.coalesce("supply", F.lit(0))).withColumn("repeats", F.coalesce("repeats", F.lit(1)))
     usable = (F.col("supply") > 0) & (F.col("share") > 0)
     bear = F.min(F.when(usable, F.col("supply") * F.col("repeats") / F.col("share")))
-    bound = plan.agg(bear.alias("total"), F.sum(F.when(usable, F.col("share"))).alias("usable"))
-    total = F.col("total") if total_tokens is None else F.least(F.col("total"), F.lit(float(total_tokens)) / F.col("usable"))
-    plan = plan.crossJoin(F.broadcast(bound.select(total.alias("total"))))  # one row of bounds
+    bound = plan.agg(bear.alias("total"), F.sum(F.when(usable, F.col("share"))).alias("usable")).first()
+    total = bound.total
+    if total is not None and total_tokens is not None:
+        total = min(total, total_tokens / bound.usable)
+    plan = plan.withColumn("total", F.lit(total).cast("double"))
     return plan.withColumn("asked", F.when(usable, F.col("share") * F.col("total")).otherwise(0.0))
 
 
@@ -129,6 +131,6 @@ def mixture(sized: DataFrame, plan: DataFrame, ws: Workspace, seed: int = 1) ->
 def shares(plan: DataFrame, mixed: DataFrame) -> DataFrame:
     """For every target source the share asked, the share reached and how often documents repeat."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max(F.col("copy") + 1).alias("most_copies"))
-    whole = mixed.agg(F.sum("tokens").alias("all"))
-    out = plan.select("source", "share", "supply", "repeats").join(got, "source", "left").crossJoin(F.broadcast(whole))  # one row of totals
+    whole = mixed.agg(F.sum("tokens").alias("n")).first().n
+    out = plan.select("source", "share", "supply", "repeats").join(got, "source", "left").withColumn("all", F.lit(whole))
     return out.select("source", F.round("share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("all"), 6).alias("share"), "supply", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.col("repeats").alias("max_repeats"))
