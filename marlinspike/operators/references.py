@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 #: Runs and references are matched inside blocks of this many key values, so the
 #: rows of one window are bounded by it whatever the tables hold.
 KEY_BLOCK = 1 << 14
+#: What a null arrival counts as.
+ALWAYS = "0001-01-01"
 
 
 def fold(name: Column) -> Column:
@@ -30,7 +32,7 @@ def key_runs(parents: DataFrame) -> DataFrame:
     that occurs several times counts from its first arrival; a null arrival counts
     as always there.
     """
-    keys = parents.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce("arrived", F.lit("0001-01-01").cast("timestamp"))).alias("arrived"))
+    keys = parents.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce("arrived", F.lit(ALWAYS).cast("timestamp"))).alias("arrived"))
     keys = keys.withColumn("block", F.floor(F.col("key") / KEY_BLOCK))
     nth = F.row_number().over(Window.partitionBy("block").orderBy("key"))
     runs = keys.withColumn("island", F.col("key") - nth).groupBy("block", "island")
@@ -64,7 +66,7 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, removed: DataFrame) -> Data
     gone = removed.filter(F.col("key").isNotNull()).select("key").distinct().withColumn("_gone", F.lit(True))
     missing = matched.filter(~F.col("found")).join(gone, "key", "left").select("key", F.when(F.col("_gone"), "removed").otherwise("absent").alias("fault"), F.lit(None).cast("timestamp").alias("arrived"))
     early = matched.filter(F.col("found") & (F.col("first_seen") < F.col("latest"))).select("key", "first_seen")
-    arrived = parents.groupBy("key").agg(F.min("arrived").alias("arrived"))
+    arrived = parents.groupBy("key").agg(F.min(F.coalesce("arrived", F.lit(ALWAYS).cast("timestamp"))).alias("arrived"))
     late = early.join(arrived, "key").filter(F.col("first_seen") < F.col("arrived")).select("key", F.lit("later").alias("fault"), "arrived")
     bad = missing.unionByName(late)
     hit = keyed.join(bad, "key").filter(F.col("arrived").isNull() | (F.col("seen") < F.col("arrived")))
@@ -81,7 +83,7 @@ def orphan_names(refs: DataFrame, claims: DataFrame, removed: DataFrame) -> Data
     """
     named = refs.select("ref_id", fold(F.col("name")).alias("name"), "seen")
     names = named.groupBy("name").agg(F.min("seen").alias("first_seen"))
-    first = claims.filter(F.col("name").isNotNull()).groupBy(fold(F.col("name")).alias("name")).agg(F.min(F.coalesce("arrived", F.lit("0001-01-01").cast("timestamp"))).alias("arrived"))
+    first = claims.filter(F.col("name").isNotNull()).groupBy(fold(F.col("name")).alias("name")).agg(F.min(F.coalesce("arrived", F.lit(ALWAYS).cast("timestamp"))).alias("arrived"))
     gone = removed.filter(F.col("name").isNotNull()).select(fold(F.col("name")).alias("name")).distinct().withColumn("_gone", F.lit(True))
     met = names.join(first, "name", "left").join(gone, "name", "left")
     fault = F.when(F.col("arrived").isNull(), F.when(F.col("_gone"), "removed").otherwise("absent")).when(F.col("first_seen") < F.col("arrived"), "later")
