@@ -82,7 +82,7 @@ def flat_messages(rows: DataFrame, with_text: bool) -> DataFrame:
     """Ordered messages of rows (id, session, time, message): by time, then id.
 
     Same columns as ``tree_messages``.  Repeated rows count once (of rows of an id
-    that differ, the least).  A null time is the fault 'no time'.  Rows of a null
+    that differ, the least; all rows of a null id in a session count as one).  A null time is the fault 'no time'.  Rows of a null
     session are left out.
     """
     kept = rows.filter(F.col("session").isNotNull()).select("id", "session", "time", _facts(F.col("message"), with_text).alias("m"))
