@@ -42,12 +42,13 @@ def jump_tables(nodes: DataFrame, ws: Workspace) -> tuple[list[DataFrame], DataF
     return tables[:-1], tables[-1].select("k")
 
 
-def expand_chains(starts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+def expand_chains(starts: DataFrame, tables: list[DataFrame], ws: Workspace | None = None) -> DataFrame:
     """From rows with a node n: a row for each node of the chain up from n.
 
     Adds ``d``, the number of steps from the start; ``n`` becomes the node there.
     Starts must end (none of the nodes that never do).  One row is one node of one
-    chain, so a long chain is spread over tasks by its nodes.
+    chain, so a long chain is spread over tasks by its nodes.  With a workspace the
+    rows are written after every third join, which keeps each plan small.
     """
     rows = starts.withColumn("d", F.lit(0).cast("long"))
     for i, table in enumerate(tables):
@@ -56,4 +57,6 @@ def expand_chains(starts: DataFrame, tables: list[DataFrame]) -> DataFrame:
         one = F.array(F.struct(F.col("n"), F.col("d")))
         rows = rows.join(up, "n", "left").withColumn("_s", F.explode(F.when(F.col("_a").isNull(), one).otherwise(both)))
         rows = rows.select(*[c for c in rows.columns if c not in ("n", "d", "_a", "_s")], "_s.n", "_s.d")
+        if ws and i % 3 == 2:
+            rows = ws.write(rows)
     return rows
