@@ -49,7 +49,7 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
         "note_id", T.normalize_project(F.col("project")).alias("project_norm"), T.canonical_project(F.col("project"), ALIASES).alias("project_canon"),
         T.thread_key(F.coalesce("title", F.lit(""))).alias("thread_key"), T.finding_key("cross", F.array(F.coalesce("title", F.lit("")), F.col("path"))).alias("finding_key"),
         T.shown(F.coalesce("title", F.lit("")), 40).alias("shown"), T.bare_title(F.coalesce("title", F.lit(""))).alias("bare"), T.demand_fold(F.coalesce("title", F.lit(""))).alias("fold"),
-        T.iso_date(F.col("date")).alias("day"), T.file_stem(F.col("path")).alias("stem"), T.clip_bytes(F.coalesce("title", F.lit("")), 21).alias("clipped"),
+        T.iso_date(F.col("date")).cast("string").alias("day"), T.file_stem(F.col("path")).alias("stem"), T.clip_bytes(F.coalesce("title", F.lit("")), 21).alias("clipped"),
     )
 
 
@@ -168,7 +168,7 @@ def lane_fusion(spark: SparkSession, d: str) -> DataFrame:
     body = t.chunks.select(F.col("chunk_id"), F.sha2("body", 256).alias("hash"))
     best = near.join(body, near["id"] == body["hash"]).groupBy("chunk_id").agg(F.max("cosine").alias("cosine")).orderBy(F.desc("cosine"), "chunk_id").limit(50)
     ranked = best.select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("cosine"), "chunk_id")).alias("rank"))
-    return search.fuse(words, ranked).select("id", F.round("fusion", 6).alias("fusion"), "lexical_rank", "meaning_rank")
+    return search.fuse(words, ranked).select("id", F.round("fusion", 6).alias("fusion"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "meaning_rank")])
 
 
 def _one_vector(t: Tables) -> list[float]:
@@ -285,7 +285,7 @@ def fresh_gotchas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_godnotes(spark: SparkSession, d: str) -> DataFrame:
-    return digest.godnotes(Tables(spark, d).notes, PROJECT, ALIASES)
+    return digest.godnotes(Tables(spark, d).notes, PROJECT, ALIASES).withColumn("day", F.col("day").cast("string"))
 
 
 def project_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +340,7 @@ def verdict_carry(spark: SparkSession, d: str) -> DataFrame:
     cand = n.select(F.col("note_id").cast("string").alias("key"), F.create_map("path", "sha256").alias("sha"))
     old = F.when(F.col("note_id") % 3 == 0, F.lit("changed")).otherwise(F.col("sha256"))
     verdicts = n.select(F.col("note_id").cast("string").alias("key"), F.lit("keep").alias("verdict"), (F.col("note_id") % 5 == 0).alias("decided"), F.create_map(F.col("path"), old).alias("sha"))
-    return audit.standing(cand, verdicts).select("key", "verdict", "decided")
+    return audit.standing(cand, verdicts).select("key", F.coalesce("verdict", F.lit("")).alias("verdict"), F.coalesce("decided", F.lit(False)).alias("decided"))
 
 
 def finding_triage(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +402,7 @@ def activity_windows(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of a user's events with gaps under 30 minutes; the stream's form is in streaming.journals."""
     e = Tables(spark, d).t("events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     out = e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.col("w.start").alias("start"), "n")
+    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
 def context_alarms(spark: SparkSession, d: str) -> DataFrame:

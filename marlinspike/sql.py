@@ -44,7 +44,7 @@ SQL = {
   left(sha256(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))), 16) AS thread_key,
   'c-' || left(sha1(array_to_string(list_sort([coalesce(title, ''), path]), '|')), 16) AS finding_key,
   {_SHOWN.format("coalesce(title, '')", 40)} AS shown, {_BARE.format("coalesce(title, '')")} AS bare,
-  replace(replace(lower(upper(coalesce(title, ''))), ' ', ''), '-', '') AS fold, {_DAY.format("date")} AS day, {_STEM} AS stem,
+  replace(replace(lower(upper(coalesce(title, ''))), ' ', ''), '-', '') AS fold, CAST({_DAY.format("date")} AS VARCHAR) AS day, {_STEM} AS stem,
   left(coalesce(title, ''), list_max(list_filter(range(0, 22), lambda n: strlen(left(coalesce(title, ''), CAST(n AS INT))) <= 21))::INT) AS clipped FROM notes""",
     "token_counts": f"WITH {_C}, {_P} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY 1 ORDER BY df DESC, term LIMIT 50",
     "link_resolution": f"WITH {_L}, {_NAMES} SELECT link_id, nm.dst FROM l LEFT JOIN nm ON nm.name = lower(upper(trim(dst_name)))",
@@ -67,7 +67,7 @@ v AS (SELECT hash, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors WHERE {_OK}
 nr AS (SELECT hash, round(coalesce(CASE WHEN list_dot_product(x, x) > 0 THEN list_cosine_similarity(x, y) END, 0), 6) AS cosine FROM v, one ORDER BY cosine DESC, hash LIMIT 50),
 b AS (SELECT chunk_id, max(cosine) AS cosine FROM nr JOIN c ON sha256(body) = hash GROUP BY 1 ORDER BY cosine DESC, chunk_id LIMIT 50),
 mn AS (SELECT chunk_id AS id, row_number() OVER (ORDER BY cosine DESC, chunk_id) AS rank FROM b)
-SELECT id, round(coalesce(1.0 / (10 + lex.rank), 0) + coalesce(1.2 / (10 + mn.rank), 0), 6) AS fusion, lex.rank AS lexical_rank, mn.rank AS meaning_rank FROM lex FULL JOIN mn USING (id)""",
+SELECT id, round(coalesce(1.0 / (10 + lex.rank), 0) + coalesce(1.2 / (10 + mn.rank), 0), 6) AS fusion, coalesce(lex.rank, 0) AS lexical_rank, coalesce(mn.rank, 0) AS meaning_rank FROM lex FULL JOIN mn USING (id)""",
     "graph_neighbours": f"""WITH {_L}, s AS (SELECT id AS note, 1.0::DOUBLE / (id % 10 + 1) AS score FROM notes WHERE lower(type) = 'godnote'),
 hub AS (SELECT src FROM l GROUP BY 1 HAVING count(*) > 30), st AS (SELECT * FROM s WHERE note NOT IN (SELECT src FROM hub)),
 w AS (SELECT src AS a, dst AS b FROM l WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM l WHERE dst IS NOT NULL)
@@ -92,7 +92,7 @@ SELECT verdict, count(event_id) AS total, count(*) FILTER (ts >= TIMESTAMP '2024
     "fresh_gotchas": f"""SELECT path, {_SHOWN.format(_BARE.format("title"), 200)} || CASE WHEN coalesce(project, '') = '' THEN ' (no project)' ELSE '' END AS line FROM notes
 WHERE lower(kind) = 'gotcha' AND lower(coalesce(type, '')) <> 'lead' AND (coalesce(project, '') = '' OR {_NORM} = 'quill-board')
 ORDER BY CASE WHEN coalesce(project, '') = '' THEN 1 ELSE 0 END, {_DAY.format("date")} DESC NULLS LAST, path LIMIT 15""",
-    "project_godnotes": f"""SELECT path, {_DAY.format("date")} AS day, {_SHOWN.format(_BARE.format("title"), 200)} AS line FROM notes WHERE lower(type) = 'godnote' AND {_NORM} = 'quill-board'""",
+    "project_godnotes": f"""SELECT path, CAST({_DAY.format("date")} AS VARCHAR) AS day, {_SHOWN.format(_BARE.format("title"), 200)} AS line FROM notes WHERE lower(type) = 'godnote' AND {_NORM} = 'quill-board'""",
     "project_sessions": f"""SELECT {_NORM} AS project, path, row_number() OVER (PARTITION BY {_NORM} ORDER BY {_DAY.format("date")} DESC NULLS LAST, path) AS rank
 FROM notes WHERE lower(type) = 'session' QUALIFY rank <= 10""",
     "shared_neighbours": f"""WITH {_L}, {_EDGES}, t AS (SELECT id, {_NORM} AS p, {_DAY.format("date")} AS d FROM notes WHERE project <> '')
@@ -112,7 +112,7 @@ h AS (SELECT n.id AS new, n.title AS nt, nm.dst AS old, o.title AS ot FROM said
   WHERE nm.dst <> n.id AND coalesce(o.died, '') = '' AND NOT contains('/' || n.path, '/sessions/')),
 k AS (SELECT 'u-' || left(sha1(array_to_string(list_sort(list_filter([ot, nt], lambda x: x IS NOT NULL)), '|')), 16) AS key, 'supersedes' AS how, old, new FROM h)
 SELECT key, how, old, new FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY new, old) = 1""",
-    "verdict_carry": "SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN 'keep' END AS verdict, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN id % 5 = 0 END AS decided FROM notes",
+    "verdict_carry": "SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN 'keep' ELSE '' END AS verdict, id % 5 = 0 AS decided FROM notes",
     "finding_triage": """WITH f AS (SELECT id AS i, ['group', 'cross', 'same', 'stale'][id % 4 + 1] AS kind, id % 50 AS p, ['устарело', 'уточняет', 'дубль', 'мимо'][id // 4 % 4 + 1] AS v FROM notes),
 told AS (SELECT DISTINCT p FROM f WHERE kind = 'stale' AND i % 7 < 3 AND i % 11 <> 0)
 SELECT CAST(i AS VARCHAR) AS key, CASE WHEN i % 11 = 0 THEN 'unread' WHEN i % 13 = 0 THEN 'decided' WHEN kind = 'group' AND i % 8 < 5 AND i % 3 = 0 THEN 'safe' WHEN kind = 'group' AND i % 8 < 5 THEN 'page'
@@ -127,5 +127,5 @@ SELECT id AS session_id, turns FROM sessions JOIN n ON n.session_id = id WHERE l
   AND last_activity_at <= TIMESTAMPTZ '2025-06-10 00:00:00+00' - INTERVAL 30 MINUTE AND turns >= 3 AND coalesce(hidden, 0) = 0 AND working_directory IS DISTINCT FROM '/work/Brindle'""",
     "activity_windows": """WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM s)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""",
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM g GROUP BY user_id, k""",
 }
