@@ -66,7 +66,7 @@ def tree_messages(nodes: DataFrame, leaves: DataFrame, ws: Workspace, with_text:
     start = start.join(state.select(F.col("k").alias("n"), F.lit(True).alias("known")), "n", "left").join(endless.select(F.col("k").alias("n"), F.lit(True).alias("endless")), "n", "left")
     start = ws.write(start)
     good = start.filter(F.col("known") & F.col("endless").isNull()).select("session", "n")
-    chain = expand_chains(good, tables)
+    chain = expand_chains(good, tables, ws)
     parents = tables[0].select("k", F.lit(True).alias("linked")) if tables else state.select("k", F.lit(True).alias("linked")).limit(0)
     info = state.join(parents, "k", "left").select(F.col("k").alias("n"), "m", F.when(F.col("p").isNotNull() & F.col("linked").isNull(), "orphan").alias("fault"))
     text = ["m.text"] if with_text else []
