@@ -33,7 +33,7 @@ K1, B = 1.2, 0.75
 #: Words of one index term.
 TERM_WORDS = 2
 #: Items of one block of the index.
-BLOCK = 32
+BLOCK = 64
 #: Items and bytes of one shard of the index, which is what a broadcast holds.
 SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
 
@@ -45,7 +45,7 @@ class Index:
     items: np.ndarray  # item id of each position
     terms: np.ndarray  # sorted word hashes
     top: np.ndarray  # largest impact of each term
-    block_top: np.ndarray  # (term, block): largest impact
+    block_top: np.ndarray  # (term, block): largest impact; a row of zeros at the end for no term
     ptr: np.ndarray  # (term * blocks + block): first posting
     post_item: np.ndarray
     post_impact: np.ndarray
@@ -93,14 +93,14 @@ def build_index(ids: list[int], texts: list[str], min_words: int, term_words: in
     impact = impact / floor[pi] * (1 + 1e-6)  # float32 sums must not fall under the bound by rounding
     blocks = (len(ids) + BLOCK - 1) // BLOCK
     cell = pt * blocks + pi // BLOCK
-    ptr = np.zeros(len(terms) * blocks + 1, np.int64)
+    ptr = np.zeros(len(terms) * blocks + 1, np.int32)
     np.cumsum(np.bincount(cell, minlength=len(terms) * blocks), out=ptr[1:])
-    block_top = np.zeros(len(terms) * blocks, np.float32)
+    block_top = np.zeros((len(terms) + 1) * blocks, np.float32)
     np.maximum.at(block_top, cell, impact)
-    block_top = block_top.reshape(len(terms), blocks)
+    block_top = block_top.reshape(len(terms) + 1, blocks)
     gram, goff = shingle_hashes(plain, plain_off, min_words)
     tagged = np.unique(_tag(gram, np.repeat(np.arange(len(ids)), np.diff(goff))))
-    return Index(np.array(ids, np.int64), terms, block_top.max(1), block_top, ptr, pi.astype(np.int32), impact.astype(np.float32), tagged, min_words, term_words)
+    return Index(np.array(ids, np.int64), terms, block_top[:-1].max(1), block_top, ptr, pi.astype(np.int32), impact.astype(np.float32), tagged, min_words, term_words)
 
 
 def passages(words: np.ndarray, off: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +127,17 @@ def retrieve(ix: Index, terms: np.ndarray, first: np.ndarray, end: np.ndarray, l
     q[:, 1:][q[:, 1:] == q[:, :-1]] = -1  # a query term counts once
     out_p, out_i = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     blocks = ix.block_top.shape[1]
-    pad = np.vstack([ix.block_top, np.zeros((1, blocks), np.float32)])
     for a in range(0, len(keep), 4096):
         part = q[a : a + 4096]
         bound = np.zeros((len(part), blocks), np.float32)
         for j in range(length):
-            bound += pad[part[:, j]]
+            bound += ix.block_top[part[:, j]]
         r, b = np.nonzero(bound >= 1)  # bound by block
         if not len(r):
             continue
         qr = part[r]
         cell = np.where(qr >= 0, qr * blocks + b[:, None], 0)
-        lo, n = ix.ptr[cell], np.where(qr >= 0, ix.ptr[cell + 1] - ix.ptr[cell], 0)
+        lo, n = ix.ptr[cell].astype(np.int64), np.where(qr >= 0, ix.ptr[cell + 1] - ix.ptr[cell], 0)
         n, lo = n.ravel(), lo.ravel()
         take = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
         pair = np.repeat(np.repeat(np.arange(len(r)), length), n)
