@@ -36,6 +36,11 @@ class Tables:
         self.links = self.t("links").dropDuplicates(["link_id"]).select("link_id", F.col("src_note_id").alias("src"), "dst_name", F.col("dst_note_id_or_null").alias("dst"))
         self.vectors = self.t("chunk_vectors")
 
+    def stored(self) -> Tables:
+        """The same with the chunks written once, for queries that read their bodies in several steps."""
+        self.chunks = Workspace(self.spark).write(self.chunks)
+        return self
+
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.d}/{name}.parquet")
 
@@ -139,13 +144,13 @@ def _stats(t: Tables) -> tuple[DataFrame, search.Stats]:
 
 
 def coverage_mass(spark: SparkSession, d: str) -> DataFrame:
-    found, stats = _stats(Tables(spark, d))
+    found, stats = _stats(Tables(spark, d).stored())
     return search.coverage(found, stats).select("chunk_id", F.round("mass", 6).alias("mass"), "terms_matched", "content_matched")
 
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks by BM25 over the whole table."""
-    t = Tables(spark, d)
+    t = Tables(spark, d).stored()
     found, stats = _stats(t)
     lens = search.lengths(t.chunks)
     score = search.bm25(found, lens, stats.df, stats.chunks, lens.agg(F.avg("dl")).first()[0] or 1.0)
@@ -185,7 +190,7 @@ def byte_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def search_report(spark: SparkSession, d: str) -> DataFrame:
     """The whole search: fragments in order."""
-    t = Tables(spark, d)
+    t = Tables(spark, d).stored()
     ws = Workspace(spark)
     posts = ws.write(search.postings(t.chunks).sort("term"))
     corpus = search.Corpus(t.notes, t.chunks, t.links, posts, ws.write(search.lengths(t.chunks)))
