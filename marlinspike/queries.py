@@ -341,7 +341,7 @@ def stale_signs(spark: SparkSession, d: str) -> DataFrame:
 
 def verdict_carry(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts on notes that still hold: each third note has changed since, each fifth was decided by a user."""
-    n = Tables(spark, d).notes
+    n = Tables(spark, d).notes.filter("path is not null")
     cand = n.select(F.col("note_id").cast("string").alias("key"), F.create_map("path", "sha256").alias("sha"))
     old = F.when(F.col("note_id") % 3 == 0, F.lit("changed")).otherwise(F.col("sha256"))
     verdicts = n.select(F.col("note_id").cast("string").alias("key"), F.lit("keep").alias("verdict"), (F.col("note_id") % 5 == 0).alias("decided"), F.create_map(F.col("path"), old).alias("sha"))
