@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from marlinspike.functions import text as T
 from marlinspike.operators import audit, digest, health, links, search, sessions, vectors
+from marlinspike.plans.ordered import prefix_sum
 from marlinspike.plans.workspace import Workspace
 from marlinspike.sources import vault
 from marlinspike.streaming import guard
@@ -368,11 +369,17 @@ def reading_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of the flat store as turns; the role and text of well-formed ones."""
-    m = Tables(spark, d).t("message").dropDuplicates(["id"]).filter("session_id is not null and time_created is not null")
+    """Messages of the flat store as turns (session_id, pos, role, text); the role and text of well-formed ones.
+
+    pos counts from 0 by (time_created, id), so messages of one time are turns of
+    their own; those without a time come first, as where the store is read.
+    """
+    m = Tables(spark, d).t("message").select("id", "session_id", "time_created", "data").distinct().filter("session_id is not null")
     v = F.try_parse_json("data")
-    rows = m.select("session_id", F.unix_micros("time_created").alias("pos"), F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.content", "string").alias("text"))
-    return rows.filter("role is not null").groupBy("session_id", "pos").agg(F.min(F.struct("role", "text")).alias("s")).select("session_id", "pos", "s.role", "s.text")
+    at = [F.col("time_created").alias("_time"), F.coalesce("id", F.lit("")).alias("_id"), F.when(F.col("id").isNull(), F.col("data")).alias("_data")]  # unique in a session even without ids
+    rows = m.select("session_id", *at, F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.content", "string").alias("text"), F.lit(1).cast("long").alias("_one"))
+    placed = prefix_sum(rows.filter("role is not null"), ["session_id"], ["_time", "_id", "_data"], "_one", "pos", Workspace(spark))
+    return placed.select("session_id", "pos", "role", "text")
 
 
 def session_facts(spark: SparkSession, d: str) -> DataFrame:
