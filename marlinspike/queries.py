@@ -20,7 +20,6 @@ from marlinspike.streaming import guard
 
 TODAY = datetime.date(2025, 7, 1)
 NOW = datetime.datetime(2025, 6, 10, tzinfo=datetime.timezone.utc)
-EARLY = datetime.datetime(2024, 3, 1, tzinfo=datetime.timezone.utc)
 QUESTION = "Which session thread breaks the default journal query because of harbor-index"
 PROJECT = "quill-board"
 ALIASES = {"quill-board": ["Quill Board"]}
@@ -263,10 +262,9 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def islands(spark: SparkSession, d: str) -> DataFrame:
-    """Notes cut off in the graph as it was on a day; later there is hardly any."""
+    """Notes cut off from the largest component of the graph of all resolved links."""
     t = Tables(spark, d)
-    early = t.t("links").filter(F.col("seen_at") < F.lit(EARLY)).select(F.col("src_note_id").alias("src"), F.col("dst_note_id_or_null").alias("dst"))
-    return health.islands(t.notes, early.filter("dst is not null"), Workspace(spark)).select("island", "size", "note_id")
+    return health.islands(t.notes, t.links.filter("dst is not null"), Workspace(spark)).select("island", "size", "note_id")
 
 
 def stale_notes(spark: SparkSession, d: str) -> DataFrame:

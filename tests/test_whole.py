@@ -42,3 +42,21 @@ def test_turns_of_one_time(spark, folder):
     assert sum(r.turns for r in queries.session_split(spark, d).collect()) == 6
     text = "[user]\nuntimed\n\n[user]\nz\n\n[assistant]\nyes\n\n[user]\na\n\n[user]\na\n\n[assistant]\nend"
     assert [r.sha256 for r in queries.session_render(spark, d).collect()] == [hashlib.sha256(text.encode()).hexdigest()]
+
+
+def test_islands_of_all_links(spark, folder, tables):
+    link = lambda k, a, b, day: {"link_id": k, "src_note_id": a, "dst_note_id_or_null": b, "dst_name": "x", "seen_at": None if day is None else _at(day)}
+    links = [link(1, 1, 2, 10), link(2, 2, 3, 400), link(3, 4, 3, None), link(4, 5, 6, 500), link(5, 7, None, 1), link(6, 8, 99, 1)]
+    d = folder(notes=[{"id": i, "path": f"{i}.md"} for i in range(1, 9)], links=links)
+    assert sorted(tuple(r) for r in queries.islands(spark, d).collect()) == [(5, 2, 5), (5, 2, 6), (7, 1, 7), (8, 1, 8)]
+    rows = pq.read_table(f"{tables['full']}/links.parquet").to_pylist()
+    ids = {i for i in pq.read_table(f"{tables['full']}/notes.parquet").column("id").to_pylist() if i is not None}
+    least = {i: i for i in ids}
+    for _ in ids:
+        for r in rows:
+            if {r["src_note_id"], r["dst_note_id_or_null"]} <= ids:
+                least[r["src_note_id"]] = least[r["dst_note_id_or_null"]] = min(least[r["src_note_id"]], least[r["dst_note_id_or_null"]])
+    size = {c: list(least.values()).count(c) for c in least.values()}
+    home = min(size, key=lambda c: (-size[c], c))
+    got = [tuple(r) for r in queries.islands(spark, tables["full"]).collect() if r.note_id is not None]
+    assert sorted(got) == sorted((c, size[c], i) for i, c in least.items() if c != home)
