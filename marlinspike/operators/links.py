@@ -40,6 +40,19 @@ def name_map(notes: DataFrame) -> DataFrame:
     return owner.unionByName(alias).filter(~F.col("shared")).select("name", "dst")
 
 
+def latest_name_map(notes: DataFrame) -> DataFrame:
+    """(name, dst) of notes (note_id, title, path, aliases) as claims of staleness are resolved.
+
+    Unlike ``name_map``, the greatest note id wins where several notes have a name, and
+    the file name with its ending is no name.  An alias answers where no note has the
+    name as its own, the greatest note id again.
+    """
+    names = F.array("title", T.file_stem(F.col("path")), F.regexp_replace("path", r"\.md$", ""), "path")
+    last = lambda x: notes.select(F.explode(F.transform(x, fold)).alias("name"), "note_id").filter("name <> ''").groupBy("name").agg(F.max("note_id").alias("dst"))
+    own, alias = last(names), last(F.transform(alias_list(F.col("aliases")), F.trim))
+    return own.unionByName(alias.join(own.select("name"), "name", "left_anti"))
+
+
 def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
     """``links`` with ``dst`` (set anew if there): the note that answers to dst_name, null where broken.
 

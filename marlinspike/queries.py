@@ -332,10 +332,11 @@ def meaning_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_signs(spark: SparkSession, d: str) -> DataFrame:
-    """Notes another note claims to replace: the least link of each note stands in for the claim."""
+    """Notes another note claims to replace: every distinct link of a note stands in for a claim, a text each."""
     t = Tables(spark, d)
-    said = t.links.groupBy(F.col("src").alias("note_id")).agg(F.concat(F.lit("This supersedes [["), F.min("dst_name"), F.lit("]].")).alias("text"))
-    return audit.stale(t.notes, said, links.name_map(t.notes)).select("key", "how", "old", "new")
+    own = t.t("links").select(F.col("src_note_id").alias("note_id"), "dst_name").distinct()  # takes out re-delivered rows too
+    said = own.select("note_id", F.concat(F.lit("This supersedes [["), "dst_name", F.lit("]].")).alias("text"))
+    return audit.stale(t.notes, said, links.latest_name_map(t.notes)).select("key", "how", "old", "new")
 
 
 def verdict_carry(spark: SparkSession, d: str) -> DataFrame:

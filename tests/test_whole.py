@@ -60,3 +60,13 @@ def test_islands_of_all_links(spark, folder, tables):
     home = min(size, key=lambda c: (-size[c], c))
     got = [tuple(r) for r in queries.islands(spark, tables["full"]).collect() if r.note_id is not None]
     assert sorted(got) == sorted((c, size[c], i) for i, c in least.items() if c != home)
+
+
+def test_stale_signs_of_every_link(spark, folder):
+    notes = [
+        {"id": 1, "path": "a/one.md", "title": "Twin"}, {"id": 2, "path": "a/two.md", "title": "TWIN", "aliases": "nick"}, {"id": 3, "path": "a/three.md", "title": "Three", "aliases": '["nick", "two"]'},
+        {"id": 4, "path": "a/four.md", "title": "Four"}, {"id": 5, "path": "a/sessions/five.md", "title": "Five"}, {"id": 6, "path": "a/six.md", "title": "Six", "died": "2024-01-01"},
+    ]
+    said = [(4, "twin"), (4, "Nick"), (4, "two"), (4, "a/one"), (4, "one.md"), (4, "Six"), (4, "Four"), (4, None), (5, "Three"), (2, "Twin"), (1, "Four|shown"), (1, "Four")]
+    d = folder(notes=notes, links=[{"link_id": i, "src_note_id": s, "dst_name": n} for i, (s, n) in enumerate(said)])
+    assert sorted((r.old, r.new, r.how) for r in queries.stale_signs(spark, d).collect()) == [(2, 4, "supersedes"), (3, 4, "supersedes"), (4, 1, "supersedes")]  # titles Twin and Four are one finding, the least source first
