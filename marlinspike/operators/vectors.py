@@ -183,6 +183,61 @@ def groups(rows: DataFrame, cut: float = GROUP_DISTANCE, least: int = GROUP_LEAS
     return rows.groupBy(F.lit(1).alias("g")).applyInArrow(lambda t: run(t.drop_columns(["g"]) if "g" in t.column_names else t), f"id {kind}, label long")
 
 
+def linkage_by_means(x: np.ndarray, cut: float) -> np.ndarray:
+    """As ``average_linkage``, of unit rows, in memory that grows with the rows and not with their square.
+
+    The mean distance of two clusters is 1 minus the product of their mean rows, so
+    clusters are kept as means.  Each round merges all pairs under the cut that are
+    each other's nearest; a merge brings no cluster nearer to another than the nearer
+    of its parts was, so only those that lost their nearest look again, and one with
+    none under the cut stays as it is.
+    """
+    mean, size = x.copy(), np.ones(len(x))
+    parent, near, far = np.arange(len(x)), np.full(len(x), -1), np.full(len(x), np.inf)
+    live = look = np.arange(len(x))
+    while len(live):
+        for k in range(0, len(look), 256):
+            part = look[k : k + 256]
+            d = np.clip(1 - mean[part] @ mean[live].T, 0, None)
+            d[part[:, None] == live[None, :]] = np.inf
+            best = d.argmin(1)
+            near[part], far[part] = live[best], d[np.arange(len(part)), best]
+        live = live[far[live] < cut]
+        a = live[(near[near[live]] == live) & (live < near[live])]
+        b = near[a]
+        if len(live) and not len(a):  # rounding may break a tie differently on its two sides
+            a = live[[far[live].argmin()]]
+            b = near[a]
+        whole = size[a] + size[b]
+        mean[a] = (size[a, None] * mean[a] + size[b, None] * mean[b]) / whole[:, None]
+        size[a], parent[b] = whole, a
+        gone = np.isin(near[live], np.concatenate([a, b])) | np.isin(live, a)
+        look, live = live[gone & ~np.isin(live, b)], live[~np.isin(live, b)]
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return np.unique(parent, return_inverse=True)[1]
+
+
+def groups_of_any(rows: DataFrame, cut: float = GROUP_DISTANCE, least: int = GROUP_LEAST) -> DataFrame:
+    """As ``groups``, for any number of rows: beyond GROUP_ROWS by ``linkage_by_means``.
+
+    One task still holds all vectors, and its time grows with the square of the rows.
+    """
+    if rows.limit(GROUP_ROWS + 1).count() <= GROUP_ROWS:
+        return groups(rows, cut, least)
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)["id"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        label = linkage_by_means(flat.reshape(len(table), -1).astype(np.float64), cut)
+        keep = np.bincount(label)[label] >= least
+        return pa.table({"id": table.column("id").filter(pa.array(keep)), "label": pa.array(label[keep])})
+
+    return rows.groupBy(F.lit(1).alias("g")).applyInArrow(lambda t: run(t.select(["id", "vector"])), f"id {kind}, label long")
+
+
 def plane(rows: DataFrame, dim: int) -> DataFrame:
     """(id, x, y): the two main directions of vectors (id, vector), found from a covariance of dim * dim sums."""
     ship(rows.sparkSession)

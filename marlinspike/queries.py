@@ -240,7 +240,7 @@ def centred_pairs(spark: SparkSession, d: str) -> DataFrame:
 def linkage_groups(spark: SparkSession, d: str) -> DataFrame:
     """Average-linkage groups of the embeddings, by their least member."""
     rows, _ = _centred(spark, d)
-    g = vectors.groups(rows, 0.9)
+    g = vectors.groups_of_any(rows, 0.9)
     return g.groupBy("label").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")).select("first_id", "size")
 
 

@@ -6,11 +6,13 @@ import datetime as dt
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from marlinspike import queries
+from marlinspike.operators import vectors
 from tests.small import SCHEMAS
 
 
@@ -62,6 +64,30 @@ def test_islands_of_all_links(spark, folder, tables):
     assert sorted(got) == sorted((c, size[c], i) for i, c in least.items() if c != home)
 
 
+def test_groups_beyond_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((120, 6))
+    x[100:] = x[:20]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+
+    def parts() -> set:
+        got: dict = {}
+        for r in vectors.groups_of_any(rows, 0.3, 3).collect():
+            got.setdefault(r.label, set()).add(r.id)
+        return {frozenset(g) for g in got.values()}
+
+    few = parts()
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 50)
+    assert parts() == few and len(few) > 3
+
+
+def test_linkage_groups_beyond_the_bound(spark, tables, monkeypatch):
+    few = sorted(map(tuple, queries.linkage_groups(spark, tables["full"]).collect()))
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 10)
+    assert sorted(map(tuple, queries.linkage_groups(spark, tables["full"]).collect())) == few
+
+
 def test_stale_signs_of_every_link(spark, folder):
     notes = [
         {"id": 1, "path": "a/one.md", "title": "Twin"}, {"id": 2, "path": "a/two.md", "title": "TWIN", "aliases": "nick"}, {"id": 3, "path": "a/three.md", "title": "Three", "aliases": '["nick", "two"]'},
