@@ -41,14 +41,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, same = spans.shared_pairs(_documents(spark, d), 200, Workspace(spark))
-    return spans.expand(pairs, same).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    ws = Workspace(spark)
+    pairs, same = spans.shared_pairs(_documents(spark, d), 200, ws)
+    return spans.expand(pairs, same, ws).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    pairs, same = spans.shared_pairs(docs, 200, Workspace(spark))
-    out = spans.coverage(docs, pairs, same)
+    found, same = spans.shared_windows(docs, 200, Workspace(spark))
+    out = spans.coverage(docs, found, same)
     return out.select(F.col("id").alias("doc_id"), "n_chars", "shared_chars", "shared_part", F.to_json("stretches").alias("stretches"))
 
 
@@ -202,4 +203,12 @@ SELECT item_id, count(*) AS n_docs, max(n) AS most_runs FROM p GROUP BY 1""",
 WITH g AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h
   FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shared": """
+WITH g AS (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200)),
+c AS (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, i FROM g JOIN c USING (h))),
+r AS (SELECT doc_id, min(i) - 1 AS lo, max(i) + 199 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s) GROUP BY doc_id, k),
+e AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n, CAST(to_json(list(struct_pack(lo := lo, hi := hi) ORDER BY lo)) AS VARCHAR) AS stretches FROM r GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) END AS shared_part,
+  coalesce(stretches, '[]') AS stretches FROM (SELECT DISTINCT doc_id, text FROM documents) LEFT JOIN e USING (doc_id)""",
 }

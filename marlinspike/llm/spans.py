@@ -5,9 +5,10 @@ positions.  Two disjoint windows fit into the 137 hash positions of any stretch
 200 bytes, so a shared stretch always holds two common cut points, and the chunk
 between them (with the 64 bytes that decide its first cut) is the same in both
 texts, whatever was inserted before.  Chunks are compared by digest; equal chunks
-are widened to windows of nearly the asked length, which keeps a short boilerplate
-chunk of a third of all records from pairing them; what still meets is compared
-exactly.
+are widened to windows of nearly the asked length, and windows of equal digest are
+classed by the characters beside them, which decides every stretch of the asked
+length exactly.  Work grows with the shared text, not with the pairs that share it;
+pairs are formed only where they are the result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlinspike.llm.kernels import GEAR_BYTES, U64, cut_points, odd_constants, slices, splitmix
+from marlinspike.llm.kernels import GEAR_BYTES, U64, cut_points, slices
+from marlinspike.plans.members import member_pairs
 from marlinspike.plans.shipping import ship
 from marlinspike.plans.workspace import Workspace
 
@@ -75,84 +77,35 @@ def _chunk_rows(w: int, positions: bool):
     return run
 
 
-def _window_keys(min_chars: int):
-    """Arrow map from (id, text, spots): distinct (key, id) of the windows around shared chunks."""
+def _windows(min_chars: int):
+    """Arrow map from (id, text, spots): (key, id, pos, left, right) of the windows around shared chunks.
+
+    A window has ``STEP`` characters less than a stretch; left and right are up to
+    ``STEP`` characters beside it, so they tell every stretch the window is part of.
+    """
     size = min_chars - STEP
 
-    def keys(text: str, spots: list[dict]) -> set[int]:
+    def starts(text: str, spots: list[dict]) -> list[int]:
         data = text.encode("utf-8", "surrogatepass")
         chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         out = set()
-        f = xxhash.xxh3_64_intdigest
         for s in spots:
             lo, hi = int(chars[s["lo"]]) - 1, int(chars[s["hi"] - 1])
-            for x in range(0, max(min_chars - (hi - lo), 0) + 1, STEP):
-                p = lo - x
-                if p < 0:
-                    break
-                if p + size <= len(text):
-                    out.add(f(text[p : p + size].encode("utf-8", "surrogatepass")))
-        return out
+            least = max(lo - max(min_chars - (hi - lo), 0), 0)
+            out.update(p for p in range(lo, least - 1, -STEP) if p + size <= len(text))
+        return sorted(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = xxhash.xxh3_128_digest
         for batch in batches:
             for i, text, spots in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                found = keys(text, spots)
-                key = np.fromiter(found, U64, len(found)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(np.full(len(found), i))})
-
-    return run
-
-
-def gram_hashes(text: str, n: int) -> np.ndarray:
-    """Hash of each run of n characters."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(cps) < n:
-        return np.empty(0, U64)
-    h = splitmix(cps.astype(U64))
-    base = odd_constants(1, 5)[0]
-    span, out, need = 1, None, n  # binary powers: a run of 2**k is two runs of 2**(k-1)
-    at = 0
-    total = len(cps) - n + 1
-    power = base
-    while need:
-        if need & 1:
-            piece = h[at : at + total]
-            out = piece.copy() if out is None else out * power + piece
-            at += span
-        need >>= 1
-        if need:
-            h = h[:-span] * power + h[span:]
-            span *= 2
-            power = U64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
-def shared_spans(a: str, b: str, n: int) -> list[tuple[int, int]]:
-    """Ranges of a, of at least n characters, made of runs of n that stand in b."""
-    ga, gb = gram_hashes(a, n), gram_hashes(b, n)
-    if not len(ga) or not len(gb):
-        return []
-    at = np.flatnonzero(np.isin(ga, gb))
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > 1)
-    first = at[np.concatenate(([0], cut + 1))]
-    last = at[np.concatenate((cut, [len(at) - 1]))]
-    return [(int(p), int(q) + n) for p, q in zip(first, last) if a[p : p + n] in b]
-
-
-def _verify(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for batch in batches:
-            rows = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if sa := shared_spans(ta, tb, n):
-                    as_rows = lambda s: [{"lo": p, "hi": q} for p, q in s]
-                    rows.append((a, b, as_rows(sa), as_rows(shared_spans(tb, ta, n))))
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], spans), pa.array(cols[3], spans)], ["a", "b", "spans_a", "spans_b"])
+                at = starts(text, spots)
+                cols = {
+                    "key": pa.array([f(text[p : p + size].encode("utf-8", "surrogatepass")) for p in at], pa.binary()),
+                    "id": pa.array(np.full(len(at), i)), "pos": pa.array(at, pa.int32()),
+                    "left": pa.array([text[max(p - STEP, 0) : p] for p in at], pa.string()), "right": pa.array([text[p + size : p + size + STEP] for p in at], pa.string()),
+                }
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -164,14 +117,21 @@ def copies(docs: DataFrame) -> DataFrame:
     return h.join(reps, "h").select("id", "rep").distinct()
 
 
-def shared_pairs(docs: DataFrame, min_chars: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different texts with a common stretch, and the groups of equal texts.
+def shared_windows(docs: DataFrame, min_chars: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The stretches that stand in several different texts, as groups, and the groups of equal texts.
 
     docs: (id long, text string), of which null ids, null texts and texts under
-    ``min_chars`` characters take no part; repeated rows count once.  Returns
-    (a, b, spans_a, spans_b) with a < b the least ids of their texts and spans the
-    shared ranges of characters, and (id, rep) of the texts that occur several
-    times.  ``min_chars`` must be at least 130, or chunks would be empty.
+    ``min_chars`` characters take no part; repeated rows count once.  ``min_chars``
+    must be at least 130, or chunks would be empty.  Returns
+
+    (class, l, sub, id, lo, hi): the texts (least ids of equal ones) with equal
+    (class, l, sub) share the characters from lo to hi of each, ``min_chars`` or more;
+    and (id, rep) of the texts that occur several times.
+
+    No pair is formed.  Windows around common chunks are classed by their characters
+    and those beside them; all stretches through a window are common to the members
+    of its class.  Classes of one window are compared by stretch: the characters
+    beside them that a stretch holds are few, so each has ``STEP`` + 1 keys.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -187,36 +147,52 @@ def shared_pairs(docs: DataFrame, min_chars: int, ws: Workspace) -> tuple[DataFr
     spots = spots.join(F.broadcast(shared) if few else shared.hint("shuffle_hash"), "digest", "left_semi")
     spots = spots.join(same.filter("id <> rep").select("id"), "id", "left_anti")
     spots = spots.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spots"))
-    keys = ws.write(docs.join(spots, "id").select("id", "text", "spots").mapInArrow(_window_keys(min_chars), "key long, id long"))
-    often = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
-    live = ws.write(keys.join(often, "key", "left_semi"))
-    ws.drop(keys)
-    pairs = live.select("key", F.col("id").alias("a")).join(live.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    with_a = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    spans = "array<struct<lo:bigint,hi:bigint>>"
-    found = with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(min_chars), f"a long, b long, spans_a {spans}, spans_b {spans}")
-    return ws.write(found), same
-
-
-def expand(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    made = ws.write(docs.join(spots, "id").select("id", "text", "spots").mapInArrow(_windows(min_chars), "key binary, id long, pos int, left string, right string"))
+    often = made.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
+    live = ws.write(made.join(often, "key", "left_semi").withColumn("class", F.xxhash64("key", "left", F.lit("|"), "right")))
+    ws.drop(made)
+    side = ["key", "class", "left", "right"]
+    classes = ws.write(live.groupBy(*side).agg(F.min("id").alias("id"), F.max("id").alias("last")))
+    # the stretches through a window, by how many of the characters to its left they take
+    most, least = F.length("left"), F.greatest(F.lit(STEP) - F.length("right"), F.lit(0))
+    cut = F.explode(F.sequence(least, most)).alias("l")
+    each = classes.select("key", "class", "id", "left", "right", cut)
+    sub = F.concat(F.expr("right(left, l)"), F.lit("|"), F.expr(f"left(right, {STEP} - l)"))
+    each = each.select("key", "class", "l", sub.alias("sub"))
+    met = each.groupBy("key", "l", "sub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    across = ws.write(each.join(met.select("key", "l", "sub"), ["key", "l", "sub"], "left_semi"))
+    inside = live.join(classes.filter("id <> last").select("key", "class"), ["key", "class"], "left_semi")
+    end = F.col("pos") + min_chars
+    whole = inside.select("key", F.col("class"), F.lit(-1).alias("l"), F.lit("").alias("sub"), "id", (F.col("pos") - most).alias("lo"), (end - least).alias("hi"))
+    partly = live.join(across, ["key", "class"]).select("key", F.lit(0).cast("long").alias("class"), "l", "sub", "id", (F.col("pos") - F.col("l")).alias("lo"), (end - F.col("l")).alias("hi"))
+    found = ws.write(whole.unionByName(partly))
+    ws.drop(live, classes, across)
+    return found, same
+
+
+def shared_pairs(docs: DataFrame, min_chars: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of different texts with a common stretch (least ids of equal texts), and (id, rep) of equal texts."""
+    found, same = shared_windows(docs, min_chars, ws)
+    return ws.write(member_pairs(found, ["key", "class", "l", "sub"], ws)), same
+
+
+def expand(pairs: DataFrame, same: DataFrame, ws: Workspace) -> DataFrame:
     """All pairs of ids (a, b), copies included, of pairs of least ids."""
     p = pairs.select("a", "b")
     for c in ("a", "b"):
         more = same.select(F.col("rep").alias(c), F.col("id").alias("_id"))
         p = p.join(more, c, "left").select(*[x for x in p.columns if x != c], F.coalesce("_id", c).alias(c))
-    twins = same.alias("x").join(same.alias("y"), F.col("x.rep") == F.col("y.rep")).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    twins = member_pairs(same, ["rep"], ws)
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(twins).distinct()
 
 
-def coverage(docs: DataFrame, pairs: DataFrame, same: DataFrame) -> DataFrame:
+def coverage(docs: DataFrame, found: DataFrame, same: DataFrame) -> DataFrame:
     """For each record its characters, how many stand elsewhere too, and the stretches.
 
-    One row for each id of ``docs`` (id, text); texts with copies are shared whole.
-    A null text counts 0 characters.
+    One row for each id of ``docs`` (id, text); found and same as ``shared_windows``
+    gives them; texts with copies are shared whole.  A null text counts 0 characters.
     """
-    spans = pairs.select(F.col("a").alias("id"), F.explode("spans_a").alias("s")).unionByName(pairs.select(F.col("b").alias("id"), F.explode("spans_b").alias("s")))
-    spans = spans.select("id", "s.lo", "s.hi").distinct()
+    spans = found.groupBy("id", "lo").agg(F.max("hi").alias("hi"))
     before = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("reach", F.coalesce(F.max("hi").over(before), F.lit(0)))
     joined = spans.withColumn("part", F.sum((F.col("lo") > F.col("reach")).cast("int")).over(Window.partitionBy("id").orderBy("lo", "hi")))

@@ -285,7 +285,7 @@ def test_p9_any_offset(spark, ws, alphabet):
         if n >= 200:
             want.add((2 * k, 2 * k + 1))
     pairs, same_ = spans.shared_pairs(spark.createDataFrame(docs, "id long, text string"), 200, ws)
-    assert {(r.a, r.b) for r in spans.expand(pairs, same_).collect()} == want
+    assert {(r.a, r.b) for r in spans.expand(pairs, same_, ws).collect()} == want
 
 
 def test_p9_hot_boilerplate(spark, ws):
@@ -314,3 +314,16 @@ def test_words_as_the_pattern(text):
     h, off = kernels.word_hashes([text, "b " + text])
     assert off[1] == len(words(text)) and off[2] - off[1] == len(words("b " + text))
     assert len(set(h.tolist())) == len(set(words(text)) | {"b"}) if words(text) else True
+
+
+def test_p9_coverage_without_pairs(spark, ws):
+    """A passage of every text: coverage rows grow with the texts, and the pairs are the result's own."""
+    rng = random.Random(10)
+    rand = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    plate = rand(260)
+    docs = spark.createDataFrame([(i, rand(30 + i % 7) + plate + rand(40)) for i in range(1500)], "id long, text string")
+    found, same_ = spans.shared_windows(docs, 200, ws)
+    assert found.count() < 1500 * 400
+    got = {r.shared_chars for r in spans.coverage(docs, found, same_).collect()}
+    assert min(got) >= 260 and max(got) < 275  # neighbours agree by chance in a few characters
+    assert spans.shared_pairs(docs, 200, ws)[0].count() == 1500 * 1499 // 2
