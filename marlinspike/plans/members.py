@@ -14,31 +14,37 @@ from pyspark.sql import functions as F
 
 from marlinspike.plans.workspace import Workspace
 
-#: Members of one block, and parts a large group's rows are dealt into where they meet its size.
-BLOCK, SALTS = 512, 32
+#: Members of one block; large groups that are broadcast, beyond which their rows are dealt into SALTS parts.
+BLOCK, BROADCAST_GROUPS, SALTS = 512, 100_000, 32
 
 
-def distinct_groups(rows: DataFrame, group: Sequence[str], ws: Workspace) -> DataFrame:
-    """(g, id) of rows (group columns, id): one group of each set of members, those of one member left out.
+def distinct_groups(rows: DataFrame, group: Sequence[str], ws: Workspace, unique: bool = False) -> DataFrame:
+    """(g, id, n) of rows (group columns, id): one group of each set of members with its size n, those of one member left out.
 
     Sets are told apart by their size and two exclusive-or sums of member hashes.
+    ``unique``: no row stands twice.
     """
-    one = ws.write(rows.select(F.struct(*group).alias("g"), "id").filter("id is not null").distinct())
+    key = F.col(group[0]) if len(group) == 1 else F.struct(*group)
+    one = rows.select(key.alias("g"), "id").filter("id is not null")
+    one = one if unique else one.distinct()
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2")]
-    kept = one.groupBy("g").agg(*marks).filter("n > 1").groupBy("n", "h1", "h2").agg(F.min("g").alias("g"))
-    out = ws.write(one.join(_salted(kept.select("g", "n")), [one["g"] == F.col("_g"), F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("_salt")]).select("g", "id", "n"))
-    ws.drop(one)
-    return out
-
-
-def _salted(sizes: DataFrame) -> DataFrame:
-    """One row a group for each salt, so that a large group's rows are spread when they meet them."""
-    return sizes.select(F.col("g").alias("_g"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-
-
-def member_pairs(rows: DataFrame, group: Sequence[str], ws: Workspace) -> DataFrame:
+    kept = ws.write(one.groupBy("g").agg(*marks).filter("n > 1").groupBy("n", "h1", "h2").agg(F.min("g").alias("g")).select("g", "n"))
+    large = kept.filter(F.col("n") > BLOCK)
+    many = large.limit(BROADCAST_GROUPS + 1).count()
+    if not many:
+        return one.join(kept, "g")
+    if many <= BROADCAST_GROUPS:
+        marked = one.join(F.broadcast(large), "g", "left")
+    else:
+        spread = large.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        marked = one.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(spread, ["g", "_salt"], "left").drop("_salt")
+    small = marked.filter("n is null").drop("n").join(kept.filter(F.col("n") <= BLOCK), "g")
+    return marked.filter("n is not null").select("g", "id", "n").unionByName(small.select("g", "id", "n"))
+
+
+def member_pairs(rows: DataFrame, group: Sequence[str], ws: Workspace, unique: bool = False) -> DataFrame:
     """Distinct (a, b), a < b, of the ids that share a group; rows (group columns, id)."""
-    sized = distinct_groups(rows, group, ws)
+    sized = ws.write(distinct_groups(rows, group, ws, unique))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = sized.withColumn("b", F.pmod(F.xxhash64(F.lit(2), "id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = dealt.select("g", "id", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
