@@ -94,20 +94,22 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.rechunk(spark.read.parquet(f"{d}/chunks.parquet"), Workspace(spark)).withColumnRenamed("id", "chunk_id")
 
 
-def _near(spark: SparkSession, d: str, ws: Workspace) -> list[tuple[str, DataFrame, DataFrame]]:
+def _edited(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, neardup.Plan]]:
+    """The two kinds of text, as (field, rows (id, text), plan)."""
     bodies = spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))
     titles = spark.read.parquet(f"{d}/notes.parquet").select("id", F.col("title").alias("text"))
-    return [("chunks.body", *neardup.near_duplicates(bodies, neardup.BODIES, ws)), ("notes.title", *neardup.near_duplicates(titles, neardup.TITLES, ws))]
+    return [("chunks.body", bodies, neardup.BODIES), ("notes.title", titles, neardup.TITLES)]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    out = [spans.expand(pairs, same).select(F.lit(f).alias("field"), F.col("a").alias("id_a"), F.col("b").alias("id_b")) for f, pairs, same in _near(spark, d, Workspace(spark))]
+    ws = Workspace(spark)
+    out = [spans.expand(*neardup.near_duplicates(rows, plan, ws), ws).select(F.lit(f).alias("field"), F.col("a").alias("id_a"), F.col("b").alias("id_b")) for f, rows, plan in _edited(spark, d)]
     return out[0].unionByName(out[1])
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     ws = Workspace(spark)
-    out = [neardup.groups(pairs, same, ws).select(F.lit(f).alias("field"), "id", F.col("group").alias("group_id")) for f, pairs, same in _near(spark, d, ws)]
+    out = [neardup.groups(rows, plan, ws).select(F.lit(f).alias("field"), "id", F.col("group").alias("group_id")) for f, rows, plan in _edited(spark, d)]
     return out[0].unionByName(out[1])
 
 

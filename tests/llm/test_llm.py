@@ -97,12 +97,32 @@ def test_p3_hot_class(spark, ws):
     text = [rng.choice(WORDS) for _ in range(80)]
     data = [(i, " ".join(text).upper() if i % 2 else " ".join(text)) for i in range(400)] + [(1000, " ".join([*text[:60], "other", *text[61:]]))]
     data += [(2000 + i, " ".join(rng.choice(WORDS) + str(i) for _ in range(40))) for i in range(800)]
-    pairs, same_ = neardup.near_duplicates(spark.createDataFrame(data, "id long, text string"), neardup.BODIES, ws)
+    df = spark.createDataFrame(data, "id long, text string")
+    pairs, _ = neardup.near_duplicates(df, neardup.BODIES, ws)
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1000)]
-    group = {r.id: r.group for r in neardup.groups(pairs, same_, ws).collect()}
+    group = {r.id: r.group for r in neardup.groups(df, neardup.BODIES, ws).collect()}
     assert group == {i: 0 for i in [*range(400), 1000]}
 
 
+def test_p3_groups_of_near_copies(spark, ws, monkeypatch):
+    """Groups by stars are the components of all similar pairs: a cluster of different near copies, and chains whose ends differ."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(120)]
+    data = [(i, " ".join([*base[: i % 118], f"edit{i}", *base[i % 118 + 1 :]])) for i in range(300)]
+    for k in range(12):  # each step changes a part, so the ends of a chain are no longer similar
+        now = [f"c{k}x{j}" for j in range(100)]
+        for step in range(6):
+            now = now[:step * 15] + [f"n{k}s{step}w{j}" for j in range(15)] + now[step * 15 + 15 :]
+            data.append((1000 + k * 10 + step, " ".join(now)))
+    df = spark.createDataFrame(data, "id long, text string")
+    compared = []
+    real = neardup.Sketched.verify
+    monkeypatch.setattr(neardup.Sketched, "verify", lambda self, pairs: (compared.append(pairs.count()), real(self, pairs))[1])
+    got = {r.id: r.group for r in neardup.groups(df, neardup.BODIES, ws).collect()}
+    assert got == {i: 0 for i in range(300)} | {1000 + k * 10 + s: 1000 + k * 10 for k in range(12) for s in range(6)}
+    assert sum(compared) < 300 * 299 / 8
+
+
 def test_p5_round_trip():
     rng = random.Random(3)
     for k in range(150):
