@@ -10,10 +10,12 @@ Terms are runs of ``TERM_WORDS`` consecutive words.  Single words do not separat
 here: a passage of 24 words reaches the threshold of two hundred items by
 function words alone, which makes retrieval as dear as comparing everything.
 
-The index has a block maximum for each term and block of items.  As in
-block-max WAND, an upper bound over terms discards passages, an upper bound by
-block discards blocks, and only what is left is scored from the postings; the
-bounds are evaluated for a slice of passages at a time instead of by cursors.
+The index keeps, for each term, the blocks of items it stands in with its largest
+impact there.  As in block-max WAND, a passage whose terms cannot reach the bound
+together is passed over; of the others only the terms that are needed to reach it
+open their blocks, the common ones being skipped; a block is read if the maxima of
+all terms in it reach the bound, and only then its postings are scored.  A slice of
+passages is evaluated at a time instead of one by cursors.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ from pyspark.sql import functions as F
 
 from marlinspike.llm.kernels import U64, odd_constants, shingle_hashes, slices, splitmix, word_hashes
 from marlinspike.plans.shipping import ship
+from marlinspike.plans.workspace import Workspace
 
 K1, B = 1.2, 0.75
 #: Words of one index term.
 TERM_WORDS = 2
 #: Items of one block of the index.
 BLOCK = 64
-#: Items and bytes of one shard of the index, which is what a broadcast holds.
-SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
+#: Items and characters of one shard of the index, which is what a broadcast holds: at most about 12 bytes of index a byte of text.
+SHARD_ITEMS, SHARD_CHARS = 4096, 4 << 20
 
 
 @dataclass
@@ -45,14 +48,20 @@ class Index:
     items: np.ndarray  # item id of each position
     terms: np.ndarray  # sorted word hashes
     top: np.ndarray  # largest impact of each term
-    block_top: np.ndarray  # (term, block): largest impact; a row of zeros at the end for no term
-    ptr: np.ndarray  # (term * blocks + block): first posting
-    post_item: np.ndarray
+    ptr: np.ndarray  # first (term, block) entry of each term
+    cell: np.ndarray  # term * blocks + block of each entry, sorted; an entry for each block a term stands in
+    cell_top: np.ndarray  # largest impact of each entry
+    post: np.ndarray  # first posting of each entry
+    post_item: np.ndarray  # item position inside its block
     post_impact: np.ndarray
     grams: np.ndarray  # sorted hashes of (run of min_words words, item)
+    blocks: int
     min_words: int
     term_words: int
 
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray))
+
 
 def _tag(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
     return splitmix(gram ^ (item.astype(U64) * odd_constants(1, 77)[0]))
@@ -92,15 +101,19 @@ def build_index(ids: list[int], texts: list[str], min_words: int, term_words: in
         return None
     impact = impact / floor[pi] * (1 + 1e-6)  # float32 sums must not fall under the bound by rounding
     blocks = (len(ids) + BLOCK - 1) // BLOCK
-    cell = pt * blocks + pi // BLOCK
-    ptr = np.zeros(len(terms) * blocks + 1, np.int32)
-    np.cumsum(np.bincount(cell, minlength=len(terms) * blocks), out=ptr[1:])
-    block_top = np.zeros((len(terms) + 1) * blocks, np.float32)
-    np.maximum.at(block_top, cell, impact)
-    block_top = block_top.reshape(len(terms) + 1, blocks)
+    at = pt * blocks + pi // BLOCK  # rises, as the pairs are sorted by term and item
+    cell, post = np.unique(at, return_index=True)
+    cell_top = np.maximum.reduceat(impact, post)
+    ptr = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks)
+    top = np.zeros(len(terms), np.float32)
+    np.maximum.at(top, pt, impact.astype(np.float32))
+    post = np.append(post, len(pt))
     gram, goff = shingle_hashes(plain, plain_off, min_words)
     tagged = np.unique(_tag(gram, np.repeat(np.arange(len(ids)), np.diff(goff))))
-    return Index(np.array(ids, np.int64), terms, block_top[:-1].max(1), block_top, ptr, pi.astype(np.int32), impact.astype(np.float32), tagged, min_words, term_words)
+    return Index(
+        np.array(ids, np.int64), terms, top, ptr.astype(np.int32), cell, cell_top.astype(np.float32), post.astype(np.int32),
+        (pi % BLOCK).astype(np.uint8), impact.astype(np.float32), tagged, blocks, min_words, term_words,
+    )
 
 
 def passages(words: np.ndarray, off: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,30 +139,45 @@ def retrieve(ix: Index, terms: np.ndarray, first: np.ndarray, end: np.ndarray, l
     q.sort(axis=1)
     q[:, 1:][q[:, 1:] == q[:, :-1]] = -1  # a query term counts once
     out_p, out_i = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    blocks = ix.block_top.shape[1]
     for a in range(0, len(keep), 4096):
         part = q[a : a + 4096]
-        bound = np.zeros((len(part), blocks), np.float32)
-        for j in range(length):
-            bound += ix.block_top[part[:, j]]
-        r, b = np.nonzero(bound >= 1)  # bound by block
+        most = np.where(part >= 0, ix.top[part], 0)
+        order = np.argsort(most, axis=1)
+        # from the least up, as many terms as cannot reach the bound by themselves need not be opened
+        needed = np.cumsum(np.take_along_axis(most, order, 1), axis=1, dtype=np.float64) >= 1 - 1e-6
+        row, col = np.nonzero(needed)
+        term_at = part[row, order[row, col]]
+        lo = ix.ptr[term_at].astype(np.int64)
+        n = ix.ptr[term_at + 1] - lo
+        n[term_at < 0] = 0
+        block = ix.cell[_ranges(lo, n)] % ix.blocks
+        r, b = np.divmod(np.unique(np.repeat(row, n) * ix.blocks + block), ix.blocks)
         if not len(r):
             continue
         qr = part[r]
-        cell = np.where(qr >= 0, qr * blocks + b[:, None], 0)
-        lo, n = ix.ptr[cell].astype(np.int64), np.where(qr >= 0, ix.ptr[cell + 1] - ix.ptr[cell], 0)
-        n, lo = n.ravel(), lo.ravel()
-        take = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        cell = np.where(qr >= 0, qr * ix.blocks + b[:, None], -1)
+        entry = np.minimum(np.searchsorted(ix.cell, cell.ravel()).reshape(cell.shape), len(ix.cell) - 1)
+        there = ix.cell[entry] == cell
+        good = np.flatnonzero(np.where(there, ix.cell_top[entry], 0).sum(1, dtype=np.float64) >= 1 - 1e-6)  # bound by block
+        if not len(good):
+            continue
+        r, b, entry, there = r[good], b[good], entry[good], there[good]
+        lo = ix.post[entry].astype(np.int64)
+        n = np.where(there, ix.post[entry + 1] - lo, 0).ravel()
+        take = _ranges(lo.ravel(), n)
         pair = np.repeat(np.repeat(np.arange(len(r)), length), n)
-        item = ix.post_item[take]
-        key = pair * BLOCK + item % BLOCK
-        score = np.bincount(key, ix.post_impact[take], minlength=len(r) * BLOCK)
+        score = np.bincount(pair * BLOCK + ix.post_item[take], ix.post_impact[take], minlength=len(r) * BLOCK)
         hit = np.flatnonzero(score >= 1)
         out_p.append(keep[a + r[hit // BLOCK]])
         out_i.append(b[hit // BLOCK] * BLOCK + hit % BLOCK)
     return np.concatenate(out_p), np.concatenate(out_i)
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of n values each, one after another."""
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
 def overlaps(ix: Index, texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(text index, item position, shared runs) of verified pairs, and how many pairs were retrieved."""
     words, off = word_hashes(texts)
@@ -182,7 +210,7 @@ def shards(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     rows = items.filter("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text")).orderBy("id")
     ids, texts, size = [], [], 0
     for r in rows.toLocalIterator():
-        if ids and (len(ids) == SHARD_ITEMS or size + len(r.text) > SHARD_BYTES):
+        if ids and (len(ids) == SHARD_ITEMS or size + len(r.text) > SHARD_CHARS):
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r.id)
@@ -192,14 +220,14 @@ def shards(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, length: int = 24) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, ws: Workspace, min_words: int = 12, length: int = 24) -> DataFrame:
     """(id, item_id, shared_runs): documents that share min_words consecutive words with an item.
 
     docs and items: (id long, text string).  Null and blank texts and texts of
     fewer than min_words words match nothing; repeated documents count once.
     ``shared_runs``: runs of min_words words of the document that stand in the item.
     The items are a query set taken in shards of bounded size, each broadcast as an
-    index; a document is read once for each shard.
+    index while the documents are read once for it, and then destroyed.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -209,7 +237,9 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, length: int =
         ix = build_index(ids, texts, min_words)
         if ix is None:
             continue
-        out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(ix), length), "id long, item_id long, shared_runs long"))
+        sent = spark.sparkContext.broadcast(ix)
+        out = out.unionByName(ws.write(docs.mapInArrow(_search(sent, length), "id long, item_id long, shared_runs long")))
+        sent.destroy()
     return out.groupBy("id", "item_id").agg(F.max("shared_runs").alias("shared_runs"))
 
 

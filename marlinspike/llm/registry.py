@@ -115,7 +115,7 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = spark.read.parquet(f"{d}/eval_items.parquet").select(F.col("item_id").alias("id"), "text")
-    return leakage.leaks(_documents(spark, d), items)
+    return leakage.leaks(_documents(spark, d), items, Workspace(spark))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -225,15 +225,27 @@ def test_p7_bound_loses_nothing():
     assert seen < len(texts) * len(items) / 10
 
 
-def test_p7_shards(spark, monkeypatch):
+def test_p7_shards(spark, ws, monkeypatch):
     monkeypatch.setattr(leakage, "SHARD_ITEMS", 3)
     rng = random.Random(7)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(20))) for i in range(10)]
     docs = [(i, "start " + t + " end") for i, t in items]
-    got = leakage.leaks(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "id long, text string"))
+    got = leakage.leaks(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "id long, text string"), ws)
     assert {(r.id, r.item_id) for r in got.collect()} == {(i, i) for i in range(10)}
 
 
+def test_p7_index_of_a_full_shard():
+    """What is broadcast stays within 12 bytes a byte of text, at as many items and characters as a shard may have."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i:05d}" for i in range(50_000)])
+    per = leakage.SHARD_CHARS // leakage.SHARD_ITEMS // 7
+    texts = [" ".join(vocabulary[rng.zipf(1.3, per) % 50_000]) for _ in range(leakage.SHARD_ITEMS)]
+    size = sum(map(len, texts))
+    assert size > 0.9 * leakage.SHARD_CHARS
+    ix = leakage.build_index(list(range(len(texts))), texts, 12)
+    assert ix.nbytes() <= 12 * size
+
+
 def test_p8_shares(spark, ws):
     rng = random.Random(8)
     sized = [(i, "big" if i % 3 else rng.choice(["mid", "small"]), rng.randint(50, 300)) for i in range(3000)] + [(9000, "big", 0), (9001, "other", 500)]
