@@ -129,8 +129,32 @@ def mixture(sized: DataFrame, plan: DataFrame, ws: Workspace, seed: int = 1) ->
 
 
 def shares(plan: DataFrame, mixed: DataFrame) -> DataFrame:
-    """For every target source the share asked, the share reached and how often documents repeat."""
-    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max(F.col("copy") + 1).alias("most_copies"))
+    """For every target source the share asked, the share reached, how often documents repeat, and the tokens never drawn."""
+    first = F.when(F.col("copy") == 0, F.col("tokens"))
+    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max(F.col("copy") + 1).alias("most_copies"), F.sum(first).alias("drawn"))
     whole = mixed.agg(F.sum("tokens").alias("n")).first().n
     out = plan.select("source", "share", "supply", "repeats").join(got, "source", "left").withColumn("all", F.lit(whole))
-    return out.select("source", F.round("share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("all"), 6).alias("share"), "supply", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.col("repeats").alias("max_repeats"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    reached = F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("all"), 6).alias("share")
+    return out.select("source", F.round("share", 6).alias("target_share"), reached, "supply", n("tokens"), n("copies"), n("most_copies"), F.col("repeats").alias("max_repeats"), (F.col("supply") - F.coalesce("drawn", F.lit(0))).alias("unused_tokens"))
+
+
+def _asked_until(t: Column, segments: Column) -> Column:
+    """The integral of the schedule up to a time."""
+    x = lambda s: F.least(F.greatest(t, s["t0"]), s["t1"]) - s["t0"]
+    area = lambda s: x(s) * (s["w0"] + (s["w1"] - s["w0"]) / (s["t1"] - s["t0"]) * x(s) / 2)
+    return F.aggregate(segments, F.lit(0.0), lambda sum_, s: sum_ + area(s))
+
+
+def shares_by_time(plan: DataFrame, mixed: DataFrame, parts: int = 4) -> DataFrame:
+    """(part, source, target_share, share): shares inside each of ``parts`` equal stretches of the training time.
+
+    The targets are those of the sources that are asked for something, rescaled to sum 1.
+    """
+    part = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int")
+    got = mixed.groupBy(part.alias("part"), "source").agg(F.sum("tokens").alias("tokens"))
+    each = plan.filter("asked > 0").select("source", "segments", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    aim = _asked_until((F.col("part") + 1) / parts, F.col("segments")) - _asked_until(F.col("part") / parts, F.col("segments"))
+    met = each.select("part", "source", aim.alias("aim")).join(got, ["part", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    whole = Window.partitionBy("part")  # one row a source
+    return met.select("part", "source", F.round(F.col("aim") / F.sum("aim").over(whole), 6).alias("target_share"), F.round(F.col("tokens") / F.sum("tokens").over(whole), 6).alias("share"))

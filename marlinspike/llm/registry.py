@@ -22,14 +22,20 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("hash"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, moving: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Demand and mixture; ``moving``: from equal weights at the start straight to the targets at half time."""
     ws = Workspace(spark)
     name = F.lower(F.trim("source"))
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), name.alias("source"), "text")
     targets = spark.read.parquet(f"{d}/mix_targets.parquet").withColumn("source", name)
     sized = ws.write(mixing.sizes(docs))
-    plan = ws.write(mixing.demand(sized, targets.select("source", F.lit(0.0).alias("t"), "weight"), targets))
-    return plan, mixing.mixture(sized, plan, ws)
+    knots = targets.select("source", F.lit(0.0).alias("t"), "weight")
+    if moving:
+        total = targets.agg(F.sum("weight"), F.count(F.lit(1))).first()
+        even = targets.select("source", F.lit(0.0).alias("t"), F.lit((total[0] or 0.0) / max(total[1], 1)).alias("weight"))
+        knots = even.unionByName(knots.withColumn("t", F.lit(0.5))).unionByName(knots.withColumn("t", F.lit(1.0)))
+    plan = ws.write(mixing.demand(sized, knots, targets))
+    return plan, ws.write(mixing.mixture(sized, plan, ws)) if moving else mixing.mixture(sized, plan, ws)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +46,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def p8_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    """Shares by quarter of the training time of a mixture whose weights move."""
+    return mixing.shares_by_time(*_mix(spark, d, moving=True))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     ws = Workspace(spark)
     pairs, same = spans.shared_pairs(_documents(spark, d), 200, ws)
@@ -136,7 +147,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "other").alias("hash_a"), F.greatest("id", "other").alias("hash_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p8_curriculum, p9_found, p9_shared)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 

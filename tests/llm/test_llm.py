@@ -275,6 +275,12 @@ def test_p8_schedule(spark, ws):
     for q, want in enumerate((0.8, 0.6, 0.4, 0.2)):
         part = [r for r in mixed if q / 4 <= r.position < (q + 1) / 4]
         assert sum(r.source == "a" for r in part) / len(part) == pytest.approx(want, abs=0.02)
+    quarters = {(r.part, r.source): r for r in mixing.shares_by_time(plan, spark.createDataFrame(mixed)).collect()}
+    for q, want in enumerate((0.8, 0.6, 0.4, 0.2)):
+        assert quarters[q, "a"].target_share == pytest.approx(want, abs=1e-6) and quarters[q, "a"].share == pytest.approx(want, abs=0.02)
+        assert quarters[q, "a"].share + quarters[q, "b"].share == pytest.approx(1, abs=1e-5)
+    used = {s: sum(r.tokens for r in mixed if r.source == s) for s in "ab"}
+    assert {r.source: r.unused_tokens for r in mixing.shares(plan, spark.createDataFrame(mixed)).collect()} == {s: 40_000 - used[s] for s in "ab"}
 
 
 def test_p8_tokens(spark):
