@@ -1,13 +1,17 @@
-"""Most similar vectors for every vector: stable projections, a kd-tree and a chi-square stopping test.
-
-Unit vectors are projected on M Gaussian directions.  For two vectors at distance
-d the squared projected distance over d**2 follows the chi-square distribution
-with M degrees of freedom, so when the projected radius r searched so far satisfies
-``chi2_cdf(r**2 / d**2) >= p``, a vector within d is still unseen with probability
-under 1 - p.  A kd-tree over the projections cuts the collection into cells of
-bounded size; pairs of cells further apart than r are never met.  Inside a pair of
-cells smaller boxes are pruned in the same way, rows within r are taken in blocks,
-and what passes is verified with the exact cosine.
+"""Most similar vectors for every vector: stable projections, kd-trees and a chi-square stopping test.
+
+Unit vectors are projected on a few Gaussian directions, one for each level of a
+kd-tree that cuts the collection into leaves of bounded size.  A vector visits its
+leaf in one tree after another; each leaf's vectors are verified by their cosine.
+After every round of trees each vector takes the stopping test with its own k-th
+cosine c: a neighbour at c lies on the same side of a split as the vector with the
+chance the chi-square distribution of one degree gives for its squared projected
+distance to the split, so the chance that no tree so far has shown it is a product
+over splits and trees.  The vector stops when that falls to 1 - p.
+
+One tree with the test on its whole ball does not prune here: at cosine 0.90 the
+ball of probability 0.999 reaches over the median of nearly every direction.  Taken
+split by split and tree by tree the same test leaves a leaf a tree to be read.
 """
 
 from __future__ import annotations
@@ -24,138 +28,98 @@ from pyspark.sql.window import Window
 from marlinspike.plans.shipping import ship
 from marlinspike.plans.workspace import Workspace
 
-#: Projected dimensions, probability of the stopping test.
-M, P = 32, 0.999
-#: Rows the tree is fitted on, and rows of one cell.
-FIT_ROWS, CELL_ROWS = 20_000, 131_072
-#: Cells of a small collection, so that all cores have a pair of cells to meet.
-MIN_CELLS = 8
-#: Rows of the boxes inside a cell.
-BOX_ROWS = 256
-#: Projections travel as half floats; the radius is widened by more than their rounding.
-SLACK = 0.02
-
-
-def chi2_cdf(x: float, m: int) -> float:
-    """Chi-square distribution function, by the series of the incomplete gamma function."""
-    if x <= 0:
-        return 0.0
-    a, h = m / 2, x / 2
-    term = total = 1 / a
-    k = a
-    while term > total * 1e-12:
-        k += 1
-        term *= h / k
-        total += term
-    return min(1.0, total * math.exp(-h + a * math.log(h) - math.lgamma(a)))
-
-
-def stop_radius(d: float, m: int = M, p: float = P) -> float:
-    """Projected radius at which the stopping test holds for distance d."""
-    lo, hi = 0.0, 20.0 * m
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if chi2_cdf(mid, m) >= p else (mid, hi)
-    return d * math.sqrt(hi)
-
-
-def directions(dim: int, m: int = M) -> np.ndarray:
-    """The fixed Gaussian directions for vectors of a length."""
-    return np.random.default_rng(1000 + dim).standard_normal((dim, m)).astype(np.float32)
-
-
-def fit_tree(points: np.ndarray, cells: int) -> list[tuple[int, float]]:
-    """Splits (axis, value) of a complete binary tree in heap order, by medians of the widest axis."""
-    depth = max(0, math.ceil(math.log2(max(cells, 1))))
-    splits: list[tuple[int, float]] = []
-    level = [points]
-    for _ in range(depth):
-        after = []
-        for x in level:
-            axis = int(np.argmax(np.ptp(x, axis=0))) if len(x) > 1 else 0
-            value = float(np.median(x[:, axis])) if len(x) else 0.0
-            splits.append((axis, value))
-            after += [x[x[:, axis] <= value], x[x[:, axis] > value]]
-        level = after
-    return splits
-
-
-def cell_of(y: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
-    """Cell number of each projected row."""
-    node = np.zeros(len(y), np.int64)
-    axis, value = np.array([s[0] for s in splits], np.int64), np.array([s[1] for s in splits])
-    for _ in range((len(splits) + 1).bit_length() - 1):
-        node = 2 * node + 1 + (y[np.arange(len(y)), axis[node]] > value[node])
-    return node - len(splits)
-
-
-def cell_bounds(splits: list[tuple[int, float]], m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper corner of every cell."""
-    lo, hi = [np.full(m, -np.inf)], [np.full(m, np.inf)]
-    for i, (axis, value) in enumerate(splits):
-        for right in (False, True):
-            a, b = lo[i].copy(), hi[i].copy()
-            if right:
-                a[axis] = value
-            else:
-                b[axis] = value
-            lo.append(a)
-            hi.append(b)
-    return np.array(lo[len(splits) :]), np.array(hi[len(splits) :])
-
-
-def gap(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distance of rows to one box."""
-    out = np.maximum(lo - y, 0) + np.maximum(y - hi, 0)
-    return (out * out).sum(-1)
-
-
-def _boxes(y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of the rows by a kd-tree inside a cell, and its boxes of at most BOX_ROWS rows."""
-    done, todo = [], [np.arange(len(y))]
-    while todo:
-        i = todo.pop()
-        if len(i) <= BOX_ROWS:
-            done.append(i)
-            continue
-        x = y[i]
-        axis = int(np.argmax(np.ptp(x, axis=0)))
-        order = np.argpartition(x[:, axis], len(i) // 2)
-        todo += [i[order[: len(i) // 2]], i[order[len(i) // 2 :]]]
-    return np.concatenate(done), done
-
-
-def close_pairs(ya: np.ndarray, yb: np.ndarray | None, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of a, row of b) with projections within the radius; with b None the pairs inside a."""
-    own = yb is None
-    yb = ya if own else yb
-    oa, box_a = _boxes(ya)
-    ob, box_b = (oa, box_a) if own else _boxes(yb)
-    sa, sb = np.cumsum([0] + [len(i) for i in box_a]), np.cumsum([0] + [len(i) for i in box_b])
-    ya, yb = ya[oa], yb[ob]
-    half = lambda y: (y * y).sum(1, keepdims=True) / 2
-    # a . b - |a|**2 / 2 - |b|**2 / 2 + r**2 / 2 >= 0 says that they are within r: one product, one comparison
-    left = np.hstack([ya, np.ones((len(ya), 1), np.float32), radius * radius / 2 - half(ya)]).astype(np.float32)
-    right = np.hstack([yb, -half(yb), np.ones((len(yb), 1), np.float32)]).astype(np.float32)
-    lo_b = np.array([yb[sb[j] : sb[j + 1]].min(0) for j in range(len(box_b))])
-    hi_b = np.array([yb[sb[j] : sb[j + 1]].max(0) for j in range(len(box_b))])
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(len(box_a)):
-        a = slice(sa[i], sa[i + 1])
-        lo, hi = ya[a].min(0), ya[a].max(0)
-        apart = np.maximum(lo_b - hi, 0) + np.maximum(lo - hi_b, 0)
-        near = np.flatnonzero((apart * apart).sum(1) <= radius * radius)
-        if own:
-            near = near[near >= i]
-        for j in range(0, len(near), 4):  # about 1,000 columns, so that the product stays in the cache
-            cols = np.concatenate([np.arange(sb[c], sb[c + 1]) for c in near[j : j + 4]])
-            at = np.flatnonzero(left[a] @ right[cols].T >= 0)
-            p, q = at // len(cols) + sa[i], cols[at % len(cols)]
-            if own:
-                p, q = p[p < q], q[p < q]
-            out_a.append(oa[p])
-            out_b.append(ob[q])
-    return np.concatenate(out_a), np.concatenate(out_b)
+#: Chance with which a neighbour at the k-th cosine must have been met.
+P = 0.999
+#: Rows of a leaf, levels of a tree at most, and rows a tree is fitted on for each leaf (FIT_LEAST in all at least).
+LEAF_ROWS, MAX_LEVELS, FIT_PER_LEAF, FIT_LEAST = 4096, 12, 16, 8192
+#: Trees of one round; trees after which the rest is compared with everything.
+ROUND_TREES, MAX_TREES = 4, 96
+#: Vectors that still ask are sent to all rows, instead of all rows to them, when so few are left.
+SHARD = 8192
+#: Vectors travel as 16-bit integers: cosines are off by less than this until they are verified.
+SLACK = 5e-5
+
+
+def chi2_1(x: np.ndarray) -> np.ndarray:
+    """Chi-square distribution function of one degree of freedom: erf(sqrt(x / 2)), by the rational approximation 7.1.26 of Abramowitz and Stegun."""
+    z = np.sqrt(np.maximum(x, 0) / 2)
+    t = 1 / (1 + 0.3275911 * z)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return 1 - poly * np.exp(-z * z)
+
+
+class Tree:
+    """A kd-tree over ``levels`` Gaussian projections, a fresh one for each level, split at the medians of a sample."""
+
+    def __init__(self, sample: np.ndarray, levels: int, number: int):
+        dim = sample.shape[1]
+        self.directions = np.random.default_rng([dim, number]).standard_normal((dim, levels)).astype(np.float32)
+        self.split = np.zeros(2**levels - 1, np.float32)
+        y = sample @ self.directions
+        node = np.zeros(len(y), np.int64)
+        for j in range(levels):
+            order = np.lexsort((y[:, j], node))
+            first = np.searchsorted(node[order], np.arange(2**j - 1, 2 ** (j + 1)))
+            for i in range(2**j):
+                a, b = first[i], first[i + 1]
+                if b > a:
+                    self.split[2**j - 1 + i] = y[order[(a + b) // 2], j]
+            node = 2 * node + 1 + (y[:, j] > self.split[node])
+        self.levels = levels
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """Leaf number of each row."""
+        y, node = x @ self.directions, np.zeros(len(x), np.int64)
+        for j in range(self.levels):
+            node = 2 * node + 1 + (y[:, j] > self.split[node])
+        return node - len(self.split)
+
+    def shows(self, x: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Chance that a unit vector at ``cosine`` to a unit row stands in its leaf.
+
+        Its projection is the row's times the cosine plus a normal part of the sine;
+        the squared distance of that centre to the split, over the squared sine, is
+        what the chi-square distribution of one degree is asked for.
+        """
+        c = np.clip(cosine, -1, 1 - 1e-9)
+        sine2 = 1 - c * c
+        y, node, out = x @ self.directions, np.zeros(len(x), np.int64), np.ones(len(x))
+        for j in range(self.levels):
+            s = self.split[node]
+            right = y[:, j] > s
+            off = np.where(right, c * y[:, j] - s, s - c * y[:, j])
+            half = chi2_1(off * off / sine2) / 2
+            out *= np.where(off >= 0, 0.5 + half, 0.5 - half)
+            node = 2 * node + 1 + right
+        return out
+
+
+def log_miss(trees: list[Tree], x: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Logarithm of the chance that none of the trees has shown a neighbour at ``cosine``."""
+    out = np.zeros(len(x))
+    for t in trees:
+        out += np.log(np.maximum(1 - t.shows(x, cosine), 1e-300))
+    return out
+
+
+def best(sim: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest values of each row from ``least`` on, with what is as good within the slack."""
+    if least > -1:
+        r, c = np.divmod(np.flatnonzero(sim >= least - SLACK), sim.shape[1])
+    else:
+        n = min(k, sim.shape[1])
+        floor = np.partition(sim, sim.shape[1] - n, axis=1)[:, -n]
+        r, c = np.divmod(np.flatnonzero(sim >= np.maximum(floor, -1.5)[:, None] - SLACK), sim.shape[1])
+        keep = sim[r, c] > -1.5
+        r, c = r[keep], c[keep]
+    v = sim[r, c]
+    order = np.lexsort((-v, r))
+    r, c, v = r[order], c[order], v[order]
+    start = np.searchsorted(r, np.arange(sim.shape[0]))
+    size = np.bincount(r, minlength=sim.shape[0])
+    kth = np.where(size >= k, v[np.minimum(start + k - 1, len(v) - 1)], -2) if len(v) else np.zeros(0)
+    keep = v >= kth[r] - SLACK if len(v) else np.zeros(0, bool)
+    return r[keep], c[keep]
 
 
 def valid(vectors: DataFrame, key: str, vector: str, dim: Column) -> DataFrame:
@@ -182,193 +146,251 @@ def _unit(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray,
         yield int(dim), rows, x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _project(splits: dict[int, list[tuple[int, float]]] | None, radius: float):
-    """Arrow map from (n, vector): projections, once for each pair of cells they belong to.
+def _packed(x: np.ndarray) -> pa.Array:
+    """Unit rows as 16-bit integers of their largest part."""
+    q = np.rint(x * (32767 / np.abs(x).max(1))[:, None]).astype(np.int16)
+    size = q.shape[1] * 2
+    offsets = np.arange(len(q) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(q))])
+
+
+def _unpacked(values: pa.Array, n: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(values.to_pylist()), np.int16).reshape(n, -1).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
-    Without splits: only the projections (for fitting).
-    """
+
+def _place(trees: dict[int, list[Tree]], first: int):
+    """Arrow map from (n, vector, asks): a row for each tree with the leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = {d: cell_bounds(s, M) for d, s in (splits or {}).items()}
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            n, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for dim, rows, x in _unit(batch, 1):
-                y = (x @ directions(dim)).astype(np.float32)
-                if splits is None:
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(len(rows), dim, np.int32)), "y": _binary(y)})
-                    continue
-                own = cell_of(y, splits[dim])
-                lo, hi = bounds[dim]
-                for c in range(len(lo)):
-                    hit = np.flatnonzero((own == c) | (gap(y, lo[c], hi[c]) <= radius * radius))
-                    if not len(hit):
-                        continue
-                    cols = {
-                        "dim": pa.array(np.full(len(hit), dim, np.int32)),
-                        "ca": pa.array(np.minimum(own[hit], c).astype(np.int32)),
-                        "cb": pa.array(np.maximum(own[hit], c).astype(np.int32)),
-                        "cell": pa.array(own[hit].astype(np.int32)),
-                        "n": pa.array(ids[rows[hit]]),
-                        "y": _binary(y[hit].astype(np.float16)),
-                    }
+                v = _packed(x)
+                for i, tree in enumerate(trees[dim], first):
+                    fixed = lambda a, t: pa.array(np.full(len(rows), a, t))  # noqa: B023, E731
+                    cols = {"dim": fixed(dim, np.int32), "tree": fixed(i, np.int32), "leaf": pa.array(tree.leaf(x).astype(np.int32)), "n": pa.array(n[rows]), "asks": pa.array(asks[rows]), "v": v}
                     yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def _binary(y: np.ndarray) -> pa.Array:
-    """Rows of a float matrix as binary values."""
-    size = y.shape[1] * y.itemsize
-    offsets = np.arange(len(y) + 1, dtype=np.int32) * size
-    return pa.Array.from_buffers(pa.binary(), len(y), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(y))])
-
-
-def _meet(radius: float):
-    """Arrow group map over one pair of cells: candidate row numbers (a, b)."""
+def _meet(k: int, least: float):
+    """Arrow group map over a leaf: (n, other, cosine) of the best of every row that asks."""
 
     def run(table: pa.Table) -> pa.Table:
-        ca, cb = (table.column(c)[0].as_py() for c in ("ca", "cb"))
         n = table.column("n").to_numpy()
-        y = np.frombuffer(b"".join(table.column("y").to_pylist()), np.float16).reshape(len(n), -1).astype(np.float32)
-        if ca == cb:
-            a, b = close_pairs(y, None, radius)
-        else:
-            cell = table.column("cell").to_numpy()
-            ia, ib = np.flatnonzero(cell == ca), np.flatnonzero(cell == cb)
-            a = b = np.empty(0, np.int64)
-            if len(ia) and len(ib):
-                a, b = close_pairs(y[ia], y[ib], radius)
-                a, b = ia[a], ib[b]
-        return pa.table({"na": n[a], "nb": n[b]})
+        x = _unpacked(table.column("v"), len(n))
+        asking = np.flatnonzero(table.column("asks").to_numpy())
+        out: list[tuple] = []
+        for a in range(0, len(asking), 512):
+            part = asking[a : a + 512]
+            sim = x[part] @ x.T
+            sim[np.arange(len(part)), part] = -2
+            r, c = best(sim, k, least)
+            out.append((n[part[r]], n[c], sim[r, c]))
+        col = lambda i, t: np.concatenate([np.empty(0, t), *(o[i] for o in out)])
+        return pa.table({"n": col(0, np.int64), "other": col(1, np.int64), "cosine": col(2, np.float64)})
 
     return run
 
 
-def _product(x: Column, y: Column) -> Column:
-    add = lambda s, v: s + v
-    times = lambda p, q: p.cast("double") * q.cast("double")
-    return F.aggregate(F.zip_with(x, y, times), F.lit(0.0), add)
-
-
-def similar(vectors: DataFrame, min_cosine: float, ws: Workspace, p: float = P) -> DataFrame:
-    """(a, b, cosine), a < b, of the pairs of equal length with at least ``min_cosine``.
-
-    vectors: (id string, vector array<float>, dim) as ``valid`` gives them, unique
-    ids.  The tree is fitted on about FIT_ROWS rows of each length; every row is
-    indexed.  A pair at cosine ``min_cosine`` is found with probability p, a closer
-    one with more.  No vectors: no rows.
-    """
-    spark = vectors.sparkSession
-    ship(spark)
-    radius = stop_radius(math.sqrt(max(0.0, 2 - 2 * min_cosine)), M, p) + SLACK
-    rows = ws.write(vectors.select("id", "vector", "dim").withColumn("n", F.monotonically_increasing_id()))
-    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return spark.createDataFrame([], "a string, b string, cosine double")
-    part = None
-    for dim, n in sizes.items():
-        pick = rows.filter(F.col("dim") == dim)
-        if n > FIT_ROWS:
-            pick = pick.filter(F.pmod(F.xxhash64("n"), F.lit(n)) < FIT_ROWS)
-        part = pick if part is None else part.unionByName(pick)
-    fit: dict[int, list[np.ndarray]] = {d: [] for d in sizes}
-    for r in part.select("n", "vector").mapInArrow(_project(None, radius), "dim int, y binary").toLocalIterator():
-        fit[r.dim].append(np.frombuffer(r.y, np.float32))
-    cells = {d: max(math.ceil(n / CELL_ROWS), min(MIN_CELLS, math.ceil(n / 4096))) for d, n in sizes.items()}
-    splits = {d: fit_tree(np.array(y, np.float32).reshape(-1, M), cells[d]) for d, y in fit.items()}
-    placed = rows.select("n", "vector").mapInArrow(_project(splits, radius), "dim int, ca int, cb int, cell int, n long, y binary")
-    met = placed.groupBy("dim", "ca", "cb").applyInArrow(_meet(radius), "na long, nb long")
-    sized = rows.withColumn("size", F.sqrt(_product(F.col("vector"), F.col("vector")))).select("n", F.struct("id", "vector", "size").alias("v"))
-    both = met.join(sized.select(F.col("n").alias("na"), F.col("v").alias("x")), "na").join(sized.select(F.col("n").alias("nb"), F.col("v").alias("y")), "nb")
-    cosine = _product(F.col("x.vector"), F.col("y.vector")) / (F.col("x.size") * F.col("y.size"))
-    near = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), cosine.alias("cosine"))
-    return near.filter(F.col("cosine") >= min_cosine)
-
-
-def most_similar(vectors: DataFrame, k: int, min_cosine: float, ws: Workspace, p: float = P) -> DataFrame:
-    """(id, other, cosine, rank): of every vector its k most similar of the same length, as far as they reach ``min_cosine``.
-
-    Ties go to the lesser id.  Of equal vectors k + 1 stand in the index; the others
-    have the first k of them, at cosine 1, which is all that their k best can be.
-    So a group of copies of any size adds k rows a copy.
-    """
-    twin = [F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(7), "vector").alias("c2")]
-    cls = vectors.select("id", *twin)
-    crowded = ws.write(cls.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1))
-    members = cls.join(crowded, ["c1", "c2"])
-    nth = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))
-    heads = members.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
-    tail = members.join(heads.select("id"), "id", "left_anti")
-    pairs = ws.write(similar(vectors.join(tail.select("id"), "id", "left_anti"), min_cosine, ws, p))
-    best = top_k(pairs, k)
-    rest = tail.join(heads.filter(F.col("nth") <= k).select("c1", "c2", F.col("id").alias("other"), "nth"), ["c1", "c2"])
-    return best.unionByName(rest.select("id", "other", F.lit(1.0).alias("cosine"), F.col("nth").alias("rank")))
+def _asking(trees: dict[int, list[Tree]], p: float):
+    """Arrow map from (n, vector, cosine): the rows whose stopping test does not hold yet."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, cosine = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for dim, rows, x in _unit(batch, 1):
+                more = log_miss(trees[dim], x.astype(np.float32), cosine[rows]) > math.log(1 - p)
+                yield pa.RecordBatch.from_pydict({"n": pa.array(n[rows][more])})
 
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, other, cosine, rank): the k most similar of each id among the pairs; ties by id."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return run
 
 
-def _scan(sent, k: int):
-    """Arrow map from (id, vector): the k best rows of each batch for every query."""
+def _scan(sent, k: int, least: float):
+    """Arrow map from (n, vector): (n, other, cosine), the best of each batch for every query it shares a leaf with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = sent.value
+        asked = sent.value
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            n = batch.column(0).to_numpy()
             for dim, rows, x in _unit(batch, 1):
-                if dim not in queries:
+                if dim not in asked:
                     continue
-                q_ids, q = queries[dim]
-                got = names[rows]
-                for a in range(0, len(q), 512):
-                    sim = (q[a : a + 512].astype(np.float32) @ x.astype(np.float32).T)
-                    own = q_ids[a : a + 512, None] == got[None, :] if np.isin(q_ids[a : a + 512], got).any() else None
-                    if own is not None:
-                        sim[own] = -2
-                    n = min(k + 3, len(got))
-                    best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                    qi = np.repeat(np.arange(len(best)), n)
-                    ri = best.ravel()
-                    keep = sim[qi, ri] > -1.5
-                    qi, ri = qi[keep], ri[keep]
-                    cos = np.einsum("ij,ij->i", q[a + qi], x[ri])
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(list(q_ids[a + qi]), pa.string()), "other": pa.array(list(got[ri]), pa.string()), "cosine": pa.array(cos)})
+                ids, q, trees = asked[dim]
+                x = x.astype(np.float32)
+                for tree in trees:
+                    mine, theirs = tree.leaf(x), tree.leaf(q)
+                    for leaf in np.intersect1d(mine, theirs):
+                        i, j = np.flatnonzero(mine == leaf), np.flatnonzero(theirs == leaf)
+                        for a in range(0, len(j), 512):
+                            part = j[a : a + 512]
+                            sim = q[part] @ x[i].T
+                            sim[ids[part][:, None] == n[rows[i]][None, :]] = -2
+                            r, c = best(sim, k, least)
+                            yield pa.RecordBatch.from_pydict({"n": pa.array(ids[part][r]), "other": pa.array(n[rows[i]][c]), "cosine": pa.array(sim[r, c].astype(np.float64))})
 
     return run
 
 
-def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, shard: int = 8192) -> DataFrame:
-    """(id, other, cosine, rank): exact k most similar of a stated query set among all rows, however far.
+def _product(x: Column, y: Column) -> Column:
+    add = lambda s, v: s + v
+    times = lambda p, q: p.cast("double") * q.cast("double")
+    return F.aggregate(F.zip_with(x, y, times), F.lit(0.0), add)
+
+
+def _kept(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each n and what is as good within the slack, with the k-th cosine (null where there are fewer)."""
+    one = found.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cosine"))))
+    ranked = ranked.withColumn("kth", F.max(F.when(F.col("rank") == k, F.col("cosine"))).over(Window.partitionBy("n")))
+    return ranked.filter(F.col("kth").isNull() | (F.col("cosine") >= F.col("kth") - SLACK)).select("n", "other", "cosine", "kth")
+
+
+class Forest:
+    """The trees of each length of vector, made as they are needed from one bounded sample."""
+
+    def __init__(self, rows: DataFrame):
+        sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.levels = {d: min(max(math.ceil(math.log2(n / LEAF_ROWS)), 0), MAX_LEVELS) for d, n in sizes.items()}
+        self.sample: dict[int, np.ndarray] = {}
+        for d, n in sizes.items():
+            want = max(FIT_LEAST, FIT_PER_LEAF << self.levels[d])
+            pick = rows.filter(F.col("dim") == d)
+            pick = pick if n <= want else pick.filter(F.pmod(F.xxhash64("n"), F.lit(n)) < want)
+            got = [r.vector for r in pick.select("vector").toLocalIterator()] if self.levels[d] else [[1.0] * d]
+            x = np.array(got, np.float64)
+            x /= np.abs(x).max(1)[:, None]
+            self.sample[d] = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+
+    def trees(self, first: int, last: int) -> dict[int, list[Tree]]:
+        return {d: [Tree(x, self.levels[d], i) for i in range(first, last)] for d, x in self.sample.items()}
+
+    def whole(self) -> dict[int, list[Tree]]:
+        """A tree of one leaf: everything is compared."""
+        return {d: [Tree(x, 0, 0)] for d, x in self.sample.items()}
+
+
+def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspace, p: float) -> DataFrame:
+    """(n, other) candidates that hold the k best of every asking row with the stated chance."""
+    spark = rows.sparkSession
+    forest = Forest(rows)
+    found = ws.write(spark.createDataFrame([], "n long, other long, cosine double, kth double"))
+    asking, used = asked, 0
+    left = asking.count()
+    single = all(not v for v in forest.levels.values())
+    while left > SHARD and used < MAX_TREES:
+        trees = forest.trees(used, used + (1 if single else ROUND_TREES))
+        flagged = rows.join(asking.withColumn("asks", F.lit(True)), "n", "left").select("n", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
+        placed = flagged.mapInArrow(_place(trees, used), "dim int, tree int, leaf int, n long, asks boolean, v binary")
+        met = placed.groupBy("dim", "tree", "leaf").applyInArrow(_meet(k, least), "n long, other long, cosine double")
+        found, before = ws.write(_kept(found.select("n", "other", "cosine").unionByName(met), k)), found
+        ws.drop(before)
+        used += ROUND_TREES
+        if single:
+            return found.select("n", "other")
+        kth = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)).alias("cosine")
+        near = found.groupBy("n").agg(F.max("kth").alias("kth"))
+        test = rows.join(asking, "n").join(near, "n", "left").select("n", "vector", kth)
+        asking = ws.write(test.mapInArrow(_asking(forest.trees(0, used), p), "n long"))
+        left = asking.count()
+    if not left:
+        return found.select("n", "other")
+    parts = [found.select("n", "other")]
+    shard: list = []
+    for r in rows.join(asking, "n").select("n", "vector").toLocalIterator():
+        shard.append(r)
+        if len(shard) == SHARD:
+            parts.append(_scanned(rows, shard, forest, used, k, least, ws, p))
+            shard = []
+    if shard:
+        parts.append(_scanned(rows, shard, forest, used, k, least, ws, p))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _scanned(rows: DataFrame, shard: list, forest: Forest, used: int, k: int, least: float, ws: Workspace, p: float) -> DataFrame:
+    """(n, other) for a bounded set of queries, which go to the rows: rounds of trees while these read less than the whole."""
+    asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in forest.sample:
+        own = [r for r in shard if len(r.vector) == d]
+        if own:
+            x = np.array([r.vector for r in own], np.float64)
+            x /= np.abs(x).max(1)[:, None]
+            asked[d] = np.array([r.n for r in own], np.int64), (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    sc = rows.sparkSession.sparkContext
+    out: list[DataFrame] = []
+
+    def visit(queries: dict, trees: dict[int, list[Tree]]) -> DataFrame:
+        sent = sc.broadcast({d: (*q, trees[d]) for d, q in queries.items()})
+        got = ws.write(_kept(rows.select("n", "vector").mapInArrow(_scan(sent, k, least), "n long, other long, cosine double"), k))
+        sent.destroy()
+        out.append(got.select("n", "other"))
+        return got
+
+    done, cosine = 0, {}
+    while asked:
+        count = 1 if done == 0 else done  # each round doubles the trees
+        wide = {d: q for d, q in asked.items() if forest.levels[d]}
+        if not wide or done >= MAX_TREES:
+            visit(asked, forest.whole())
+            break
+        got = visit(wide, forest.trees(used + done, used + done + ROUND_TREES * count))
+        done += ROUND_TREES * count
+        for r in got.groupBy("n").agg(F.max("kth").alias("kth")).collect():  # at most SHARD rows
+            cosine[r.n] = max(cosine.get(r.n, least), r.kth if r.kth is not None else least)
+        rest: dict = {d: q for d, q in asked.items() if not forest.levels[d]}
+        for d, (ids, x) in wide.items():
+            miss = log_miss(forest.trees(0, used + done)[d], x, np.array([cosine.get(int(i), least) for i in ids]))
+            more = miss > math.log(1 - p)
+            # trees the test would still take, each reading one leaf: beyond half of all leaves the whole is read instead
+            trees = math.log(1 - p) / np.minimum(miss / (used + done), -1e-12)
+            far = more & (trees > 2 ** forest.levels[d] / 2)
+            if far.any():
+                visit({d: (ids[far], x[far])}, forest.whole())
+            if (more & ~far).any():
+                rest[d] = ids[more & ~far], x[more & ~far]
+        asked = rest
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def most_similar(vectors: DataFrame, k: int, min_cosine: float, ws: Workspace, p: float = P, asked: DataFrame | None = None) -> DataFrame:
+    """(id, other, cosine, rank): of every vector its k most similar of the same length, as far as they reach ``min_cosine``.
 
-    Where neighbours are as far as strangers the stopping test holds only after
-    almost the whole collection, so a query set is scanned in blocks: ``shard``
-    queries at a time are broadcast, every row is read once for each shard, and each
-    batch of rows hands on its k best (and a few for ties in single precision).
+    vectors: (id string, vector array<float>, dim) as ``valid`` gives them, unique
+    ids; asked: (id) of those whose neighbours are wanted, all if left out.  With
+    ``min_cosine`` -1 neighbours count however far.  Cosines are exact; a neighbour
+    at the k-th cosine (or the least, if that is more) is found with probability p at
+    least, a closer one with more.  The trees are fitted on a bounded sample, every
+    row is indexed.  Ties go to the lesser id.  No vectors: no rows.
+
+    Of equal vectors k + 1 stand in the index; the others have the first k of them, at
+    cosine 1, which is all that their k best can be.  So a group of copies of any size
+    adds k rows a copy.
     """
     ship(vectors.sparkSession)
-    sc = vectors.sparkSession.sparkContext
-    out = vectors.sparkSession.createDataFrame([], "id string, other string, cosine double")
-    held: dict[int, list] = {}
-    n = 0
-
-    def flush() -> None:
-        nonlocal out, held, n
-        if held:
-            sent = sc.broadcast({d: (np.array([i for i, _ in rows], dtype=object), np.array([v for _, v in rows])) for d, rows in held.items()})
-            out = out.unionByName(vectors.select("id", "vector").mapInArrow(_scan(sent, k), "id string, other string, cosine double"))
-        held, n = {}, 0
-
-    for r in queries.select("id", "vector").orderBy("id").toLocalIterator():
-        v = np.array(r.vector, np.float64)
-        v /= np.abs(v).max()
-        held.setdefault(len(v), []).append((r.id, v / np.sqrt(v @ v)))
-        n += 1
-        if n == shard:
-            flush()
-    flush()
+    twin = [F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(7), "vector").alias("c2")]
+    cls = vectors.select("id", *twin)
+    crowded = ws.write(cls.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1))
+    members = cls.join(crowded, ["c1", "c2"])
+    nth = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))
+    heads = members.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    tail = members.join(heads.select("id"), "id", "left_anti")
+    rows = ws.write(vectors.join(tail.select("id"), "id", "left_anti").select("id", "vector", "dim").withColumn("n", F.monotonically_increasing_id()))
+    wanted = rows.select("n", "id") if asked is None else rows.select("n", "id").join(asked.select("id"), "id", "left_semi")
+    found = _found(rows.select("n", "vector", "dim"), ws.write(wanted.select("n")), k, min_cosine, ws, p)
+    sized = rows.withColumn("size", F.sqrt(_product(F.col("vector"), F.col("vector")))).select("n", F.struct("id", "vector", "size").alias("v"))
+    both = found.distinct().join(sized.select("n", F.col("v").alias("x")), "n").join(sized.select(F.col("n").alias("other"), F.col("v").alias("y")), "other")
+    cosine = _product(F.col("x.vector"), F.col("y.vector")) / (F.col("x.size") * F.col("y.size"))
+    near = both.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), cosine.alias("cosine")).filter(F.col("cosine") >= min_cosine if min_cosine > -1 else F.lit(True))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    best_ = near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rest = tail if asked is None else tail.join(asked.select("id"), "id", "left_semi")
+    rest = rest.join(heads.filter(F.col("nth") <= k).select("c1", "c2", F.col("id").alias("other"), "nth"), ["c1", "c2"])
+    return best_.unionByName(rest.select("id", "other", F.lit(1.0).alias("cosine"), F.col("nth").alias("rank")))

@@ -18,7 +18,7 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid_vectors(spark, d)
     parts = [F.conv(F.substring("id", 8 * i + 1, 8), 16, 10).cast("long") * (pow(2, 32 * (7 - i)) % 100) for i in range(8)]
     asked = rows.filter(sum(parts[1:], parts[0]) % 100 == 0)
-    best = nearest.nearest_of(asked, rows, 5)
+    best = nearest.most_similar(rows, 5, -1.0, Workspace(spark), asked=asked)
     return best.select(F.col("id").alias("hash"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"), "rank")
 
 

@@ -176,7 +176,7 @@ def test_p6_brute(spark, tables):
         assert sum(h in p for p in got) >= 5
 
 
-def test_p6_recall(spark, ws):
+def test_p6_recall(spark, ws, monkeypatch):
     """At least 0.9 of the true pairs, neighbours of all grades above the bound, several cells."""
     rng = np.random.default_rng(4)
     x = rng.standard_normal((6000, 64))
@@ -187,13 +187,41 @@ def test_p6_recall(spark, ws):
     sim = np.triu(x @ x.T, 1)
     want = {(f"{i:05d}", f"{j:05d}") for i, j in zip(*np.nonzero(sim >= 0.9))}
     df = spark.createDataFrame([(f"{i:05d}", v.astype(np.float32).tolist(), 64) for i, v in enumerate(x)], "id string, vector array<float>, dim int")
-    got = {(r.a, r.b) for r in nearest.similar(df, 0.9, ws).collect()}
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 256)  # trees of five levels, bulk rounds and then the few that still ask
+    monkeypatch.setattr(nearest, "SHARD", 300)
+    got = {tuple(sorted((r.id, r.other))) for r in nearest.most_similar(df, 5, 0.9, ws).collect()}
     assert len(want) > 800 and len(got & want) / len(want) >= 0.99 and len(got - want) < 5
+    # five nearest at any distance: where the test would read more than half, everything is compared
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 1024)
+    asked = df.filter("id % 40 = 0").select("id")
+    near: dict = {}
+    for r in nearest.most_similar(df, 5, -1.0, ws, asked=asked).collect():
+        near.setdefault(int(r.id), set()).add(int(r.other))
+    full = x @ x.T
+    np.fill_diagonal(full, -2)
+    true = {i: set(np.argsort(-full[i])[:5].tolist()) for i in range(0, 6000, 40)}
+    assert near.keys() == true.keys() and all(len(v) == 5 for v in near.values())
+    assert sum(len(near[i] & true[i]) for i in true) / (5 * len(true)) >= 0.9
 
 
 def test_chi_square():
-    assert nearest.chi2_cdf(nearest.stop_radius(1.0, 8, 0.95) ** 2, 8) == pytest.approx(0.95)
-    assert nearest.stop_radius(1.0, 8, 0.95) ** 2 == pytest.approx(15.507, abs=1e-3)
+    x = np.array([0.0, 0.0157908, 0.4549364, 1.0, 3.8414588, 6.6348966, 10.8275662])
+    assert nearest.chi2_1(x) == pytest.approx(np.array([0, 0.1, 0.5, 0.6826895, 0.95, 0.99, 0.999]), abs=1e-5)
+
+
+def test_stopping_test_is_calibrated():
+    """The stated chance that a tree shows a neighbour is the share of trees that do."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(rng.standard_normal((3000, 64))).astype(np.float32)
+    for c in (0.9, 0.5):
+        side = rng.standard_normal((3000, 64))
+        side = unit(side - (side * x).sum(1)[:, None] * x)
+        y = (c * x + np.sqrt(1 - c * c) * side).astype(np.float32)
+        trees = [nearest.Tree(x, 4, i) for i in range(12)]
+        stated = np.mean([t.shows(x, np.full(3000, c)) for t in trees])
+        seen = np.mean([t.leaf(x) == t.leaf(y) for t in trees])
+        assert stated == pytest.approx(seen, abs=0.02)
 
 
 def test_p7_brute(spark, tables):
