@@ -36,6 +36,8 @@ LEAF_ROWS, MAX_LEVELS, FIT_PER_LEAF, FIT_LEAST = 4096, 12, 16, 8192
 ROUND_TREES, MAX_TREES = 4, 96
 #: Vectors that still ask are sent to all rows, instead of all rows to them, when so few are left.
 SHARD = 16_384
+#: Rows of a task that are dealt to the leaves together.
+HELD_ROWS = 65_536
 #: Vectors travel as 16-bit integers: cosines are off by less than this until they are verified.
 SLACK = 5e-5
 
@@ -112,14 +114,20 @@ def best(sim: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]
         r, c = np.divmod(np.flatnonzero(sim >= np.maximum(floor, -1.5)[:, None] - SLACK), sim.shape[1])
         keep = sim[r, c] > -1.5
         r, c = r[keep], c[keep]
-    v = sim[r, c]
+    return _top(r, c, sim[r, c], k)[:2]
+
+
+def _top(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries (row, column, value) the k largest of each row, with what is as good within the slack."""
+    if not len(r):
+        return r, c, v
     order = np.lexsort((-v, r))
     r, c, v = r[order], c[order], v[order]
-    start = np.searchsorted(r, np.arange(sim.shape[0]))
-    size = np.bincount(r, minlength=sim.shape[0])
-    kth = np.where(size >= k, v[np.minimum(start + k - 1, len(v) - 1)], -2) if len(v) else np.zeros(0)
-    keep = v >= kth[r] - SLACK if len(v) else np.zeros(0, bool)
-    return r[keep], c[keep]
+    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    size = np.diff(np.append(first, len(r)))
+    kth = np.where(size >= k, v[np.minimum(first + k - 1, len(v) - 1)], -2)
+    keep = v >= np.repeat(kth, size) - SLACK
+    return r[keep], c[keep], v[keep]
 
 
 def valid(vectors: DataFrame, key: str, vector: str, dim: Column) -> DataFrame:
@@ -146,31 +154,42 @@ def _unit(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray,
         yield int(dim), rows, x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _packed(x: np.ndarray) -> pa.Array:
+def _whole(x: np.ndarray) -> np.ndarray:
     """Unit rows as 16-bit integers of their largest part."""
-    q = np.rint(x * (32767 / np.abs(x).max(1))[:, None]).astype(np.int16)
-    size = q.shape[1] * 2
-    offsets = np.arange(len(q) + 1, dtype=np.int32) * size
-    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(q))])
+    return np.rint(x * (32767 / np.abs(x).max(1))[:, None]).astype(np.int16)
 
 
-def _unpacked(values: pa.Array, n: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(values.to_pylist()), np.int16).reshape(n, -1).astype(np.float32)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+def _blobs(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of rows as binary values."""
+    offsets = (cuts * (rows.nbytes // len(rows))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _place(trees: dict[int, list[Tree]], first: int):
-    """Arrow map from (n, vector, asks): a row for each tree with the leaf."""
+    """Arrow map from (n, vector, asks): for each tree and leaf one row with all its members of up to HELD_ROWS rows of a task."""
+
+    def flush(dim: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        n, asks, x = (np.concatenate([h[i] for h in held]) for i in range(3))
+        v = _whole(x)
+        for i, tree in enumerate(trees[dim], first):
+            leaf = tree.leaf(x)
+            order = np.argsort(leaf, kind="stable")
+            name, start = np.unique(leaf[order], return_index=True)
+            cuts = np.append(start, len(order))
+            fixed = lambda a: pa.array(np.full(len(name), a, np.int32))  # noqa: B023, E731
+            cols = {"dim": fixed(dim), "tree": fixed(i), "leaf": pa.array(name.astype(np.int32)), "n": _blobs(n[order], cuts), "asks": _blobs(asks[order], cuts), "v": _blobs(v[order], cuts)}
+            yield pa.RecordBatch.from_pydict(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            n, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            n, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             for dim, rows, x in _unit(batch, 1):
-                v = _packed(x)
-                for i, tree in enumerate(trees[dim], first):
-                    fixed = lambda a, t: pa.array(np.full(len(rows), a, t))  # noqa: B023, E731
-                    cols = {"dim": fixed(dim, np.int32), "tree": fixed(i, np.int32), "leaf": pa.array(tree.leaf(x).astype(np.int32)), "n": pa.array(n[rows]), "asks": pa.array(asks[rows]), "v": v}
-                    yield pa.RecordBatch.from_pydict(cols)
+                held.setdefault(dim, []).append((n[rows], asks[rows], x.astype(np.float32)))
+                if sum(len(h[0]) for h in held[dim]) >= HELD_ROWS:
+                    yield from flush(dim, held.pop(dim))
+        for dim, rest in held.items():
+            yield from flush(dim, rest)
 
     return run
 
@@ -178,19 +197,45 @@ def _place(trees: dict[int, list[Tree]], first: int):
 def _meet(k: int, least: float):
     """Arrow group map over a leaf: (n, other, cosine) of the best of every row that asks."""
 
+    def bounded(x: np.ndarray, asking: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair once: rows of a block against themselves and what follows; only the first ``asking`` rows ask."""
+        out, size = [], 0
+        for a in range(0, asking, 512):
+            sim = x[a : a + 512] @ x[a:].T
+            r, c = np.divmod(np.flatnonzero(sim >= least - SLACK), sim.shape[1])
+            r, c = r[r < c], c[r < c]
+            v = sim[r, c]
+            r, c = r + a, c + a
+            back = c < asking
+            out.append((np.concatenate([r, c[back]]), np.concatenate([c, r[back]]), np.concatenate([v, v[back]])))
+            size += len(out[-1][0])
+            if size > 2_000_000:  # a leaf of near copies: only what can stay is held
+                out = [_top(*(np.concatenate(z) for z in zip(*out)), k)]
+                size = len(out[0][0])
+        return _top(*(np.concatenate(z) for z in zip(*out)), k)
+
     def run(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        x = _unpacked(table.column("v"), len(n))
-        asking = np.flatnonzero(table.column("asks").to_numpy())
-        out: list[tuple] = []
-        for a in range(0, len(asking), 512):
-            part = asking[a : a + 512]
-            sim = x[part] @ x.T
-            sim[np.arange(len(part)), part] = -2
-            r, c = best(sim, k, least)
-            out.append((n[part[r]], n[c], sim[r, c]))
-        col = lambda i, t: np.concatenate([np.empty(0, t), *(o[i] for o in out)])
-        return pa.table({"n": col(0, np.int64), "other": col(1, np.int64), "cosine": col(2, np.float64)})
+        get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        n, asks = get("n", np.int64), get("asks", np.uint8)
+        order = np.argsort(1 - asks.astype(np.int8), kind="stable")
+        n, asking = n[order], int(asks.sum())
+        x = get("v", np.int16).reshape(len(n), -1)[order].astype(np.float32)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        if not asking:
+            r, c, v = none
+        elif least > -1:
+            r, c, v = bounded(x, asking)
+        else:
+            out = []
+            for a in range(0, asking, 512):
+                part = np.arange(a, min(a + 512, asking))
+                sim = x[part] @ x.T
+                sim[np.arange(len(part)), part] = -2
+                i, j = best(sim, k, least)
+                out.append((part[i], j, sim[i, j]))
+            r, c, v = (np.concatenate(z) for z in zip(*out))
+        return pa.table({"n": n[r], "other": n[c], "cosine": v.astype(np.float64)})
 
     return run
 
@@ -283,7 +328,7 @@ def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspac
     while left > SHARD and used < MAX_TREES:
         trees = forest.trees(used, used + (1 if single else ROUND_TREES))
         flagged = rows.join(asking.withColumn("asks", F.lit(True)), "n", "left").select("n", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
-        placed = flagged.mapInArrow(_place(trees, used), "dim int, tree int, leaf int, n long, asks boolean, v binary")
+        placed = flagged.mapInArrow(_place(trees, used), "dim int, tree int, leaf int, n binary, asks binary, v binary")
         met = placed.groupBy("dim", "tree", "leaf").applyInArrow(_meet(k, least), "n long, other long, cosine double")
         found, before = ws.write(_kept(found.select("n", "other", "cosine").unionByName(met), k)), found
         ws.drop(before)
@@ -376,18 +421,20 @@ def most_similar(vectors: DataFrame, k: int, min_cosine: float, ws: Workspace, p
     """
     ship(vectors.sparkSession)
     twin = [F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(7), "vector").alias("c2")]
-    cls = vectors.select("id", *twin)
-    crowded = ws.write(cls.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1))
-    members = cls.join(crowded, ["c1", "c2"])
+    rows = ws.write(vectors.select("id", "vector", "dim", *twin, F.monotonically_increasing_id().alias("n")))
+    crowded = ws.write(rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > k + 1))
+    members = rows.select("id", "c1", "c2").join(crowded, ["c1", "c2"])
     nth = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))
     heads = members.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
     tail = members.join(heads.select("id"), "id", "left_anti")
-    rows = ws.write(vectors.join(tail.select("id"), "id", "left_anti").select("id", "vector", "dim").withColumn("n", F.monotonically_increasing_id()))
+    if crowded.count():
+        rows = ws.write(rows.join(tail.select("id"), "id", "left_anti"))
     wanted = rows.select("n", "id") if asked is None else rows.select("n", "id").join(asked.select("id"), "id", "left_semi")
     found = _found(rows.select("n", "vector", "dim"), ws.write(wanted.select("n")), k, min_cosine, ws, p)
-    sized = rows.withColumn("size", F.sqrt(_product(F.col("vector"), F.col("vector")))).select("n", F.struct("id", "vector", "size").alias("v"))
-    both = found.distinct().join(sized.select("n", F.col("v").alias("x")), "n").join(sized.select(F.col("n").alias("other"), F.col("v").alias("y")), "other")
-    cosine = _product(F.col("x.vector"), F.col("y.vector")) / (F.col("x.size") * F.col("y.size"))
+    side = rows.select("n", F.struct("id", "vector").alias("v"))
+    both = found.distinct().join(side.select("n", F.col("v").alias("x")), "n").join(side.select(F.col("n").alias("other"), F.col("v").alias("y")), "other")
+    x, y = F.col("x.vector"), F.col("y.vector")
+    cosine = _product(x, y) / (F.sqrt(_product(x, x)) * F.sqrt(_product(y, y)))
     near = both.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), cosine.alias("cosine")).filter(F.col("cosine") >= min_cosine if min_cosine > -1 else F.lit(True))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other"))
     best_ = near.withColumn("rank", rank).filter(F.col("rank") <= k)
