@@ -82,10 +82,12 @@ def flat_messages(rows: DataFrame, with_text: bool) -> DataFrame:
     """Ordered messages of rows (id, session, time, message): by time, then id.
 
     Same columns as ``tree_messages``.  Repeated rows count once (of rows of an id
-    that differ, the least; all rows of a null id in a session count as one).  A null time is the fault 'no time'.  Rows of a null
-    session are left out.
+    that differ, the least); rows of a null id are told apart by time and message and
+    come before the others of their time.  A null time is the fault 'no time'.  Rows
+    of a null session are left out.
     """
-    kept = rows.filter(F.col("session").isNotNull()).select("id", "session", "time", _facts(F.col("message"), with_text).alias("m"))
+    nameless = F.concat(F.lit("\u0000"), F.sha2(F.concat_ws("|", F.coalesce(F.col("time").cast("string"), F.lit("")), F.coalesce("message", F.lit("")), F.col("message").isNull().cast("string")), 256))
+    kept = rows.filter(F.col("session").isNotNull()).select(F.coalesce("id", nameless).alias("id"), "session", "time", _facts(F.col("message"), with_text).alias("m"))
     one = kept.groupBy("session", "id").agg(F.min(F.struct("time", "m")).alias("s"))
     text = ["s.m.text"] if with_text else []
     late = F.when(F.col("s.time").isNull(), "no time").alias("fault")

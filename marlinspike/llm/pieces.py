@@ -1,8 +1,9 @@
 """Cutting oversized texts at natural boundaries.
 
 Boundaries form a hierarchy: section, paragraph, sentence or line, word, character.
-A part over the room is cut by the next level; the parts are packed greedily, and
-each piece starts with the end of the one before.  Inside a code fence only lines,
+A part over the room is cut by the next level; the parts are packed greedily, but a
+section or paragraph that must be cut begins a piece of its own, so no piece runs
+over its start and ends inside it.  Each piece starts with the end of the one before.  Inside a code fence only lines,
 words and characters are cut.
 """
 
@@ -12,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,21 +79,22 @@ def split(text: str, limit: int = 1200, overlap: int = 120) -> list[tuple[str, i
     """
     if not 0 <= overlap <= limit // 2 or limit < 16:
         raise ValueError("overlap must be at most half of the limit, the limit at least 16")
-    size = [0]
-    for c in text:
-        o = ord(c)
-        size.append(size[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
-    if size[-1] <= limit:
+    if len(text) * 4 <= limit or len(text.encode("utf-8", "surrogatepass")) <= limit:
         return [(text, 0)]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = [0, *np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), dtype=np.int64).tolist()]
     levels = boundaries(text)
     room = limit - overlap
     atoms: list[int] = []  # where the parts end
+    fresh: set[int] = set()  # where sections and paragraphs begin that must be cut
     todo = [(0, len(text), 0)]
     while todo:
         lo, hi, level = todo.pop()
         if size[hi] - size[lo] <= room:
             atoms.append(hi)
             continue
+        if level in (1, 2):
+            fresh.add(lo)
         if level < len(levels):
             at = levels[level]
             cuts = [lo, *at[bisect_right(at, lo) : bisect_left(at, hi)], hi]
@@ -107,7 +110,7 @@ def split(text: str, limit: int = 1200, overlap: int = 120) -> list[tuple[str, i
     out, begin, lead = [], 0, 0
     for i, end in enumerate(atoms):
         following = atoms[i + 1] if i + 1 < len(atoms) else None
-        if following is not None and size[following] - size[begin] + lead <= limit:
+        if following is not None and end not in fresh and size[following] - size[begin] + lead <= limit:
             continue
         out.append((text[_back(size, begin, lead) : end], lead))
         if following is not None:

@@ -105,6 +105,16 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.rechunk(spark.read.parquet(f"{d}/chunks.parquet"), Workspace(spark)).withColumnRenamed("id", "chunk_id")
 
 
+def p5_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of a cut chunk give together: its bytes and digest, and whether all pieces keep the limits."""
+    got = pieces.oversized(spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))).distinct()
+    new = F.expr("decode(substring(encode(text, 'UTF-8'), repeated + 1), 'UTF-8')")
+    kept = (F.octet_length("text") <= 1200) & (F.col("repeated") <= 120)
+    each = got.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", new.alias("t")))).alias("s"), F.min(kept).alias("within"))
+    text = F.array_join(F.transform("s", lambda x: x["t"]), "")
+    return each.select(F.col("id").alias("chunk_id"), F.octet_length(text).alias("bytes"), F.sha2(text, 256).alias("sha256"), "within")
+
+
 def _edited(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, neardup.Plan]]:
     """The two kinds of text, as (field, rows (id, text), plan)."""
     bodies = spark.read.parquet(f"{d}/chunks.parquet").select("id", F.col("body").alias("text"))
@@ -147,7 +157,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "other").alias("hash_a"), F.greatest("id", "other").alias("hash_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p8_curriculum, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p1_conversations, p3_found, p3_groups, p5_found, p5_pieces, p5_roundtrip, p6_found, p6_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p8_curriculum, p9_found, p9_shared)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
@@ -182,6 +192,18 @@ kept AS (SELECT s FROM turns GROUP BY 1 HAVING NOT bool_or(role = 'user' AND (af
 SQL = {
     "p1_found": _TALK + "SELECT id AS session_id FROM sessions UNION SELECT id FROM session_v2 UNION SELECT session_id FROM message_nodes UNION SELECT session_id FROM message WHERE session_id IS NOT NULL EXCEPT SELECT s FROM kept",
     "p1_conversations": _TALK + "SELECT s AS session_id, row_number() OVER (PARTITION BY s ORDER BY o1, o2) - 1 AS pos, role, text FROM turns WHERE s IN (SELECT s FROM kept)",
+    "p1_faults": _TALK
+    + """, why AS (SELECT s, min(f) AS f FROM (
+  SELECT s, CASE WHEN d >= (SELECT count(*) FROM n x WHERE x.s = c.s) THEN 'loop' WHEN p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.s = c.s AND n.n = c.p) THEN 'orphan' END AS f FROM c
+  UNION ALL SELECT id, 'no leaf' FROM sessions h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.s = h.id AND n.n = h.main_chain_id)
+  UNION ALL SELECT session_id, 'no time' FROM message WHERE time_created IS NULL) GROUP BY 1),
+k AS (SELECT id AS s FROM sessions UNION SELECT id FROM session_v2), g AS (SELECT s, bool_and(ok) AS ok FROM t GROUP BY 1),
+u AS (SELECT s, bool_or(role = 'user' AND (after IS NULL OR after = 'user')) AS mute FROM turns GROUP BY 1),
+f AS (SELECT k.s, coalesce(f, CASE WHEN NOT ok THEN 'unreadable' WHEN mute IS NULL THEN 'empty' WHEN mute THEN 'no reply' END) AS fault
+  FROM k LEFT JOIN why USING (s) LEFT JOIN g USING (s) LEFT JOIN u USING (s)
+  UNION ALL SELECT s, 'no session' FROM (SELECT session_id AS s FROM message_nodes UNION SELECT session_id FROM message) WHERE s NOT IN (SELECT s FROM k))
+SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL AND s IS NOT NULL GROUP BY 1""",
+    "p5_roundtrip": "SELECT DISTINCT id AS chunk_id, strlen(body) AS bytes, sha256(body) AS sha256, true AS within FROM chunks WHERE strlen(body) > 1200",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(body) > 1200",
     "p3_found": _NEAR + "SELECT * FROM p",
     "p3_groups": _NEAR

@@ -27,7 +27,7 @@ def runs(w: list[str], n: int) -> set[tuple]:
 
 
 #: SQL forms that read null ids otherwise, or accept what the operators call unreadable.
-NOT_SQL = {"p1_found", "p1_conversations", "p6_found", "p6_neighbours", "p7_found", "p7_items"}
+NOT_SQL = {"p1_found", "p1_faults", "p1_conversations", "p6_found", "p6_neighbours", "p7_found", "p7_items"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -141,6 +141,8 @@ def test_p5_prefers_boundaries():
     text = "# A\n\n" + "One two three. " * 60 + "\n\n# B\n\n" + "Four five six. " * 60
     got = pieces.split(text, 1200, 0)
     assert got[1][0].startswith("# B")
+    short = "# A\n\nOne line.\n\n# B\n\n" + "Four five six. " * 120  # the long section begins a piece although more would fit
+    assert pieces.split(short, 1200, 0)[0][0] == "# A\n\nOne line.\n\n" and pieces.split(short, 1200, 0)[1][0].startswith("# B")
     fence = "```\n" + "code line\n\n" * 50 + "```\n\n" + "Text here. " * 80
     assert pieces.split(fence, 1200, 0)[0][0].rstrip().endswith("```")
 
