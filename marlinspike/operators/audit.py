@@ -16,8 +16,8 @@ from marlinspike.plans.workspace import Workspace
 POOL_TYPES = ("atom", "godnote", "source", "lead")
 BATCH = {"group": 20, "cross": 20, "same": 40, "stale": 20}
 OLD, DISPUTE, DOUBLE, REFINES = "устарело", "спор", "дубль", "уточняет"
-REPLACES = r"(?i)(supersedes|заменяет|отменяет|отменённое|отмененное|устарел[аио]?\s+из-за|corrects)(?U:\b)[^\n]*?\[\[([^\]|#]+)"
-SELF_STALE = r"(?im)^\s*>?\s*[⚠️\s]*\**\s*устарело(?U:\b)"
+REPLACES = r"(?iu)(supersedes|заменяет|отменяет|отменённое|отмененное|устарел[аио]?\s+из-за|corrects)(?U:\b)[^\n]*?\[\[([^\]|#]+)"
+SELF_STALE = r"(?ium)^\s*>?\s*[⚠️\s]*\**\s*устарело(?U:\b)"
 CORRECTION = r"(?m)^## (Поправка(?U:\b).*)$"
 
 

@@ -29,6 +29,18 @@ def totals(notes: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
     return n(notes, "notes").join(F.broadcast(n(chunks, "chunks"))).join(F.broadcast(n(links, "links")))
 
 
+def component_sizes(notes: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """(component, size): connected parts of the notes (note_id) by the links (src, dst), the least note id naming each."""
+    return _placed(notes, edges, ws).groupBy(F.col("island").alias("component")).agg(F.count(F.lit(1)).alias("size"))
+
+
+def _placed(notes: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
+    ids = notes.select("note_id")
+    known = edges.join(ids.select(F.col("note_id").alias("src")), "src", "left_semi").join(ids.select(F.col("note_id").alias("dst")), "dst", "left_semi")
+    part = components(known.select(F.col("src").alias("u"), F.col("dst").alias("v")), ws)
+    return notes.join(part.withColumnRenamed("id", "note_id"), "note_id", "left").withColumn("island", F.coalesce("component", "note_id")).drop("component")
+
+
 def islands(notes: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
     """(island, size, title, path, note_id): notes cut off from the largest component.
 
@@ -36,13 +48,10 @@ def islands(notes: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
     island of one.  Of components of equal size the one with the least note id is
     home.  ``island`` is the least note id of the component.
     """
-    ids = notes.select("note_id")
-    known = edges.join(ids.select(F.col("note_id").alias("src")), "src", "left_semi").join(ids.select(F.col("note_id").alias("dst")), "dst", "left_semi")
-    part = components(known.select(F.col("src").alias("u"), F.col("dst").alias("v")), ws)
-    placed = notes.select("note_id", "title", "path").join(part.withColumnRenamed("id", "note_id"), "note_id", "left").withColumn("island", F.coalesce("component", "note_id"))
+    placed = _placed(notes.select("note_id", "title", "path"), edges, ws)
     sizes = placed.groupBy("island").agg(F.count(F.lit(1)).alias("size"))
     home = sizes.orderBy(F.desc("size"), "island").limit(1).select("island")
-    return placed.drop("component").join(sizes, "island").join(F.broadcast(home), "island", "left_anti").select("island", "size", "title", "path", "note_id")
+    return placed.join(sizes, "island").join(F.broadcast(home), "island", "left_anti").select("island", "size", "title", "path", "note_id")
 
 
 def stale(notes: DataFrame, today: datetime.date, days: int = STALE_DAYS) -> DataFrame:

@@ -49,7 +49,7 @@ def latest_name_map(notes: DataFrame) -> DataFrame:
     """
     names = F.array("title", T.file_stem(F.col("path")), F.regexp_replace("path", r"\.md$", ""), "path")
     last = lambda x: notes.select(F.explode(F.transform(x, fold)).alias("name"), "note_id").filter("name <> ''").groupBy("name").agg(F.max("note_id").alias("dst"))
-    own, alias = last(names), last(F.transform(alias_list(F.col("aliases")), F.trim))
+    own, alias = last(names), last(F.transform(alias_list(F.col("aliases")), lambda x: F.trim(x)))
     return own.unionByName(alias.join(own.select("name"), "name", "left_anti"))
 
 
@@ -65,6 +65,12 @@ def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
     return plain.join(found, plain["dst_name"] == found["_n"], "left").drop("_n")
 
 
+def completed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``links`` (src, dst_name, dst) with the note that answers to dst_name where no id is stored."""
+    open_ = resolve(links.filter("dst is null"), names)
+    return links.filter("dst is not null").unionByName(open_.select(*links.columns))
+
+
 def broken(links: DataFrame, notes: DataFrame) -> DataFrame:
     """(title, dst_name) of the links (src, dst_name, dst) without a target, one row each."""
     return links.filter("dst is null").join(notes.select(F.col("note_id").alias("src"), "title"), "src").select("title", "dst_name")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlinspike.functions.markdown import arrow_map
@@ -13,6 +13,14 @@ SPLIT_ABOVE = 120_000
 WINDOW_DAYS, QUIET_MINUTES, LEAST_TURNS = 14, 30, 3
 
 
+def message_text(message: Column) -> Column:
+    """Text of a message (a variant): its content if that is a string, the text of its parts of type text by lines if it is a list."""
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(message, "$.content", "variant")), F.lit("VOID"))
+    parts = F.filter(F.try_variant_get(message, "$.content", "array<variant>"), lambda p: F.try_variant_get(p, "$.type", "string") == "text")
+    joined = F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), "\n")
+    return F.when(kind == "STRING", F.try_variant_get(message, "$.content", "string")).when(kind.startswith("ARRAY"), joined)
+
+
 def facts(turns: DataFrame) -> DataFrame:
     """(session_id, turns, user_turns, chars, first_message) of turns (session_id, pos, role, text).
 

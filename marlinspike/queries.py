@@ -36,6 +36,10 @@ class Tables:
         self.links = self.t("links").dropDuplicates(["link_id"]).select("link_id", F.col("src_note_id").alias("src"), "dst_name", F.col("dst_note_id_or_null").alias("dst"))
         self.vectors = self.t("chunk_vectors")
 
+    def resolved(self) -> DataFrame:
+        """The links with a target wherever their name has one, as the index has them after each build."""
+        return links.completed(self.links, links.name_map(self.notes))
+
     def stored(self) -> Tables:
         """The same with the chunks written once, for queries that read their bodies in several steps."""
         self.chunks = Workspace(self.spark).write(self.chunks)
@@ -70,20 +74,20 @@ def link_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 def broken_links(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return links.broken(t.links, t.notes).groupBy("title", "dst_name").agg(F.count(F.lit(1)).alias("n"))
+    return links.broken(t.resolved(), t.notes).groupBy("title", "dst_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def link_demand(spark: SparkSession, d: str) -> DataFrame:
-    rows = links.demand(Tables(spark, d).links)
+    rows = links.demand(Tables(spark, d).resolved())
     return rows.select(F.array_join("spellings", "|").alias("spellings"), "demand")
 
 
 def out_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return links.out_degrees(Tables(spark, d).links)
+    return links.out_degrees(Tables(spark, d).resolved())
 
 
 def hub_notes(spark: SparkSession, d: str) -> DataFrame:
-    return links.out_degrees(Tables(spark, d).links).filter(F.col("n_out") > search.HUB_CAP)
+    return links.out_degrees(Tables(spark, d).resolved()).filter(F.col("n_out") > search.HUB_CAP)
 
 
 def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -148,13 +152,21 @@ def coverage_mass(spark: SparkSession, d: str) -> DataFrame:
     return search.coverage(found, stats).select("chunk_id", F.round("mass", 6).alias("mass"), "terms_matched", "content_matched")
 
 
-def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    """The best 50 chunks by BM25 over the whole table."""
-    t = Tables(spark, d).stored()
-    found, stats = _stats(t)
+def _ranked(t: Tables, n: int) -> DataFrame:
+    """(chunk_id, bm25) of the n best chunks; the matches are written once and read by every step."""
+    found = Workspace(t.spark).write(_found(t))
     lens = search.lengths(t.chunks)
-    score = search.bm25(found, lens, stats.df, stats.chunks, lens.agg(F.avg("dl")).first()[0] or 1.0)
-    return score.select("chunk_id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "chunk_id").limit(50)
+    df = [0] * len(_terms())
+    for r in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a term
+        df[r.t] = r.n
+    size = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
+    score = search.bm25(found, lens, df, size.n or 1, size.avg or 1.0)
+    return score.select("chunk_id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "chunk_id").limit(n)
+
+
+def bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    """The best 50 chunks by BM25 over the whole table: a top-k report."""
+    return _ranked(Tables(spark, d).stored(), 50)
 
 
 def prefix_widening(spark: SparkSession, d: str) -> DataFrame:
@@ -164,28 +176,41 @@ def prefix_widening(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x.origin, x.stem, x.prefix) for x in got], "origin string, stem string, prefix boolean")
 
 
-def lane_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Word ranking of the question and meaning ranking of one vector, fused by reciprocal ranks."""
-    t = Tables(spark, d)
-    words = bm25_top(spark, d).select("chunk_id", F.row_number().over(Window.orderBy("bm25", "chunk_id")).alias("rank")).withColumnRenamed("chunk_id", "id")
-    query = _one_vector(t)
-    near = vectors.nearest_to(t.vectors.filter(vectors.usable(F.col("vector"), F.col("dim")) & (F.col("dim") == 64)).select(F.col("hash").alias("id"), "vector"), query, 50)
+def _lanes(t: Tables) -> DataFrame:
+    """The word pool and the meaning pool, fused."""
+    words = _ranked(t, search.POOL).select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy("bm25", "chunk_id")).alias("rank"))
+    near = t.spark.createDataFrame([], "id string, cosine double")
+    for dim in _dims(t):  # a model for each length of vector, its first vector standing for the question
+        own = t.vectors.filter(vectors.usable(F.col("vector"), F.col("dim")) & (F.col("dim") == dim)).select(F.col("hash").alias("id"), "vector")
+        query = [float(x) for x in own.orderBy("id").limit(1).collect()[0].vector]
+        near = near.unionByName(vectors.nearest_to(own, query, search.POOL))
     body = t.chunks.select(F.col("chunk_id"), F.sha2("body", 256).alias("hash"))
-    best = near.join(body, near["id"] == body["hash"]).groupBy("chunk_id").agg(F.max("cosine").alias("cosine")).orderBy(F.desc("cosine"), "chunk_id").limit(50)
+    best = near.join(body, near["id"] == body["hash"]).groupBy("chunk_id").agg(F.max("cosine").alias("cosine")).orderBy(F.desc("cosine"), "chunk_id").limit(search.POOL)
     ranked = best.select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("cosine"), "chunk_id")).alias("rank"))
-    return search.fuse(words, ranked).select("id", F.round("fusion", 6).alias("fusion"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "meaning_rank")])
+    return search.fuse(words, ranked)
+
+
+def _dims(t: Tables) -> list[int]:
+    """The lengths of the usable vectors, one for each model."""
+    ok = t.vectors.filter(vectors.usable(F.col("vector"), F.col("dim")))
+    return sorted(r.dim for r in ok.select("dim").distinct().collect())
 
 
-def _one_vector(t: Tables) -> list[float]:
-    ok = t.vectors.filter(vectors.usable(F.col("vector"), F.col("dim")) & (F.col("dim") == 64))
-    return [float(x) for x in ok.orderBy("hash").limit(1).collect()[0].vector]
+def lane_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Word ranking of the question and meaning ranking of one vector a model, fused by reciprocal ranks."""
+    return _lanes(Tables(spark, d).stored()).select("id", F.round("fusion", 6).alias("fusion"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "meaning_rank")])
 
 
 def byte_budget(spark: SparkSession, d: str) -> DataFrame:
-    """The best chunks that fit into 8,000 bytes together."""
-    t = Tables(spark, d)
-    top = bm25_top(spark, d).join(t.chunks.select("chunk_id", F.octet_length("body").alias("bytes")), "chunk_id")
-    return search.budget_prefix(top, ["bm25", "chunk_id"], 8000, F.col("bytes")).select("chunk_id", "bytes_so_far")
+    """The first chunks of the fused order that fit into 8,000 bytes together, each with its title and heading path."""
+    t = Tables(spark, d).stored()
+    note = t.notes.select("note_id", "title")
+    head = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit(" > "), "heading")).otherwise(F.lit(""))
+    shown = F.trim(F.concat(F.coalesce("title", F.lit("")), head, F.lit("\n\n"), F.coalesce("body", F.lit(""))))
+    sizes = t.chunks.join(note, "note_id", "left").select(F.col("chunk_id").alias("id"), F.octet_length(shown).alias("bytes"))
+    top = _lanes(t).withColumn("fusion", F.round("fusion", 9)).join(sizes, "id")
+    order = [F.desc("fusion"), F.coalesce("lexical_rank", F.lit(search.POOL + 1)), F.col("id")]
+    return search.budget_prefix(top, order, 8000, F.col("bytes")).select(F.col("id").alias("chunk_id"), "bytes_so_far")
 
 
 def search_report(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +218,7 @@ def search_report(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d).stored()
     ws = Workspace(spark)
     posts = ws.write(search.postings(t.chunks).sort("term"))
-    corpus = search.Corpus(t.notes, t.chunks, t.links, posts, ws.write(search.lengths(t.chunks)))
+    corpus = search.Corpus(t.notes, t.chunks, ws.write(t.resolved()), posts, ws.write(search.lengths(t.chunks)))
     got = search.search(corpus, QUESTION)
     rows = [(k, x["chunk_id"], x["path"], x["found_by"], float(x["score"]), x["terms_matched"], x["bytes"]) for k, x in enumerate(got["fragments"], 1)]
     return spark.createDataFrame(rows, "rank int, chunk_id long, path string, found_by string, score double, terms_matched int, bytes int")
@@ -203,7 +228,7 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """One hop from every godnote, hubs left out."""
     t = Tables(spark, d)
     seeds = t.notes.filter(F.lower("type") == "godnote").select(F.col("note_id").alias("note"), (1.0 / (F.pmod("note_id", F.lit(10)) + 1)).alias("score"))
-    near, _ = search.neighbours(t.links, seeds)
+    near, _ = search.neighbours(t.resolved(), seeds)
     return near.select("note", F.round("score", 6).alias("score"))
 
 
@@ -218,10 +243,17 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Three coordinates of the normalised mean of every note."""
+    """Three coordinates of the normalised mean of every note, by model."""
     t = Tables(spark, d)
-    v = vectors.note_vectors(t.chunks, t.vectors, 64)
-    return v.select("note_id", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in (0, 31, 63)])
+    out = [vectors.note_vectors(t.chunks, t.vectors, n).select("note_id", F.lit(n).alias("dim"), *[F.round(F.col("vector")[i], 6).alias(c) for i, c in ((0, "first"), (n // 2 - 1, "middle"), (n - 1, "last"))]) for n in _dims(t)]
+    return _united(out, spark, "note_id long, dim int, first double, middle double, last double")
+
+
+def _united(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def _centred(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +296,13 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 def islands(spark: SparkSession, d: str) -> DataFrame:
     """Notes cut off from the largest component of the graph of all resolved links."""
     t = Tables(spark, d)
-    return health.islands(t.notes, t.links.filter("dst is not null"), Workspace(spark)).select("island", "size", "note_id")
+    return health.islands(t.notes, t.resolved().filter("dst is not null"), Workspace(spark)).select("island", "size", "note_id")
+
+
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Every connected part of the note graph with its size."""
+    t = Tables(spark, d)
+    return health.component_sizes(t.notes.select("note_id"), t.resolved().filter("dst is not null"), Workspace(spark))
 
 
 def stale_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -319,24 +357,36 @@ def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     title = t.notes.filter("project <> ''").select("note_id", F.struct(T.normalize_project(F.col("project")).alias("p"), T.iso_date(F.col("date")).alias("d")).alias("k")).filter("k.d is not null")
     pairs = title.alias("x").join(title.alias("y"), "k").filter("x.note_id < y.note_id").select(F.col("x.note_id").alias("a"), F.col("y.note_id").alias("b")).distinct()
-    edges = links.undirected(t.links)
+    edges = links.undirected(t.resolved())
     return links.without_common(links.without_links(pairs, edges), edges)
 
 
 def meaning_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar live notes without a link: across projects and inside one."""
+    """Similar live notes without a link, by model: across projects and inside one."""
     t = Tables(spark, d)
     ws = Workspace(spark)
-    centred = ws.write(audit.centred_pool(t.notes, vectors.note_vectors(t.chunks, t.vectors, 64), 64))
-    return audit.pairs(t.notes, vectors.similar_pairs(centred, 0.35), links.undirected(t.links)).select("kind", "key", "a", "b", "sim")
+    edges = ws.write(links.undirected(t.resolved()))
+    out = []
+    for n in _dims(t):
+        centred = ws.write(audit.centred_pool(t.notes, vectors.note_vectors(t.chunks, t.vectors, n), n))
+        out.append(audit.pairs(t.notes, vectors.similar_pairs(centred, 0.35), edges).select(F.lit(n).alias("dim"), "kind", "key", "a", "b", "sim"))
+    return _united(out, spark, "dim int, kind string, key string, a long, b long, sim double")
 
 
 def stale_signs(spark: SparkSession, d: str) -> DataFrame:
-    """Notes another note claims to replace: every distinct link of a note stands in for a claim, a text each."""
+    """Notes that are no longer right, by all three signs.
+
+    The bodies hold none, so signs stand in for them: every distinct link of a note is
+    a claim to replace its target, each seventh note calls itself outdated and each
+    eleventh carries a correction, a text each.
+    """
     t = Tables(spark, d)
     own = t.t("links").select(F.col("src_note_id").alias("note_id"), "dst_name").distinct()  # takes out re-delivered rows too
     said = own.select("note_id", F.concat(F.lit("This supersedes [["), "dst_name", F.lit("]].")).alias("text"))
-    return audit.stale(t.notes, said, links.latest_name_map(t.notes)).select("key", "how", "old", "new")
+    marks = F.array(F.when(F.col("note_id") % 7 == 0, F.lit("Intro\n> **Устарело** с весны")), F.when(F.col("note_id") % 11 == 0, F.lit("Text\n## Поправка: not so\nmore")))
+    more = t.notes.select("note_id", F.explode(marks).alias("text")).filter("text is not null")
+    rows = audit.stale(t.notes, said.unionByName(more), links.latest_name_map(t.notes))
+    return rows.select("key", "how", "old", F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("correction", F.lit("")).alias("correction"))
 
 
 def verdict_carry(spark: SparkSession, d: str) -> DataFrame:
@@ -376,7 +426,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     m = Tables(spark, d).t("message").select("id", "session_id", "time_created", "data").distinct().filter("session_id is not null")
     v = F.try_parse_json("data")
     at = [F.col("time_created").alias("_time"), F.coalesce("id", F.lit("")).alias("_id"), F.when(F.col("id").isNull(), F.col("data")).alias("_data")]  # unique in a session even without ids
-    rows = m.select("session_id", *at, F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.content", "string").alias("text"), F.lit(1).cast("long").alias("_one"))
+    rows = m.select("session_id", *at, F.try_variant_get(v, "$.role", "string").alias("role"), sessions.message_text(v).alias("text"), F.lit(1).cast("long").alias("_one"))
     placed = prefix_sum(rows.filter("role is not null"), ["session_id"], ["_time", "_id", "_data"], "_one", "pos", Workspace(spark))
     return placed.select("session_id", "pos", "role", "text")
 
@@ -427,7 +477,7 @@ def context_alarms(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     text_functions, token_counts, link_resolution, broken_links, link_demand, out_degrees, hub_notes, missing_vectors, dead_vectors, duplicate_chunks,
     markdown_links, markdown_notes, shape_problems, term_df, coverage_mass, bm25_top, prefix_widening, lane_fusion, byte_budget, search_report,
-    graph_neighbours, knn_cosine, note_vectors, centred_pairs, linkage_groups, plane_map, notes_by_type, totals, islands, stale_notes, verdict_counts,
+    graph_neighbours, knn_cosine, note_vectors, centred_pairs, linkage_groups, plane_map, notes_by_type, totals, islands, component_sizes, stale_notes, verdict_counts,
     misses_due, fresh_gotchas, project_godnotes, project_sessions, open_threads, threads_by_project, shared_neighbours, meaning_pairs, stale_signs,
     verdict_carry, finding_triage, reading_batches, session_facts, role_totals, session_split, session_render, unclosed_sessions, activity_windows, context_alarms,
 )
