@@ -17,10 +17,12 @@ _live: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; set to a temporary one where there is none."""
+    """The session's shared folder. Where there is none a local session gets a temporary one; on a cluster that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="marlinspike-")
     spark.sparkContext.setCheckpointDir(made)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")

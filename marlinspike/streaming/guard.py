@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Sizes worth a word, room the host keeps, how far ahead to warn.
+#: Sizes worth a word, room the host keeps, and the marks before a compaction: tokens ahead, least part of a small window.
 SIZES = (500_000, 900_000)
-RESERVE, AHEAD, CRITICAL = 33_000, 80_000, 50_000
+RESERVE = 33_000
+MARGINS = (("compact-critical", 50_000, 10), ("compact-warn", 80_000, 4))
 
 
 def usage(rows: DataFrame) -> DataFrame:
@@ -27,39 +29,49 @@ def usage(rows: DataFrame) -> DataFrame:
 
 
 def marks(window: int, compacting: bool = True, sizes: tuple[int, ...] = SIZES) -> list[tuple[int, str]]:
-    """(tokens, name) of every mark, lowest first; margins before a compaction are clamped for small windows."""
-    out = [(n, f"rot-{n}") for n in sizes]
-    if compacting:
-        end = max(1, window - RESERVE)
-        last = min(CRITICAL, max(1, end // 10))
-        out += [(end - min(AHEAD, max(last + 1, end // 4)), "compact-warn"), (end - last, "compact-critical")]
-    return sorted(m for m in out if m[0] > 0)
+    """(tokens, name) of every mark, lowest first.
+
+    The marks before a compaction stand one outside the other, each by its margin or,
+    in a small window, its part of it.
+    """
+    levels = {f"rot-{n}": n for n in sizes}
+    end, margin = max(window - RESERVE, 1), 0
+    for name, ahead, part in MARGINS if compacting else ():
+        margin = min(ahead, max(end // part, margin + 1))
+        levels[name] = end - margin
+    return sorted((level, name) for name, level in levels.items() if level > 0)
 
 
-def decide(used: int, told: list[str], levels: list[tuple[int, str]]) -> tuple[str | None, list[str]]:
-    """The highest crossed mark not told yet and the marks that are told now; below the lowest all are armed again."""
-    if not levels:
-        return None, []
-    told = [] if used < levels[0][0] else list(told)
-    new = [name for level, name in levels if used >= level and name not in told]
-    return (new[-1] if new else None), sorted({*told, *new})
+def crossed(used: np.ndarray, most: int, levels: list[tuple[int, str]]) -> tuple[list[str | None], int]:
+    """For each size in order the highest mark it is the first to cross, and the most seen since all were armed.
+
+    A size under the lowest mark arms them all again.  ``most``: the largest size
+    before, -1 if there was none.
+    """
+    if not levels or not len(used):
+        return [None] * len(used), most
+    steps = np.array([level for level, _ in levels])
+    stretch = np.cumsum(used < steps[0])
+    # sizes of later stretches are lifted over those before, so one running maximum serves all of them
+    lift = int(max(used.max(), most, 0)) + 1
+    raised = np.maximum.accumulate(np.append(most, used + stretch * lift))
+    before = np.where(np.append(0, stretch[:-1]) == stretch, raised[:-1] - stretch * lift, -1)
+    now, then = (np.searchsorted(steps, x, side="right") for x in (used, before))
+    return [levels[n - 1][1] if n > t else None for n, t in zip(now, then)], int(raised[-1] - stretch[-1] * lift)
 
 
 def alarms(rows: DataFrame, window: int) -> DataFrame:
-    """A stream (session_id, at, used) as (session_id, used, mark), by a state a session: the marks told so far."""
+    """A stream (session_id, at, used) as (session_id, used, mark); the state of a session is the most it has used since it was small."""
     levels = marks(window)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = state.get[0].split(",") if state.exists and state.get[0] else []
-        out = []
-        for r in pd.concat(list(batches)).sort_values("at").itertuples():
-            name, told = decide(int(r.used), told, levels)
-            if name:
-                out.append((key[0], int(r.used), name))
-        state.update((",".join(told),))
-        yield pd.DataFrame(out, columns=["session_id", "used", "mark"])
-
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, used long, mark string", "told string", "append", GroupStateTimeout.NoTimeout)
+        part = pd.concat(list(batches)).sort_values("at")
+        names, most = crossed(part["used"].to_numpy(np.int64), state.get[0] if state.exists else -1, levels)
+        state.update((most,))
+        told = pd.DataFrame({"session_id": key[0], "used": part["used"].to_numpy(), "mark": names})
+        yield told[told["mark"].notna()]
+
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, used long, mark string", "most long", "append", GroupStateTimeout.NoTimeout)
 
 
 def batch_alarms(rows: DataFrame, window: int, used: Column | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,15 +92,22 @@ def test_digest_budget():
     assert got["godnotes"] == [] and len(got["unclosed"]) == 1 and got["budget_cut"] > 4
     assert digest.fit(full, 10) == {"tails": [], "gotchas": [], "godnotes": [], "note": ""}
     assert digest.fit(full, 10_000) == full
+    size = lambda x: len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()) + 1
+    seen = [digest.fit(full, n) for n in range(60, 600)]
+    assert all(size(x) <= n for n, x in enumerate(seen, 60)) and {x.get("budget_cut", 0) for x in seen} >= set(range(12))
+    assert all(a.get("budget_cut", 99) >= b.get("budget_cut", 0) for a, b in zip(seen, seen[1:]) if b != full)
+    last = next(x for x in seen if x.get("budget_cut") == 10)
+    assert (len(last["tails"]), len(last["gotchas"]), len(last["unclosed"]), last["unclosed_total"]) == (0, 0, 1, 9)
     assert digest.open_items("- [ ] do  x\n- [x] no\n```\n- [ ] hidden\n```\n - [ ] indented\n- [ ]") == ["[ ] do x", "[ ]"]
 
 
 def test_marks():
     levels = guard.marks(1_000_000)
     assert [n for _, n in levels] == ["rot-500000", "compact-warn", "rot-900000", "compact-critical"]
-    assert guard.decide(100, ["rot-500000"], levels) == (None, [])
-    assert guard.decide(910_000, [], levels) == ("rot-900000", ["compact-warn", "rot-500000", "rot-900000"])
-    assert guard.decide(600_000, ["rot-500000"], levels) == (None, ["rot-500000"])
+    told = lambda used, most=-1: guard.crossed(np.array(used, np.int64), most, levels)
+    assert told([100], 600_000) == ([None], 100) and told([910_000]) == (["rot-900000"], 910_000) and told([600_000], 550_000) == ([None], 600_000)
+    assert told([600_000, 890_000, 100, 600_000, 700_000, 950_000]) == (["rot-500000", "compact-warn", None, "rot-500000", None, "compact-critical"], 950_000)
+    assert told([], 7) == ([], 7) and guard.crossed(np.array([5]), -1, []) == ([None], -1)
 
 
 def test_added_links():

@@ -219,3 +219,13 @@ def test_threads_over_chunks(spark):
     closed = spark.createDataFrame([(rows[0].key,)], "key string")
     assert [r.line for r in digest.tails(n, c, closed, wanted="quill-board").collect()] == [rows[1].line, rows[2].line]
     assert digest.tails(n, c, limit=1).count() == 1 and digest.by_project(digest.threads(n, c)).count() == 3
+
+
+def test_workspace_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from marlinspike.plans.workspace import shared_dir
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(away)

@@ -95,17 +95,21 @@ def test_tree_host(spark, tmp_path, ws):
     assert {(r.session, r.fault) for r in faults.collect()} == {("loop", "loop"), ("hole", "missing parent"), ("twice", "duplicate id")}
 
 
-def test_rerooted_tree(spark):
+def test_rerooted_tree(spark, ws):
     say = lambda role, t: json.dumps({"role": role, "content": t})
     nodes = [
         ("s", 1, None, say("user", "a"), None), ("s", 2, 1, say("assistant", "b"), None), ("s", 3, None, say("system", "summary"), json.dumps({"summarized_from": 2})),
         ("s", 4, 3, say("assistant", "b"), json.dumps({"extensions": {"compact/prior_node_ids": [2]}})), ("s", 5, 4, say("user", "c"), "{bad"), ("s", 9, 1, say("user", "side"), None),
         ("loop", 1, 2, say("user", "a"), None), ("loop", 2, 1, say("user", "b"), None), ("hole", 2, 1, say("user", "b"), None), ("s", 1, None, say("user", "a"), None),
+        # two compactions: the leaf is unknown, so the greatest node ends the chain; a second summary of 3 and a replay are not told
+        ("t", 1, None, say("user", "x"), None), ("t", 3, 1, say("tool", "z"), None), ("t", 4, None, say("system", "of 3"), json.dumps({"summarized_from": 3})), ("t", 5, 4, say("system", "again"), json.dumps({"summarized_from": 3})),
+        ("t", 6, 5, say("assistant", "y"), json.dumps({"extensions": {"compact/prior_node_ids": [90]}})), ("t", 7, None, say("system", "of 6"), json.dumps({"summarized_from": 6})), ("t", 8, 7, say("assistant", "y"), json.dumps({"extensions": {"compact/prior_node_ids": [6, 90]}})),
+        ("ring", 1, None, say("user", "p"), json.dumps({"summarized_from": 2})), ("ring", 2, None, say("user", "q"), json.dumps({"summarized_from": 1})),
     ]
-    s = spark.createDataFrame([("s", 5), ("loop", 2), ("hole", 2)], "id string, main_chain_id long")
-    turns, faults = transcripts.host_e(s, spark.createDataFrame(nodes, "session_id string, node_id long, parent_node_id long, chat_message string, metadata string"))
-    assert said(turns) == [("user", "a"), ("assistant", "b"), ("compaction", "summary"), ("user", "c")]
-    assert {r.session_id: r.fault for r in faults.collect()} == {"loop": "loop at node 2", "hole": "missing parent 1"}
+    s = spark.createDataFrame([("s", 5), ("loop", 2), ("hole", 2), ("t", 77), ("ring", 1)], "id string, main_chain_id long")
+    turns, faults = transcripts.host_e(s, spark.createDataFrame(nodes, "session_id string, node_id long, parent_node_id long, chat_message string, metadata string"), ws)
+    assert said(turns) == [("user", "a"), ("assistant", "b"), ("compaction", "summary"), ("user", "c"), ("user", "x"), ("compaction", "of 3"), ("assistant", "y"), ("compaction", "of 6")]
+    assert {r.session_id: r.fault for r in faults.collect()} == {"loop": "loop", "hole": "missing parent", "ring": "loop of summaries"}
     doc = json.dumps({"session_id": "x", "steps": [{"source": "user", "message": "q"}, {"source": "agent", "message": "", "tool_calls": [{"function": {"name": "f", "arguments": "1"}}]}, {"source": "system", "message": transcripts.RESUMED + " …"}, {"source": "system", "message": "prompt"}]})
     out = transcripts.host_e_export(spark.createDataFrame([("file", doc), ("bad", "[")], "session string, document string"))
     assert [r.role for r in out.orderBy("pos").collect()] == ["user", "assistant", "compaction"]
