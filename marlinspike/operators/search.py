@@ -107,39 +107,52 @@ def hits(posts: DataFrame, terms: list[Term]) -> DataFrame:
     for t in terms:
         any_of = any_of | _matches(t)
     which = F.filter(F.array(*[F.when(_matches(t), F.lit(i)) for i, t in enumerate(terms)]), lambda x: x.isNotNull())
-    found = posts.filter(any_of).select(F.explode(which).alias("t"), "chunk_id", "tf")
-    return found.groupBy("t", "chunk_id").agg(F.sum("tf").alias("tf"))
+    mark = ["lead"] if "lead" in posts.columns else []
+    found = posts.filter(any_of).select(F.explode(which).alias("t"), "chunk_id", "tf", *mark)
+    return found.groupBy("t", "chunk_id", *mark).agg(F.sum("tf").alias("tf"))
 
 
 def widen(posts: DataFrame, terms: list[Term]) -> list[Term]:
-    """Each prefix cut back while the next shorter one keeps finding many more chunks.
+    """Each prefix cut back while the next shorter one keeps finding many more chunks; see ``widen_by``."""
+    return widen_by(posts.withColumn("lead", F.lit(False)), terms, ("all",))["all"]
 
-    For every word one aggregation gives the chunks by longest common start; from
-    those few counts the cuts are decided on the driver.  A word without any chunk
-    may lose at most half of itself.
+
+def widen_by(posts: DataFrame, terms: list[Term], scopes: tuple[str, ...]) -> dict[str, list[Term]]:
+    """The terms of each scope, their prefixes cut back while the next shorter one keeps finding many more chunks there.
+
+    posts: (term, chunk_id, lead).  For every word one aggregation gives the chunks by
+    longest common start and kind; from those few counts the cuts of all scopes are
+    decided on the driver.  A word without any chunk may lose at most half of itself.
     """
     todo = [(i, t) for i, t in enumerate(terms) if t.prefix and len(t.stem) > MIN_STEM]
     if not todo:
-        return terms
-    least = {t.stem[:MIN_STEM] for _, t in todo}
-    near = posts.filter(F.lit(False) if not least else _any([F.col("term").startswith(x) for x in sorted(least)]))
+        return {s: terms for s in scopes}
+    near = posts.filter(_any([F.col("term").startswith(x) for x in sorted({t.stem[:MIN_STEM] for _, t in todo})]))
     common = F.array(*[F.struct(F.lit(i).alias("t"), sum((F.when(F.col("term").startswith(t.stem[:n]), 1).otherwise(0) for n in range(1, len(t.stem) + 1)), F.lit(0)).alias("n")) for i, t in todo])
-    by = near.select("chunk_id", F.explode(common).alias("s")).filter(F.col("s.n") >= MIN_STEM).groupBy("s.t", "chunk_id").agg(F.max("s.n").alias("n"))
-    counts: dict[int, dict[int, int]] = {}
-    for r in by.groupBy("t", "n").agg(F.count(F.lit(1)).alias("chunks")).collect():
-        counts.setdefault(r.t, {})[r.n] = r.chunks
-    out = list(terms)
-    for i, t in todo:
-        have = lambda n: sum(c for k, c in counts.get(i, {}).items() if k >= n)  # noqa: B023, E731
-        size, count = len(t.stem), have(len(t.stem))
-        floor = max(MIN_STEM, (size + 1) // 2)
-        for cut in range(size - 1, MIN_STEM - 1, -1):
-            wider = have(cut)
-            if (not count and cut < floor) or (count and (wider + 1) / (count + 1) < PREFIX_GROWTH):
-                break
-            size, count = cut, wider
-        out[i] = Term(t.stem[:size], True, t.origin)
-    return _distinct(out)
+    by = near.select("chunk_id", "lead", F.explode(common).alias("s")).filter(F.col("s.n") >= MIN_STEM).groupBy("s.t", "chunk_id", "lead").agg(F.max("s.n").alias("n"))
+    seen = by.groupBy("t", "n", "lead").agg(F.count(F.lit(1)).alias("chunks")).collect()  # a row a term, length and kind
+    out = {}
+    for scope in scopes:
+        cut = list(terms)
+        for i, t in todo:
+            have = [sum(r.chunks for r in seen if r.t == i and r.n >= n and _inside(r.lead, scope)) for n in range(len(t.stem) + 1)]
+            cut[i] = Term(t.stem[: _cut_back(have)], True, t.origin)
+        out[scope] = _distinct(cut)
+    return out
+
+
+def _cut_back(have: list[int]) -> int:
+    """Length of a prefix, given how many chunks each length finds."""
+    size = whole = len(have) - 1
+    least = max(MIN_STEM, (whole + 1) // 2)
+    worth = lambda n: n >= least if not have[size] else (have[n] + 1) / (have[size] + 1) >= PREFIX_GROWTH
+    while size > MIN_STEM and worth(size - 1):
+        size -= 1
+    return size
+
+
+def _inside(lead: bool, scope: str) -> bool:
+    return scope == "all" or lead == (scope == "lead")
 
 
 def _any(conds: list[Column]) -> Column:
@@ -218,18 +231,39 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hub_cap: int = HUB_CAP) -> tu
 
 
 class Corpus:
-    """What a search reads: notes, chunks, links, and the postings and lengths made from the chunks."""
+    """What a search reads, each table as it is stored: the index of notes, chunks and links.
 
-    def __init__(self, notes: DataFrame, chunks: DataFrame, links: DataFrame, posts: DataFrame | None = None, lens: DataFrame | None = None, stem: Callable[[str], str] = plain):
-        """notes: note_id, path, type, ...; chunks: chunk_id, note_id, heading, body, ord; links: src, dst."""
-        self.notes, self.chunks, self.links, self.stem = notes, chunks, links, stem
-        self.posts = posts if posts is not None else postings(chunks)
-        self.lens = lens if lens is not None else lengths(chunks)
+    posts: (term, chunk_id, tf, lead), by term; texts: (chunk_id, note_id, ord, lead,
+    dl, heading, text, bytes and the note's fields); links: (src, dst); totals: (lead,
+    chunks, words), two rows at most.  ``put`` stores a table under a name and gives
+    it back; without it the tables are computed when they are read.
+    """
 
-    def scoped(self, scope: str) -> DataFrame:
-        """(chunk_id, note_id) of the chunks of a scope."""
-        keep = self.notes.filter(in_scope(F.col("type"), scope)).select("note_id")
-        return self.chunks.select("chunk_id", "note_id").join(keep, "note_id", "left_semi")
+    def __init__(self, notes: DataFrame, chunks: DataFrame, links: DataFrame, stem: Callable[[str], str] | None = plain, put: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None):
+        """notes: note_id, path, type, ...; chunks: chunk_id, note_id, heading, body, ord; links: src, dst; stem None: folded Porter stems."""
+        self.stem = stem
+        put = put or (lambda _, make: make())
+        kind = notes.withColumn("lead", in_scope(F.col("type"), "lead"))
+        for c in NOTE_FIELDS:
+            kind = kind if c in kind.columns else kind.withColumn(c, F.lit(None).cast("string"))
+        self.chunks = chunks.select("chunk_id", "note_id", "heading", "body", "ord").join(kind.select("note_id", "lead", *NOTE_FIELDS), "note_id")
+        made = (postings if stem else stemmed_postings)
+        self.posts = put("posts", lambda: made(chunks).join(self.chunks.select("chunk_id", "lead"), "chunk_id").select("term", "chunk_id", "tf", "lead").sort("term"))
+        words = self.posts.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+        text = F.coalesce("body", F.lit(""))
+        self.texts = put("texts", lambda: self.chunks.join(words, "chunk_id", "left").select("chunk_id", "note_id", "ord", "lead", F.coalesce("dl", F.lit(0)).alias("dl"), "heading", text.alias("text"), F.octet_length(text).alias("bytes"), *NOTE_FIELDS))
+        self.links = put("links", lambda: links.select("src", "dst"))
+        totals = put("totals", lambda: self.texts.groupBy("lead").agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("words")))
+        self.totals = {r.lead: (r.chunks, r.words) for r in totals.collect()}
+
+    def size(self, scope: str) -> tuple[int, int]:
+        """Chunks and words of a scope."""
+        own = [v for lead, v in self.totals.items() if _inside(lead, scope)]
+        return sum(v[0] for v in own), sum(v[1] for v in own)
+
+
+#: Fields of a note that a fragment carries.
+NOTE_FIELDS = ("path", "type", "kind", "source", "project", "date", "reviewed", "dies_when", "died")
 
 
 def _take(items: list[dict], budget: int) -> list[dict]:
@@ -242,46 +276,127 @@ def _take(items: list[dict], budget: int) -> list[dict]:
     return kept
 
 
-def _tier(c: Corpus, query: str, terms: list[Term], budget: int, hub_cap: int, graph_share: float, scope: str, meaning: DataFrame | None, extra: list[dict]) -> tuple[dict, list[tuple]]:
-    inside = c.scoped(scope).cache()
-    n_scope, n_all = inside.count(), c.chunks.count()
-    terms = widen(c.posts.join(inside.select("chunk_id"), "chunk_id", "left_semi"), terms)
-    every = hits(c.posts, terms).cache()
-    found = every.join(inside.select("chunk_id"), "chunk_id", "left_semi")
-    stats, wide = term_stats(found, n_scope, len(terms)), term_stats(every, n_all, len(terms))
-    cover = coverage(found, stats)
-    top = cover.agg(F.max("mass"), F.max("content_matched"), F.count(F.lit(1))).first()
-    asked = sum(stats.idf[i] for i in stats.content)
-    share = (top[0] or 0.0) / asked if asked else 0.0
-    avg = c.lens.agg(F.avg("dl")).first()[0] or 1.0
-    lanes = found.filter(F.col("t").isin(stats.content))
-    ranked = bm25(lanes, c.lens, wide.df, n_all, avg).orderBy("bm25", "chunk_id").limit(POOL)
-    lexical = [r.asDict() for r in ranked.join(cover, "chunk_id").collect()]
-    lexical.sort(key=lambda r: (-round(r["mass"], 6), r["bm25"], r["chunk_id"]))
-    pool = {r["chunk_id"]: {"chunk_id": r["chunk_id"], "score": round(r["mass"], 6), "terms_matched": r["terms_matched"], "found_by": "text", "fusion": 1 / (RRF_K + k), "order": k} for k, r in enumerate(lexical, 1)}
+@dataclass
+class Matches:
+    """What the words of a query find in one scope: its terms and their counts, the best values, and the pool with its texts."""
+
+    terms: list[Term]
+    stats: Stats
+    matched: int
+    best_mass: float
+    best_content: int
+    pool: list[dict]
+
+
+def matches(c: Corpus, query: str, scopes: tuple[str, ...]) -> dict[str, Matches]:
+    """What a query finds in each of several scopes that share no chunk (or in the one), all in one pass.
+
+    The postings are read twice: for the cuts of the prefixes, and for the hits of all
+    scopes' terms, each marked with its kind of note.  BM25 is by the statistics of the
+    whole table, everything else by those of the scope.
+    """
+    by = widen_by(c.posts, parse_terms(query, c.stem), scopes)
+    every = _distinct([t for s in scopes for t in by[s]])
+    place = {(t.stem, t.prefix): i for i, t in enumerate(every)}
+    found = hits(c.posts, every).persist()
+    df = {(r.t, r.lead): r.n for r in found.groupBy("t", "lead").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_all, words = c.size("all")
+    average = words / n_all if n_all and words else 1.0
+    scope_of = lambda pick: F.when(F.col("lead"), pick("lead")).otherwise(pick("own")) if len(scopes) > 1 else pick(scopes[0])
+    stats, own = {}, {}
+    for s in scopes:
+        own[s] = [place[t.stem, t.prefix] for t in by[s]]
+        n = c.size(s)[0] or 1
+        counts = [sum(df.get((i, lead), 0) for lead in (False, True) if _inside(lead, s)) for i in own[s]]
+        content = [k for k, x in enumerate(counts) if x <= max(n * COMMON_SHARE, COMMON_FLOOR)] or list(range(len(counts)))
+        stats[s] = Stats(n, counts, [math.log(1 + n / (1 + x)) for x in counts], content)
+
+    def table(value: Callable[[str, int], float]) -> Column:
+        """A value of each term by its number, of the row's scope."""
+
+        def of(s: str) -> Column:
+            known = dict(zip(own[s], range(len(own[s]))))
+            return F.element_at(F.array(*[F.lit(value(s, known[i]) if i in known else None).cast("double") for i in range(len(every))]), F.col("t") + 1)
+
+        return scope_of(of)
+
+    wide = [sum(df.get((i, lead), 0) for lead in (False, True)) for i in range(len(every))]
+    rare = [max(math.log((n_all - x + 0.5) / (x + 0.5)), 1e-6) if n_all - x + 0.5 > 0 else 1e-6 for x in wide]
+    weight = table(lambda s, k: stats[s].idf[k] if k in stats[s].content else 0.0)
+    informative = table(lambda s, k: float(k in stats[s].content))
+    rarity = table(lambda s, k: rare[own[s][k]] if k in stats[s].content else 0.0)
+    tf = F.col("tf")
+    part = F.col("rarity") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+    rows = found.select("chunk_id", "tf", scope_of(F.lit).alias("scope"), *([F.col("lead")] if len(scopes) > 1 else []), weight.alias("weight"), informative.alias("informative"), rarity.alias("rarity"))
+    rows = rows.filter("weight is not null" + (f" and scope in ({', '.join(repr(s) for s in scopes)})" if scopes != ("all",) else ""))
+    if len(scopes) == 1 and scopes != ("all",):
+        rows = rows.join(c.texts.filter(F.col("lead") == F.lit(scopes[0] == "lead")).select("chunk_id"), "chunk_id", "left_semi")
+    cover = rows.join(c.texts.select("chunk_id", "dl"), "chunk_id").groupBy("scope", "chunk_id").agg(
+        F.sum("weight").alias("mass"), F.count(F.lit(1)).alias("terms_matched"), F.sum("informative").cast("int").alias("content_matched"), (-F.sum(part)).alias("bm25")
+    ).persist()
+    top = {r.scope: r for r in cover.groupBy("scope").agg(F.max("mass").alias("mass"), F.max("content_matched").alias("content"), F.count(F.lit(1)).alias("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy("bm25", "chunk_id"))
+    ranked = cover.filter("content_matched > 0").withColumn("rank", rank).filter(F.col("rank") <= POOL).join(c.texts, "chunk_id")
+    pools: dict[str, list[dict]] = {s: [] for s in scopes}
+    for r in ranked.collect():  # at most POOL rows a scope
+        pools[r.scope].append(r.asDict())
+    found.unpersist()
+    cover.unpersist()
+    out = {}
+    for s in scopes:
+        best = top.get(s)
+        out[s] = Matches(by[s], stats[s], best.n if best else 0, best.mass if best else 0.0, best.content if best else 0, pools[s])
+    return out
+
+
+def mass_share(m: Matches) -> float:
+    """The part of the informative terms' weight that the best chunk holds."""
+    asked = sum(m.stats.idf[i] for i in m.stats.content)
+    return m.best_mass / asked if asked else 0.0
+
+
+def _item(r: dict, **more: object) -> dict:
+    return {k: r.get(k) for k in ("chunk_id", "note_id", *NOTE_FIELDS, "heading", "text", "bytes")} | more
+
+
+def _meant(c: Corpus, meaning: DataFrame, scope: str, pool: list) -> tuple[float | None, list[dict], dict]:
+    """Best cosine of a scope, its rows over the floor with their texts, and the cosines of the pool."""
+    scores = meaning.join(c.texts.filter(F.lit(True) if scope == "all" else F.col("lead") == F.lit(scope == "lead")), "chunk_id").persist()
+    best = scores.agg(F.max("cosine")).first()[0]
+    high = scores.filter(F.col("cosine") > COSINE_FLOOR).orderBy(F.desc("cosine"), "chunk_id").limit(POOL)
+    known = {r.chunk_id: r.cosine for r in scores.select("chunk_id", "cosine").join(_ids(scores, pool), "chunk_id").collect()}
+    rows = [r.asDict() for r in high.collect()]
+    scores.unpersist()
+    return best, rows, known
+
+
+def _tier(c: Corpus, query: str, m: Matches, budget: int, hub_cap: int, graph_share: float, scope: str, meaning: DataFrame | None, extra: list[dict]) -> tuple[dict, list[tuple], DataFrame | None]:
+    """One scope's answer, its seeds, and the neighbours of those, where they were looked up."""
+    share = mass_share(m)
+    lexical = sorted(m.pool, key=lambda r: (-round(r["mass"], 6), r["bm25"], r["chunk_id"]))
+    pool = {r["chunk_id"]: _item(r, score=round(r["mass"], 6), terms_matched=r["terms_matched"], found_by="text", fusion=1 / (RRF_K + k), order=k) for k, r in enumerate(lexical, 1)}
     n_text, best_cos, meant = len(pool), None, []
     if meaning is not None:
-        scores = meaning.join(inside.select("chunk_id"), "chunk_id", "left_semi").cache()
-        best_cos = scores.agg(F.max("cosine")).first()[0]
-        meant = scores.filter(F.col("cosine") > COSINE_FLOOR).orderBy(F.desc("cosine"), "chunk_id").limit(POOL).collect()
-        for r in scores.join(_ids(scores, list(pool)), "chunk_id").collect():
-            pool[r.chunk_id]["cosine"] = r.cosine
+        best_cos, meant, known = _meant(c, meaning, scope, list(pool))
+        for i, cosine in known.items():
+            pool[i]["cosine"] = cosine
         for k, r in enumerate(meant, 1):
-            item = pool.setdefault(r.chunk_id, {"chunk_id": r.chunk_id, "score": r.cosine, "terms_matched": 0, "found_by": "meaning", "fusion": 0, "order": POOL + 1})
-            item["cosine"] = r.cosine
+            item = pool.setdefault(r["chunk_id"], _item(r, score=r["cosine"], terms_matched=0, found_by="meaning", fusion=0, order=POOL + 1))
+            item["cosine"] = r["cosine"]
             item["fusion"] += MEANING_WEIGHT / (RRF_K + k)
     text = sorted(pool.values(), key=lambda x: (-x["fusion"], x["order"], x["chunk_id"]))[:POOL]
-    _fill(c, text)
     ids = set(_tickets(query))
-    supported = share >= WEAK_SHARE or bool(ids and any(ids & set(_tickets(x["path"])) for x in text[:3]))
+    supported = share >= WEAK_SHARE or bool(ids and any(ids & set(_tickets(x["path"] or "")) for x in text[:3]))
     kept = _take(text, budget)
     best: dict = {}
     for k, x in enumerate(kept, 1):
         best.setdefault(x["note_id"], 1 / (RRF_K + k))
     seeds = list(best.items())
-    linked, skipped = [], []
-    if supported or any(x.get("cosine", 0) > COSINE_FLOOR for x in kept):
-        linked, skipped = _linked(c, seeds, hub_cap, {x["chunk_id"] for x in text}, scope)
+    linked, skipped, near = [], [], None
+    if seeds and (supported or any(x.get("cosine", 0) > COSINE_FLOOR for x in kept)):
+        near, hubs = neighbours(c.links, c.links.sparkSession.createDataFrame(seeds, f"note {dict(c.links.dtypes)['src']}, score double"), hub_cap)
+        near = near.persist()
+        linked, skipped = _linked(c, near, {x["chunk_id"] for x in text}, scope), [r.note for r in hubs.collect()]
     n_linked = len(linked)
     taken = {x["path"] for x in text} | {x["path"] for x in linked}
     linked = sorted([*linked, *(x for x in extra if x["path"] not in taken)], key=lambda x: -x["score"])
@@ -293,17 +408,16 @@ def _tier(c: Corpus, query: str, terms: list[Term], budget: int, hub_cap: int, g
         kept_links = _take(linked, budget - used(kept))
     fragments = kept + kept_links
     report = {
-        "matched_chunks": top[2], "pool_examined": len(text), "text_pool_examined": n_text, "semantic_pool_examined": len(meant),
+        "matched_chunks": m.matched, "pool_examined": len(text), "text_pool_examined": n_text, "semantic_pool_examined": len(meant),
         "semantic_best_cosine": best_cos, "returned": len(fragments), "returned_by_link": len(kept_links),
-        "dropped_by_budget": len(text) + len(linked) - len(fragments), "query_terms": len(terms), "content_terms": len(stats.content),
-        "best_terms_matched": int(top[1] or 0), "best_mass_share": math.floor(share * 1000) / 1000,
-        "unmatched_terms": [terms[i].origin for i in stats.content if not stats.df[i]], "bytes_used": used(fragments), "budget_bytes": budget,
+        "dropped_by_budget": len(text) + len(linked) - len(fragments), "query_terms": len(m.terms), "content_terms": len(m.stats.content),
+        "best_terms_matched": int(m.best_content or 0), "best_mass_share": math.floor(share * 1000) / 1000,
+        "unmatched_terms": [m.terms[i].origin for i in m.stats.content if not m.stats.df[i]], "bytes_used": used(fragments), "budget_bytes": budget,
         "skipped_hubs": skipped, "expanded_notes": len(seeds) - len(skipped), "graph_neighbor_notes": n_linked,
     }
+    report["text_supported"] = supported
     report["supported"] = supported or any(x.get("cosine", 0) > COSINE_FLOOR for x in fragments)
-    every.unpersist()
-    inside.unpersist()
-    return {"fragments": fragments, "coverage": report}, seeds
+    return {"fragments": fragments, "coverage": report}, seeds, near
 
 
 def _tickets(s: str) -> list[str]:
@@ -315,51 +429,38 @@ def _ids(like: DataFrame, ids: list) -> DataFrame:
     return F.broadcast(like.sparkSession.createDataFrame([(i,) for i in ids], f"chunk_id {dict(like.dtypes)['chunk_id']}"))
 
 
-def _fill(c: Corpus, items: list[dict]) -> None:
-    """Add note fields, text and bytes to the pool's items."""
-    if not items:
-        return
-    got = c.chunks.join(_ids(c.chunks, [x["chunk_id"] for x in items]), "chunk_id").join(c.notes, "note_id")
-    rows = {r.chunk_id: r.asDict() for r in got.collect()}
-    for x in items:
-        r = rows[x["chunk_id"]]
-        x |= {k: r.get(k) for k in ("note_id", "path", "type", "kind", "source", "project", "date", "reviewed", "dies_when", "died")}
-        x |= {"heading": r["heading"], "text": r["body"] or "", "bytes": len((r["body"] or "").encode())}
-
-
-def _linked(c: Corpus, seeds: list[tuple], hub_cap: int, seen: set, scope: str) -> tuple[list[dict], list]:
-    """First unseen chunk of every neighbour of the seeds, best first, and the hubs that were skipped."""
-    spark = c.notes.sparkSession
-    kind = dict(c.notes.dtypes)["note_id"]
-    if not seeds:
-        return [], []
-    near, hubs = neighbours(c.links, spark.createDataFrame(seeds, f"note {kind}, score double"), hub_cap)
-    known = c.notes.filter(in_scope(F.col("type"), scope)).select("note_id", "path")
-    first = c.chunks.join(near.withColumnRenamed("note", "note_id"), "note_id").join(known, "note_id")
+def _linked(c: Corpus, near: DataFrame, seen: set, scope: str) -> list[dict]:
+    """First unseen chunk of every neighbour (note, score) of a scope, best first."""
+    own = c.texts if scope == "all" else c.texts.filter(F.col("lead") == F.lit(scope == "lead"))
+    first = own.select("note_id", "path", "chunk_id", "ord").join(near.withColumnRenamed("note", "note_id"), "note_id")
     if seen:
-        first = first.join(_ids(c.chunks, list(seen)), "chunk_id", "left_anti")
+        first = first.join(_ids(c.texts, list(seen)), "chunk_id", "left_anti")
     one = first.groupBy("note_id", "path").agg(F.min_by("chunk_id", F.struct("ord", "chunk_id")).alias("chunk_id"), F.max("score").alias("score"))
-    items = [{"chunk_id": r.chunk_id, "score": round(r.score, 6), "terms_matched": 0, "found_by": "link", "path": r.path} for r in one.orderBy(F.desc("score"), "path").limit(POOL).collect()]
-    _fill(c, items)
-    return items, [r.note for r in hubs.collect()]
+    top = one.orderBy(F.desc("score"), "path").limit(POOL).select("chunk_id", "score")
+    rows = sorted((r.asDict() for r in c.texts.join(F.broadcast(top), "chunk_id").collect()), key=lambda r: (-r["score"], r["path"] or ""))
+    return [_item(r, score=round(r["score"], 6), terms_matched=0, found_by="link") for r in rows]
 
 
 def search(c: Corpus, query: str, budget: int = 8000, hub_cap: int = HUB_CAP, graph_share: float = GRAPH_SHARE, scope: str = "own", meaning: DataFrame | None = None) -> dict:
     """Fragments in order and a coverage report.
 
-    meaning: (chunk_id, cosine) of every chunk to the query, if there is an encoder.
-    With scope 'own', leads follow: what the budget leaves, or, where the own answer
-    fills it, the best two, for which own fragments give way from the end, never the
-    first, by at most a quarter of the budget.  A query without a word gives nothing.
+    scope: own, lead or all.  meaning: (chunk_id, cosine) of every chunk to the query,
+    if there is an encoder.  With scope 'own', leads follow: what the budget leaves,
+    or, where the own answer fills it, the best two, for which own fragments give way
+    from the end, never the first, by at most a quarter of the budget.  A query
+    without a word gives nothing, and is no weak match.
     """
-    terms = parse_terms(query, c.stem)
-    if not terms:
-        return {"fragments": [], "coverage": {"query_terms": 0, "weak_match": True, "returned": 0, "budget_bytes": budget}}
-    main, seeds = _tier(c, query, terms, budget, hub_cap, graph_share, scope, meaning, [])
+    if scope not in ("own", "lead", "all"):
+        raise ValueError(f"unknown scope: {scope}")
+    budget = max(0, budget)
+    if not parse_terms(query, c.stem):
+        return {"fragments": [], "coverage": {"matched_chunks": 0, "query_terms": 0, "weak_match": False, "returned": 0, "returned_leads": 0, "dropped_by_budget": 0, "budget_bytes": budget, "skipped_hubs": [], "budget_limited": False}}
+    found = matches(c, query, ("own", "lead") if scope == "own" else (scope,))
+    main, _, near = _tier(c, query, found[scope], budget, hub_cap, graph_share, scope, meaning, [])
     fragments, report = main["fragments"], main["coverage"]
     if scope == "own":
-        extra, _ = _linked(c, seeds, hub_cap, set(), "lead") if report["supported"] else ([], [])
-        lead, _ = _tier(c, query, terms, budget, hub_cap, graph_share, "lead", meaning, extra)
+        extra = _linked(c, near, set(), "lead") if report["supported"] and near is not None else []
+        lead, _, lead_near = _tier(c, query, found["lead"], budget, hub_cap, graph_share, "lead", meaning, extra)
         used, room = (lambda items: sum(x["bytes"] for x in items)), int(budget * LEAD_SHARE)
         tail, lost = lead["fragments"], 0
         if report["dropped_by_budget"] and report["supported"]:  # a full answer makes room for the best leads
@@ -368,9 +469,26 @@ def search(c: Corpus, query: str, budget: int = 8000, hub_cap: int = HUB_CAP, gr
                 room -= fragments.pop()["bytes"]
                 lost += 1
         tail = _take(tail, budget - used(fragments))
-        report |= {"dropped_by_budget": report["dropped_by_budget"] + lost + lead["coverage"]["dropped_by_budget"], "returned_leads": len(tail), "tail_omitted": len(lead["fragments"]) - len(tail)}
+        more = lead["coverage"]
+        report |= {"dropped_by_budget": report["dropped_by_budget"] + lost + more["dropped_by_budget"], "returned_leads": len(tail), "tail_omitted": len(lead["fragments"]) - len(tail)}
+        report |= {"matched_lead_chunks": more["matched_chunks"], "pool_examined_leads": more["pool_examined"], "semantic_pool_examined_leads": more["semantic_pool_examined"]}
+        report |= {k: report[k] + more[k] for k in ("skipped_hubs", "expanded_notes", "graph_neighbor_notes")}
+        report["supported"] = found_support(main, fragments)
         fragments = fragments + tail
         report |= {"returned": len(fragments), "bytes_used": used(fragments), "returned_by_link": sum(x["found_by"] == "link" for x in fragments)}
+        near = [x for x in (near, lead_near) if x is not None]
+    else:
+        report["returned_leads"] = sum((x["type"] or "").strip().lower() == "lead" for x in fragments)
+        near = [near] if near is not None else []
+    for x in near:
+        x.unpersist()
+    report["returned_by_meaning"] = sum(x["found_by"] == "meaning" for x in fragments)
     report["weak_match"] = not report["supported"]
     report["budget_limited"] = report["dropped_by_budget"] >= 10 and report["dropped_by_budget"] > 2 * report["returned"]
     return {"fragments": fragments, "coverage": report}
+
+
+def found_support(main: dict, fragments: list[dict]) -> bool:
+    """Whether an answer still stands after fragments gave way: by its words, or by meaning of what is left."""
+    by_words = main["coverage"]["text_supported"]
+    return by_words or any(x.get("cosine", 0) > COSINE_FLOOR for x in fragments)

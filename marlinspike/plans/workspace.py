@@ -60,6 +60,11 @@ class Workspace:
                 _delete(self.spark, path)
 
 
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    _live[path] = spark
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

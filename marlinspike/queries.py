@@ -16,6 +16,7 @@ from marlinspike.operators import audit, digest, health, links, search, sessions
 from marlinspike.plans.ordered import prefix_sum
 from marlinspike.plans.workspace import Workspace
 from marlinspike.sources import vault
+from marlinspike.sources.store import Store, stamp
 from marlinspike.streaming import guard
 
 TODAY = datetime.date(2025, 7, 1)
@@ -213,17 +214,26 @@ def byte_budget(spark: SparkSession, d: str) -> DataFrame:
     return search.budget_prefix(top, order, 8000, F.col("bytes")).select(F.col("id").alias("chunk_id"), "bytes_so_far")
 
 
+def _corpus(t: Tables, stem=None) -> search.Corpus:
+    """The stored index of the tables, made anew when a file has changed; folded Porter stems unless another form is asked for."""
+    mark = stamp(t.spark, *[f"{t.d}/{x}.parquet" for x in ("notes", "chunks", "links")])
+    return search.Corpus(t.notes, t.chunks, t.resolved(), stem, Store(t.spark, "stemmed" if stem is None else "plain", mark))
+
+
 def search_report(spark: SparkSession, d: str) -> DataFrame:
-    """The whole search: fragments in order."""
-    t = Tables(spark, d).stored()
-    ws = Workspace(spark)
-    posts = ws.write(search.postings(t.chunks).sort("term"))
-    corpus = search.Corpus(t.notes, t.chunks, ws.write(t.resolved()), posts, ws.write(search.lengths(t.chunks)))
-    got = search.search(corpus, QUESTION)
+    """The whole search, with stemmed words: fragments in order."""
+    got = search.search(_corpus(Tables(spark, d)), QUESTION)
     rows = [(k, x["chunk_id"], x["path"], x["found_by"], float(x["score"]), x["terms_matched"], x["bytes"]) for k, x in enumerate(got["fragments"], 1)]
     return spark.createDataFrame(rows, "rank int, chunk_id long, path string, found_by string, score double, terms_matched int, bytes int")
 
 
+def search_support(spark: SparkSession, d: str) -> DataFrame:
+    """What the question's words find among own notes and among leads, and whether it counts as an answer; words unstemmed."""
+    found = search.matches(_corpus(Tables(spark, d), search.plain), QUESTION, ("own", "lead"))
+    rows = [(s, m.matched, len(m.terms), len(m.stats.content), int(m.best_content or 0), int(search.mass_share(m) * 1000), search.mass_share(m) >= search.WEAK_SHARE, len(m.pool)) for s, m in found.items()]
+    return spark.createDataFrame(rows, "scope string, matched_chunks long, query_terms int, content_terms int, best_terms int, best_share int, supported boolean, pool int")
+
+
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """One hop from every godnote, hubs left out."""
     t = Tables(spark, d)
@@ -476,7 +486,7 @@ def context_alarms(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     text_functions, token_counts, link_resolution, broken_links, link_demand, out_degrees, hub_notes, missing_vectors, dead_vectors, duplicate_chunks,
-    markdown_links, markdown_notes, shape_problems, term_df, coverage_mass, bm25_top, prefix_widening, lane_fusion, byte_budget, search_report,
+    markdown_links, markdown_notes, shape_problems, term_df, coverage_mass, bm25_top, prefix_widening, lane_fusion, byte_budget, search_report, search_support,
     graph_neighbours, knn_cosine, note_vectors, centred_pairs, linkage_groups, plane_map, notes_by_type, totals, islands, component_sizes, stale_notes, verdict_counts,
     misses_due, fresh_gotchas, project_godnotes, project_sessions, open_threads, threads_by_project, shared_neighbours, meaning_pairs, stale_signs,
     verdict_carry, finding_triage, reading_batches, session_facts, role_totals, session_split, session_render, unclosed_sessions, activity_windows, context_alarms,

@@ -98,6 +98,24 @@ w AS (SELECT src AS a, dst AS b FROM l WHERE dst IS NOT NULL UNION ALL SELECT ds
 SELECT b AS note, round(max(score * 0.5), 6) AS score FROM w JOIN st ON a = note WHERE b <> a GROUP BY 1""",
     "knn_cosine": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS y FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), y), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, id LIMIT 20""",
+    "search_support": f"""WITH RECURSIVE {_C}, {_P}, {_Q}, sc(scope, lead) AS (VALUES ('own', false), ('lead', true)),
+ck AS (SELECT c.chunk_id, lower(trim(coalesce(type, ''))) = 'lead' AS lead FROM c JOIN notes ON notes.id = note_id), pl AS (SELECT term, chunk_id, lead FROM p JOIN ck USING (chunk_id)),
+ln AS (SELECT scope, lead, t, stem, unnest(range(3, length(stem) + 1)) AS n FROM q, sc WHERE prefix AND length(stem) > 3),
+have AS (SELECT scope, t, ln.stem, n, count(DISTINCT chunk_id) AS chunks FROM ln LEFT JOIN pl ON pl.lead = ln.lead AND starts_with(term, left(ln.stem, n::INT)) GROUP BY 1, 2, 3, 4),
+w AS (SELECT scope, t, length(stem) AS size, chunks, length(stem) AS whole FROM have WHERE n = length(stem)
+  UNION ALL SELECT w.scope, w.t, h.n, h.chunks, whole FROM w JOIN have h ON h.scope = w.scope AND h.t = w.t AND h.n = w.size - 1
+    WHERE NOT ((w.chunks = 0 AND h.n < greatest(3, (whole + 1) // 2)) OR (w.chunks > 0 AND (h.chunks + 1) / (w.chunks + 1) < 1.5))),
+cut AS (SELECT sc.scope, sc.lead, q.t, left(q.stem, coalesce(min(size), length(q.stem))::INT) AS stem, prefix FROM q CROSS JOIN sc LEFT JOIN w ON w.t = q.t AND w.scope = sc.scope GROUP BY sc.scope, sc.lead, q.t, q.stem, prefix),
+f AS (SELECT scope, lead, min(t) AS t, stem, prefix FROM cut GROUP BY 1, 2, 4, 5),
+hit AS (SELECT DISTINCT scope, t, chunk_id FROM f JOIN pl ON pl.lead = f.lead AND CASE WHEN prefix THEN starts_with(term, stem) ELSE term = stem END),
+n AS (SELECT scope, greatest(count(chunk_id), 1) AS n FROM sc LEFT JOIN ck USING (lead) GROUP BY 1), d AS (SELECT scope, t, count(*) AS df FROM hit GROUP BY 1, 2),
+e AS (SELECT scope, t, ln(1 + n / (1 + coalesce(df, 0))) AS idf, coalesce(df, 0) <= greatest(n * 0.05, 20) AS rare FROM f LEFT JOIN d USING (scope, t) JOIN n USING (scope)),
+g AS (SELECT *, rare OR NOT bool_or(rare) OVER (PARTITION BY scope) AS content FROM e),
+x AS (SELECT scope, chunk_id, sum(CASE WHEN content THEN idf ELSE 0 END) AS mass, count(*) FILTER (content) AS held FROM hit JOIN g USING (scope, t) GROUP BY 1, 2),
+a AS (SELECT scope, count(*) AS query_terms, count(*) FILTER (content) AS content_terms, sum(idf) FILTER (content) AS asked FROM g GROUP BY 1),
+b AS (SELECT scope, count(*) AS matched, max(mass) AS mass, max(held) AS held, count(*) FILTER (held > 0) AS pool FROM x GROUP BY 1)
+SELECT scope, coalesce(matched, 0) AS matched_chunks, query_terms, content_terms, coalesce(held, 0) AS best_terms, CAST(floor(coalesce(mass, 0) / asked * 1000) AS INT) AS best_share,
+  coalesce(mass, 0) / asked >= 0.4 AS supported, least(coalesce(pool, 0), 500) AS pool FROM a LEFT JOIN b USING (scope)""",
     "note_vectors": f"WITH {_C}, {_NOTEV} SELECT note_id, dim, round(x[1], 6) AS first, round(x[dim // 2], 6) AS middle, round(x[dim], 6) AS last FROM nu",
     "centred_pairs": f"""WITH {_EMB} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS sim, a.label <> b.label AS across
 FROM z a JOIN z b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) > 0.3""",
