@@ -128,14 +128,16 @@ def widen_by(posts: DataFrame, terms: list[Term], scopes: tuple[str, ...]) -> di
     if not todo:
         return {s: terms for s in scopes}
     near = posts.filter(_any([F.col("term").startswith(x) for x in sorted({t.stem[:MIN_STEM] for _, t in todo})]))
-    common = F.array(*[F.struct(F.lit(i).alias("t"), sum((F.when(F.col("term").startswith(t.stem[:n]), 1).otherwise(0) for n in range(1, len(t.stem) + 1)), F.lit(0)).alias("n")) for i, t in todo])
-    by = near.select("chunk_id", "lead", F.explode(common).alias("s")).filter(F.col("s.n") >= MIN_STEM).groupBy("s.t", "chunk_id", "lead").agg(F.max("s.n").alias("n"))
-    seen = by.groupBy("t", "n", "lead").agg(F.count(F.lit(1)).alias("chunks")).collect()  # a row a term, length and kind
+    # the longest start of a term in common with the word, as one pattern a word: a, ab, abc as ^(?:a(?:b(?:c)?)?)?
+    pattern = lambda w: "^" + "".join(f"(?:{re.escape(ch)}" for ch in w) + ")?" * len(w)
+    common = F.array(*[F.length(F.regexp_extract("term", pattern(t.stem), 0)) for _, t in todo])
+    by = near.select("chunk_id", "lead", F.posexplode(common).alias("k", "n")).filter(F.col("n") >= MIN_STEM).groupBy("k", "chunk_id", "lead").agg(F.max("n").alias("n"))
+    seen = by.groupBy("k", "n", "lead").agg(F.count(F.lit(1)).alias("chunks")).collect()  # a row a term, length and kind
     out = {}
     for scope in scopes:
         cut = list(terms)
-        for i, t in todo:
-            have = [sum(r.chunks for r in seen if r.t == i and r.n >= n and _inside(r.lead, scope)) for n in range(len(t.stem) + 1)]
+        for k, (i, t) in enumerate(todo):
+            have = [sum(r.chunks for r in seen if r.k == k and r.n >= n and _inside(r.lead, scope)) for n in range(len(t.stem) + 1)]
             cut[i] = Term(t.stem[: _cut_back(have)], True, t.origin)
         out[scope] = _distinct(cut)
     return out
@@ -316,7 +318,8 @@ def matches(c: Corpus, query: str, scopes: tuple[str, ...]) -> dict[str, Matches
 
         def of(s: str) -> Column:
             known = dict(zip(own[s], range(len(own[s]))))
-            return F.element_at(F.array(*[F.lit(value(s, known[i]) if i in known else None).cast("double") for i in range(len(every))]), F.col("t") + 1)
+            numbers = ", ".join(f"{value(s, known[i])!r}D" if i in known else "null" for i in range(len(every)))
+            return F.expr(f"array({numbers})[t]")
 
         return scope_of(of)
 
