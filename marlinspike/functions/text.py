@@ -13,6 +13,12 @@ ISSUE = r"(?:[\w.-]+/[\w.-]+)?#\d{1,6}\b"
 COMMIT = r"\b[0-9a-f]{7,40}\b"
 
 
+def evidence(text: Column) -> Column:
+    """(kind, reference) of what a text names outside: issues, with or without their repository, and commits."""
+    kind = lambda name, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(name).alias("kind"), x.alias("reference")))
+    return F.concat(kind("issue", ISSUE), kind("commit", rf"\b{COMMIT[2:]}"))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of letters and digits of the lower-cased text; null for null."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))

@@ -80,6 +80,42 @@ def misses_due(rows: DataFrame, least: int = 3) -> DataFrame:
     return rows.agg(F.count_if(F.col("verdict") == "proven-miss").alias("n")).withColumn("due", F.col("n") >= least)
 
 
+def island_list(rows: DataFrame, limit: int = LISTED) -> DataFrame:
+    """The largest islands of rows (island, size, title, path): (place, size, members, islands, notes).
+
+    Largest first, then by the title of the first member; members by title and path.
+    ``islands`` and ``notes`` count all there are.
+    """
+    first = rows.groupBy("island").agg(F.max("size").alias("size"), F.min(F.struct(F.coalesce("title", F.lit("")).alias("t"), "path")).alias("first"))
+    every = first.agg(F.count(F.lit(1)).alias("islands"), F.coalesce(F.sum("size"), F.lit(0)).alias("notes"))
+    top = first.orderBy(F.desc("size"), "first", "island").limit(limit)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "first", "island")))  # at most ``limit`` rows
+    member = F.struct(F.coalesce("title", F.lit("")).alias("title"), "path")
+    members = rows.join(F.broadcast(top.select("island")), "island", "left_semi").groupBy("island").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return placed.join(members, "island").join(F.broadcast(every)).select("place", "size", "members", "islands", "notes")
+
+
+def counted(rows: DataFrame, order: list, limit: int = LISTED) -> DataFrame:
+    """The first rows of a report list with ``n_all``, how many there are."""
+    every = rows.agg(F.count(F.lit(1)).alias("n_all"))
+    return rows.orderBy(*order).limit(limit).join(F.broadcast(every))
+
+
+def report(notes: DataFrame, chunks: DataFrame, links: DataFrame, verdicts: DataFrame, today: datetime.date, now: datetime.datetime, ws: Workspace) -> DataFrame:
+    """(section, item, n): the numbers of a health report, of resolved links (src, dst_name, dst)."""
+    row = lambda section, df, item, n: df.select(F.lit(section).alias("section"), item.alias("item"), n.cast("long").alias("n"))
+    one = lambda section, name, df: row(section, df.agg(F.count(F.lit(1)).alias("n")), F.lit(name), F.col("n"))
+    cut_off = ws.write(islands(notes, links.filter("dst is not null"), ws))
+    out = row("type", by_type(notes), F.col("type"), F.col("n"))
+    for part in (
+        one("totals", "notes", notes), one("totals", "chunks", chunks), one("totals", "links", links), one("islands", "islands", cut_off.select("island").distinct()), one("islands", "notes", cut_off),
+        one("broken_links", "links", links.filter("dst is null").join(notes.select(F.col("note_id").alias("src")), "src", "left_semi")), one("stale", "notes", stale(notes, today)),
+        row("feedback", feedback(verdicts, now), F.col("verdict"), F.col("total")),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
 def listed(rows: DataFrame, *order: str, limit: int = LISTED) -> DataFrame:
     """The first rows of a report list."""
     return rows.orderBy(*order).limit(limit)

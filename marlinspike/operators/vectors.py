@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,46 @@ def dead_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.select("hash").filter("hash is not null").join(live, "hash", "left_anti")
 
 
+def packed(vector: Column) -> Column:
+    """A vector as half floats, two bytes a number."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else np.asarray(x, np.float16).tobytes())
+
+    return run(vector)
+
+
+def unpacked(blob: Column, dim: Column) -> Column:
+    """The vector of half floats, null where the bytes are not ``dim`` of them."""
+
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or len(b) != 2 * n else np.frombuffer(b, np.float16).astype(np.float32) for b, n in zip(rows, sizes)])
+
+    return run(blob, dim)
+
+
+def encoded(chunks: DataFrame, vectors: DataFrame, encoder: Callable[[list[str]], np.ndarray], dim: int, batch: int = 64) -> DataFrame:
+    """(hash, vector, dim) of the bodies without a usable vector, by an encoder from texts to unit rows.
+
+    The encoder goes to the executors and is called with at most ``batch`` texts;
+    each distinct body is encoded once.
+    """
+    ship(chunks.sparkSession)
+    bodies = chunks.filter("body is not null").select(F.sha2("body", 256).alias("hash"), "body").groupBy("hash").agg(F.min("body").alias("body"))
+    lacking = bodies.join(vectors.filter(usable(F.col("vector"), F.col("dim"))).select("hash"), "hash", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for a in range(0, rows.num_rows, batch):
+                part = rows.slice(a, batch)
+                x = np.asarray(encoder(part.column(1).to_pylist()), np.float32)
+                yield pa.RecordBatch.from_pydict({"hash": part.column(0), "vector": pa.array(list(x), pa.list_(pa.float32())), "dim": pa.array(np.full(len(x), dim, np.int32))})
+
+    return lacking.mapInArrow(run, "hash string, vector array<float>, dim int")
+
+
 def note_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(note_id, vector): normalised mean of the vectors of a note's chunks, by position.
 

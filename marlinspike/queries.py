@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlinspike.functions import text as T
-from marlinspike.operators import audit, digest, health, links, search, sessions, vectors
+from marlinspike.operators import audit, decisions, digest, health, links, search, sessions, vectors
 from marlinspike.plans.ordered import prefix_sum
 from marlinspike.plans.workspace import Workspace
-from marlinspike.sources import vault
+from marlinspike.sources import journal, vault
 from marlinspike.sources.store import Store, stamp
 from marlinspike.streaming import guard
 
@@ -315,6 +315,21 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return health.component_sizes(t.notes.select("note_id"), t.resolved().filter("dst is not null"), Workspace(spark))
 
 
+def broken_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 broken links of the report, with how many there are."""
+    t = Tables(spark, d)
+    rows = links.broken(t.resolved(), t.notes).select(F.coalesce("title", F.lit("")).alias("title"), "dst_name")
+    return health.counted(rows, ["title", "dst_name"])
+
+
+def health_report(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of the whole report."""
+    t = Tables(spark, d)
+    ws = Workspace(spark)
+    now = datetime.datetime(2024, 1, 29, tzinfo=datetime.timezone.utc)
+    return health.report(t.notes, t.chunks.select("chunk_id"), ws.write(t.resolved()), _verdicts(spark, d), TODAY, now, ws)
+
+
 def stale_notes(spark: SparkSession, d: str) -> DataFrame:
     return health.stale(Tables(spark, d).notes, TODAY)
 
@@ -424,6 +439,58 @@ def reading_batches(spark: SparkSession, d: str) -> DataFrame:
     return audit.batches(n, "cross", "note_id", Workspace(spark)).groupBy("batch").agg(F.min("note_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
+def _projects(t: Tables) -> DataFrame:
+    """Notes by project, standing in for groups of similar ones."""
+    return t.notes.filter("project <> ''").select(F.col("note_id").alias("id"), T.normalize_project(F.col("project")).alias("label"))
+
+
+def linked_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of notes of one project that a link joins, counted."""
+    t = Tables(spark, d)
+    return decisions.linked_pairs(_projects(t), links.undirected(t.resolved()))
+
+
+def named_godnotes(spark: SparkSession, d: str) -> DataFrame:
+    """The godnote a made-up reader names for every project: the title of its third godnote, without the genre prefix."""
+    n = Tables(spark, d).notes.filter("lower(type) = 'godnote' and coalesce(title, '') <> ''")
+    near = n.select(T.normalize_project(F.col("project")).alias("key"), F.col("note_id").alias("god"), "title")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("god")))
+    return decisions.named_godnotes(near.filter("rank = 3").select("key", T.bare_title(F.col("title")).alias("extend")), near)
+
+
+def page_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A made-up page against now: each third note was not shown, each fourth is gone, each fifth has changed, each seventh has another verdict."""
+    n = Tables(spark, d).notes.filter("path is not null")
+    i = F.col("note_id")
+    row = lambda sha, verdict: [i.cast("string").alias("key"), F.create_map(F.col("path"), sha).alias("sha"), verdict.alias("verdict")]
+    shown = n.filter(i % 3 != 0).select(*row(F.when(i % 5 == 0, F.lit("old")).otherwise(F.col("sha256")), F.lit("keep")))
+    now = n.filter(i % 4 != 0).select(*row(F.col("sha256"), F.when(i % 7 == 0, F.lit("drop")).otherwise(F.lit("keep"))))
+    return decisions.page_changes(shown, now)
+
+
+def thread_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What threads name outside the vault, by kind; the tables name nothing, so a made-up line a note does."""
+    n = Tables(spark, d).notes
+    line = F.concat(F.lit("close team/"), T.normalize_project(F.col("project")), F.lit("#"), F.col("note_id").cast("string"), F.lit(" and #12, landed in "), F.substring("sha256", 1, 10))
+    rows = n.select("note_id", F.explode(T.evidence(line)).alias("e"))
+    return rows.groupBy("e.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("e.reference").alias("n_distinct"), F.count_distinct("note_id").alias("n_notes"))
+
+
+def thread_closures(spark: SparkSession, d: str) -> DataFrame:
+    """Journal rows that close a thread a note: the titles stand in for the lines."""
+    rows = Tables(spark, d).notes.select(F.coalesce("title", F.lit("")).alias("line"), F.lit("done").alias("reason"))
+    return journal.closing_rows(rows, TODAY)
+
+
+def packed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable vector as half floats and back: its bytes, and whether all numbers are within their rounding."""
+    v = Tables(spark, d).vectors
+    v = v.filter(vectors.usable(F.col("vector"), F.col("dim"))).select("hash", "dim", "vector", vectors.packed(F.col("vector")).alias("blob"))
+    back = v.withColumn("back", vectors.unpacked(F.col("blob"), F.col("dim")))
+    near = F.forall(F.zip_with("vector", "back", lambda a, b: F.abs(a - b) <= F.abs(a) * 0.0005 + 0.0000001), lambda x: x)
+    return back.select("hash", F.octet_length("blob").alias("bytes"), near.alias("near"))
+
+
 # --- sessions --------------------------------------------------------------------------
 
 
@@ -489,6 +556,6 @@ _ALL = (
     markdown_links, markdown_notes, shape_problems, term_df, coverage_mass, bm25_top, prefix_widening, lane_fusion, byte_budget, search_report, search_support,
     graph_neighbours, knn_cosine, note_vectors, centred_pairs, linkage_groups, plane_map, notes_by_type, totals, islands, component_sizes, stale_notes, verdict_counts,
     misses_due, fresh_gotchas, project_godnotes, project_sessions, open_threads, threads_by_project, shared_neighbours, meaning_pairs, stale_signs,
-    verdict_carry, finding_triage, reading_batches, session_facts, role_totals, session_split, session_render, unclosed_sessions, activity_windows, context_alarms,
+    broken_list, health_report, linked_pairs, named_godnotes, page_changes, thread_evidence, thread_closures, packed_vectors, verdict_carry, finding_triage, reading_batches, session_facts, role_totals, session_split, session_render, unclosed_sessions, activity_windows, context_alarms,
 )
 QUERIES = {f.__name__: f for f in _ALL}

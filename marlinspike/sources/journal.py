@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlinspike.functions import text as T
 from marlinspike.operators.health import VERDICTS
 
 #: Where an audit candidate may go.
@@ -58,6 +59,35 @@ def top_paths(fragments: DataFrame, n: int = 5) -> DataFrame:
     return first.orderBy("rank").limit(n)
 
 
+def closures(lines: DataFrame) -> DataFrame:
+    """Closed threads of a journal's lines (pos, line), the newest first; lines that are no object with a key are left out."""
+    row = F.from_json("line", CLOSED)
+    return lines.select("pos", row.alias("r")).filter("r.key is not null").select("pos", "r.*").orderBy(F.desc("pos"))
+
+
+def closing_rows(threads: DataFrame, day: datetime.date) -> DataFrame:
+    """Journal rows (key, thread, reason, closed) that close threads (line, reason); the shown line is squeezed and kept to 300 characters."""
+    line = T.squeeze(F.col("line"))
+    return threads.select(T.thread_key(F.col("line")).alias("key"), F.substring(line, 1, 300).alias("thread"), "reason", F.lit(day.isoformat()).alias("closed"))
+
+
+def close_sessions(asked: DataFrame, pending: DataFrame, closed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of closing sessions (session_id): their states, the rows to add to the closed, and the pending that stay.
+
+    closed: was pending and is closed now; already-closed; not-pending.  Of several
+    pending rows of a session the first in time is taken over; running it twice adds
+    nothing.
+    """
+    want = asked.filter("session_id is not null").select("session_id").distinct()
+    done = closed.select("session_id").distinct().withColumn("_done", F.lit(True))
+    waits = pending.groupBy("session_id").agg(F.min_by(F.struct("path", "ts"), "ts").alias("_p"))
+    met = want.join(done, "session_id", "left").join(waits, "session_id", "left")
+    state = F.when(F.col("_done"), "already-closed").when(F.col("_p").isNotNull(), "closed").otherwise("not-pending")
+    states = met.select("session_id", state.alias("state"), "_p")
+    new = states.filter("state = 'closed'").select("session_id", "_p.path", "_p.ts")
+    return states.select("session_id", "state"), new, pending.join(want, "session_id", "left_anti")
+
+
 def settled(closing: DataFrame, closed: DataFrame, dismissed: DataFrame) -> DataFrame:
     """(session_id, state) of each session in the journals: closed, dismissed or pending, in this order of weight."""
     rows = closing.select("session_id", F.lit(2).alias("w")).unionByName(dismissed.select("session_id", F.lit(1).alias("w"))).unionByName(closed.select("session_id", F.lit(0).alias("w")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlinspike.functions import markdown as M
@@ -23,10 +23,20 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     there; one with only a line end is.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
+    return files.select(_short(folder).alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, mtime, file) of the same files without reading any of them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
+    return files.select(_short(folder).alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.col("path").alias("file"))
+
+
+def _short(folder: str) -> Column:
+    """The path below the folder of a file's address."""
     root = folder.rstrip("/").removeprefix("file://")
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
-    short = F.substring(path, F.lit(len(root) + 2), F.length(path))
-    return files.select(short.alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+    return F.substring(path, F.lit(len(root) + 2), F.length(path))
 
 
 def _parse(path: str, text: str) -> list[tuple]:
@@ -81,18 +91,20 @@ def tables(parsed: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
 def build(spark: SparkSession, folder: str, store: str, rebuild: bool = False) -> dict[str, int]:
     """Bring the snapshot in ``store`` up to the folder; counts of what happened.
 
-    Only new and changed files are parsed; their parses are joined to the kept ones,
+    Times are compared first: only files that are new or have another time are read
+    and hashed, and of those only new and changed ones are parsed; their parses are joined to the kept ones,
     all links are resolved again, and a new snapshot directory is published by
     writing its name last, so a reader never sees half of one.
     """
     now = current(spark, store)
-    files = scan(spark, folder)
     stale = now is None or rebuild
     old = None if stale else spark.read.parquet(f"{now}/parsed")
     if old is None:
+        files = scan(spark, folder)
         change = files.select("path", F.lit("new").alias("change"))
         parsed, meta = parse(files), files.select("path", "mtime", "sha256")
     else:
+        files = _touched(spark, folder, old)
         change = diff(old, files)
         fresh = files.join(change.filter("change in ('new', 'changed')").select("path"), "path", "left_semi")
         kept = old.join(change.filter("change in ('same', 'healed')").select("path"), "path", "left_semi").drop("mtime", "sha256")
@@ -108,6 +120,54 @@ def build(spark: SparkSession, folder: str, store: str, rebuild: bool = False) -
     return counts
 
 
+#: Files that are read one by one by their names; if more have changed the folder is read as a whole.
+NAMED_FILES = 5000
+
+
+def _touched(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
+    """What ``scan`` gives, without content for the files whose time is the indexed one."""
+    seen = listing(spark, folder)
+    old = known.select("path", F.col("mtime").alias("_m"), F.col("sha256").alias("_s"))
+    met = seen.join(old, "path", "left")
+    same = met.filter(F.col("_m") == F.col("mtime")).select("path", "mtime", F.col("_s").alias("sha256"), F.lit(None).cast("string").alias("content"))
+    other = met.filter(F.col("_m").isNull() | (F.col("_m") != F.col("mtime")))
+    names = [r.file for r in other.select("file").limit(NAMED_FILES + 1).collect()]
+    if not names:
+        return same
+    if len(names) > NAMED_FILES:
+        return same.unionByName(scan(spark, folder).join(other.select("path"), "path", "left_semi"))
+    files = spark.read.format("binaryFile").load([_escaped(x) for x in names])
+    read = files.select(_short(folder).alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+    return same.unionByName(read)
+
+
+def _escaped(address: str) -> str:
+    """A file's address as a reader's path: decoded, glob signs taken literally."""
+    from urllib.parse import unquote
+
+    return "".join("\\" + ch if ch in "{}[]*?\\" else ch for ch in unquote(address))
+
+
+def refresh(spark: SparkSession, folder: str, store: str) -> str | None:
+    """Bring the snapshot up to the folder; a readable error instead of an exception, None if all went well."""
+    try:
+        build(spark, folder, store)
+    except Exception as e:  # noqa: BLE001 - callers go on with the snapshot there is
+        return f"index not refreshed ({type(e).__name__}: {str(e).splitlines()[0][:200]})"
+    return None
+
+
+def rows_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a stored table, none where it is missing or has other columns."""
+    try:
+        table = spark.read.parquet(path)
+        if not schema_stale(table, schema):
+            return table
+    except Exception:  # noqa: BLE001 - no table is no rows
+        pass
+    return spark.createDataFrame([], schema)
+
+
 def current(spark: SparkSession, store: str) -> str | None:
     """Directory of the published snapshot, None if there is none."""
     try:

