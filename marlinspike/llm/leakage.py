@@ -143,36 +143,47 @@ def retrieve(ix: Index, terms: np.ndarray, first: np.ndarray, end: np.ndarray, l
         part = q[a : a + 4096]
         most = np.where(part >= 0, ix.top[part], 0)
         order = np.argsort(most, axis=1)
-        # from the least up, as many terms as cannot reach the bound by themselves need not be opened
-        needed = np.cumsum(np.take_along_axis(most, order, 1), axis=1, dtype=np.float64) >= 1 - 1e-6
-        row, col = np.nonzero(needed)
-        term_at = part[row, order[row, col]]
-        lo = ix.ptr[term_at].astype(np.int64)
-        n = ix.ptr[term_at + 1] - lo
-        n[term_at < 0] = 0
-        block = ix.cell[_ranges(lo, n)] % ix.blocks
-        r, b = np.divmod(np.unique(np.repeat(row, n) * ix.blocks + block), ix.blocks)
-        if not len(r):
+        reach = np.cumsum(np.take_along_axis(most, order, 1), axis=1, dtype=np.float64)
+        # from the least up, as many terms as cannot reach the bound by themselves need not be opened at first
+        needed = np.empty(part.shape, bool)
+        np.put_along_axis(needed, order, reach >= 1 - 1e-6, 1)
+        needed &= part >= 0
+        spare = np.where(reach < 1 - 1e-6, reach, 0).max(1)
+        key, entry = _entries(ix, part, needed)
+        size = len(part) * ix.blocks
+        bound = np.bincount(key, ix.cell_top[entry], minlength=size).reshape(len(part), -1)
+        alive = ((bound > 0) & (bound + spare[:, None] >= 1 - 1e-6)).any(1)  # the other passages' common terms stay closed
+        rest = _entries(ix, part, (part >= 0) & ~needed & alive[:, None])
+        bound = bound.ravel() + np.bincount(rest[0], ix.cell_top[rest[1]], minlength=size)
+        good = bound >= 1 - 1e-6  # bound by block
+        key, entry = np.concatenate([key, rest[0]]), np.concatenate([entry, rest[1]])
+        inside = good[key]
+        if not inside.any():
             continue
-        qr = part[r]
-        cell = np.where(qr >= 0, qr * ix.blocks + b[:, None], -1)
-        entry = np.minimum(np.searchsorted(ix.cell, cell.ravel()).reshape(cell.shape), len(ix.cell) - 1)
-        there = ix.cell[entry] == cell
-        good = np.flatnonzero(np.where(there, ix.cell_top[entry], 0).sum(1, dtype=np.float64) >= 1 - 1e-6)  # bound by block
-        if not len(good):
-            continue
-        r, b, entry, there = r[good], b[good], entry[good], there[good]
+        key, entry = key[inside], entry[inside]
+        names = np.flatnonzero(good)
         lo = ix.post[entry].astype(np.int64)
-        n = np.where(there, ix.post[entry + 1] - lo, 0).ravel()
-        take = _ranges(lo.ravel(), n)
-        pair = np.repeat(np.repeat(np.arange(len(r)), length), n)
-        score = np.bincount(pair * BLOCK + ix.post_item[take], ix.post_impact[take], minlength=len(r) * BLOCK)
+        n = ix.post[entry + 1] - lo
+        take = _ranges(lo, n)
+        pair = np.repeat(np.searchsorted(names, key), n)
+        score = np.bincount(pair * BLOCK + ix.post_item[take], ix.post_impact[take], minlength=len(names) * BLOCK)
         hit = np.flatnonzero(score >= 1)
-        out_p.append(keep[a + r[hit // BLOCK]])
-        out_i.append(b[hit // BLOCK] * BLOCK + hit % BLOCK)
+        r, block = np.divmod(names[hit // BLOCK], ix.blocks)
+        out_p.append(keep[a + r])
+        out_i.append(block * BLOCK + hit % BLOCK)
     return np.concatenate(out_p), np.concatenate(out_i)
 
 
+def _entries(ix: Index, part: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row * blocks + block, entry) of the blocks that the chosen terms of each row stand in."""
+    row, col = np.nonzero(chosen)
+    term = part[row, col]
+    lo = ix.ptr[term].astype(np.int64)
+    n = ix.ptr[term + 1] - lo
+    entry = _ranges(lo, n)
+    return np.repeat(row, n) * ix.blocks + ix.cell[entry] % ix.blocks, entry
+
+
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """lo, lo + 1, ... of n values each, one after another."""
     return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
