@@ -159,6 +159,29 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (32767 / np.abs(x).max(1))[:, None]).astype(np.int16)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map from (n, vector) to (n, dim, v): unit vectors as 16-bit integers."""
+    for batch in batches:
+        n = batch.column(0).to_numpy()
+        for dim, rows, x in _unit(batch, 1):
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n[rows]), "dim": pa.array(np.full(len(rows), dim, np.int32)), "v": _blobs(_whole(x), np.arange(len(rows) + 1))})
+
+
+def _opened(values: list[bytes]) -> np.ndarray:
+    """Unit rows of packed ones of one length."""
+    x = np.frombuffer(b"".join(values), np.int16).reshape(len(values), -1).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, rows, unit rows) of a batch (n, dim, v, ...)."""
+    dims = batch.column(1).to_numpy()
+    values = batch.column(2).to_pylist()
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        yield int(dim), rows, _opened([values[i] for i in rows] if len(rows) < len(values) else values)
+
+
 def _blobs(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Stretches of rows as binary values."""
     offsets = (cuts * (rows.nbytes // len(rows))).astype(np.int32)
@@ -166,7 +189,7 @@ def _blobs(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def _place(trees: dict[int, list[Tree]], first: int):
-    """Arrow map from (n, vector, asks): for each tree and leaf one row with all its members of up to HELD_ROWS rows of a task."""
+    """Arrow map from (n, dim, v, asks): for each tree and leaf one row with all its members of up to HELD_ROWS rows of a task."""
 
     def flush(dim: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         n, asks, x = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -183,9 +206,9 @@ def _place(trees: dict[int, list[Tree]], first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            n, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-            for dim, rows, x in _unit(batch, 1):
-                held.setdefault(dim, []).append((n[rows], asks[rows], x.astype(np.float32)))
+            n, asks = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for dim, rows, x in _by_dim(batch):
+                held.setdefault(dim, []).append((n[rows], asks[rows], x))
                 if sum(len(h[0]) for h in held[dim]) >= HELD_ROWS:
                     yield from flush(dim, held.pop(dim))
         for dim, rest in held.items():
@@ -241,30 +264,29 @@ def _meet(k: int, least: float):
 
 
 def _asking(trees: dict[int, list[Tree]], p: float):
-    """Arrow map from (n, vector, cosine): the rows whose stopping test does not hold yet."""
+    """Arrow map from (n, dim, v, cosine): the rows whose stopping test does not hold yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cosine = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for dim, rows, x in _unit(batch, 1):
-                more = log_miss(trees[dim], x.astype(np.float32), cosine[rows]) > math.log(1 - p)
+            n, cosine = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for dim, rows, x in _by_dim(batch):
+                more = log_miss(trees[dim], x, cosine[rows]) > math.log(1 - p)
                 yield pa.RecordBatch.from_pydict({"n": pa.array(n[rows][more])})
 
     return run
 
 
 def _scan(sent, k: int, least: float):
-    """Arrow map from (n, vector): (n, other, cosine), the best of each batch for every query it shares a leaf with."""
+    """Arrow map from (n, dim, v): (n, other, cosine), the best of each batch for every query it shares a leaf with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
         for batch in batches:
             n = batch.column(0).to_numpy()
-            for dim, rows, x in _unit(batch, 1):
+            for dim, rows, x in _by_dim(batch):
                 if dim not in asked:
                     continue
                 ids, q, trees = asked[dim]
-                x = x.astype(np.float32)
                 for tree in trees:
                     mine, theirs = tree.leaf(x), tree.leaf(q)
                     for leaf in np.intersect1d(mine, theirs):
@@ -304,10 +326,8 @@ class Forest:
             want = max(FIT_LEAST, FIT_PER_LEAF << self.levels[d])
             pick = rows.filter(F.col("dim") == d)
             pick = pick if n <= want else pick.filter(F.pmod(F.xxhash64("n"), F.lit(n)) < want)
-            got = [r.vector for r in pick.select("vector").toLocalIterator()] if self.levels[d] else [[1.0] * d]
-            x = np.array(got, np.float64)
-            x /= np.abs(x).max(1)[:, None]
-            self.sample[d] = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+            got = [bytes(r.v) for r in pick.select("v").toLocalIterator()] if self.levels[d] else [np.ones(d, np.int16).tobytes()]
+            self.sample[d] = _opened(got)
 
     def trees(self, first: int, last: int) -> dict[int, list[Tree]]:
         return {d: [Tree(x, self.levels[d], i) for i in range(first, last)] for d, x in self.sample.items()}
@@ -318,7 +338,7 @@ class Forest:
 
 
 def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspace, p: float) -> DataFrame:
-    """(n, other) candidates that hold the k best of every asking row with the stated chance."""
+    """(n, other) candidates of rows (n, dim, v) that hold the k best of every asking row with the stated chance."""
     spark = rows.sparkSession
     forest = Forest(rows)
     found = ws.write(spark.createDataFrame([], "n long, other long, cosine double, kth double"))
@@ -327,7 +347,7 @@ def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspac
     single = all(not v for v in forest.levels.values())
     while left > SHARD and used < MAX_TREES:
         trees = forest.trees(used, used + (1 if single else ROUND_TREES))
-        flagged = rows.join(asking.withColumn("asks", F.lit(True)), "n", "left").select("n", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
+        flagged = rows.join(asking.withColumn("asks", F.lit(True)), "n", "left").select("n", "dim", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
         placed = flagged.mapInArrow(_place(trees, used), "dim int, tree int, leaf int, n binary, asks binary, v binary")
         met = placed.groupBy("dim", "tree", "leaf").applyInArrow(_meet(k, least), "n long, other long, cosine double")
         found, before = ws.write(_kept(found.select("n", "other", "cosine").unionByName(met), k)), found
@@ -337,14 +357,14 @@ def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspac
             return found.select("n", "other")
         kth = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)).alias("cosine")
         near = found.groupBy("n").agg(F.max("kth").alias("kth"))
-        test = rows.join(asking, "n").join(near, "n", "left").select("n", "vector", kth)
+        test = rows.join(asking, "n").join(near, "n", "left").select("n", "dim", "v", kth)
         asking = ws.write(test.mapInArrow(_asking(forest.trees(0, used), p), "n long"))
         left = asking.count()
     if not left:
         return found.select("n", "other")
     parts = [found.select("n", "other")]
     shard: list = []
-    for r in rows.join(asking, "n").select("n", "vector").toLocalIterator():
+    for r in rows.join(asking, "n").select("n", "dim", "v").toLocalIterator():
         shard.append(r)
         if len(shard) == SHARD:
             parts.append(_scanned(rows, shard, forest, used, k, least, ws, p))
@@ -361,17 +381,15 @@ def _scanned(rows: DataFrame, shard: list, forest: Forest, used: int, k: int, le
     """(n, other) for a bounded set of queries, which go to the rows: rounds of trees while these read less than the whole."""
     asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in forest.sample:
-        own = [r for r in shard if len(r.vector) == d]
+        own = [r for r in shard if r.dim == d]
         if own:
-            x = np.array([r.vector for r in own], np.float64)
-            x /= np.abs(x).max(1)[:, None]
-            asked[d] = np.array([r.n for r in own], np.int64), (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+            asked[d] = np.array([r.n for r in own], np.int64), _opened([bytes(r.v) for r in own])
     sc = rows.sparkSession.sparkContext
     out: list[DataFrame] = []
 
     def visit(queries: dict, trees: dict[int, list[Tree]]) -> DataFrame:
         sent = sc.broadcast({d: (*q, trees[d]) for d, q in queries.items()})
-        got = ws.write(_kept(rows.select("n", "vector").mapInArrow(_scan(sent, k, least), "n long, other long, cosine double"), k))
+        got = ws.write(_kept(rows.select("n", "dim", "v").mapInArrow(_scan(sent, k, least), "n long, other long, cosine double"), k))
         sent.destroy()
         out.append(got.select("n", "other"))
         return got
@@ -430,7 +448,8 @@ def most_similar(vectors: DataFrame, k: int, min_cosine: float, ws: Workspace, p
     if crowded.count():
         rows = ws.write(rows.join(tail.select("id"), "id", "left_anti"))
     wanted = rows.select("n", "id") if asked is None else rows.select("n", "id").join(asked.select("id"), "id", "left_semi")
-    found = _found(rows.select("n", "vector", "dim"), ws.write(wanted.select("n")), k, min_cosine, ws, p)
+    packed = ws.write(rows.select("n", "vector").mapInArrow(_pack, "n long, dim int, v binary"))
+    found = _found(packed, ws.write(wanted.select("n")), k, min_cosine, ws, p)
     side = rows.select("n", F.struct("id", "vector").alias("v"))
     both = found.distinct().join(side.select("n", F.col("v").alias("x")), "n").join(side.select(F.col("n").alias("other"), F.col("v").alias("y")), "other")
     x, y = F.col("x.vector"), F.col("y.vector")
