@@ -135,10 +135,23 @@ def valid(vectors: DataFrame, key: str, vector: str, dim: Column) -> DataFrame:
 
     Rows of a null key are left out; of several rows of a key the least vector counts.
     """
-    v = F.col(vector)
-    ok = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(ok).select(F.col(key).alias("id"), v.cast("array<float>").alias("vector"))
-    return rows.withColumn("dim", F.size("vector"))
+    ship(vectors.sparkSession)
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector"), dim.cast("int").alias("dim"))
+    return rows.mapInArrow(_usable, "id string, vector array<float>, dim int")
+
+
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map from (id, vector, dim) to the rows that are finite, of the stated length and not all zeros."""
+    for batch in batches:
+        col = batch.column(1)
+        there = col.is_valid().to_numpy(zero_copy_only=False)
+        off = col.offsets.to_numpy()
+        x = col.values.to_numpy(zero_copy_only=False)  # null parts become NaN
+        upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))[off]  # noqa: B023, E731
+        fine, some = np.diff(upto(np.isfinite(x))), np.diff(upto(x != 0))
+        stated = batch.column(2).fill_null(-1).to_numpy()
+        size = np.diff(off)
+        yield batch.filter(pa.array(there & (size == stated) & (fine == size) & (some > 0)))
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -264,14 +277,19 @@ def _meet(k: int, least: float):
 
 
 def _asking(trees: dict[int, list[Tree]], p: float):
-    """Arrow map from (n, dim, v, cosine): the rows whose stopping test does not hold yet."""
+    """Arrow map from (n, dim, v, cosine, miss): the rows whose stopping test does not hold yet after these further trees.
+
+    ``miss``: logarithm of the chance that the trees before have not shown the k-th
+    neighbour, as it was then; a nearer one since would only make it less.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cosine = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            n, cosine, before = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy()
             for dim, rows, x in _by_dim(batch):
-                more = log_miss(trees[dim], x, cosine[rows]) > math.log(1 - p)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(n[rows][more])})
+                miss = before[rows] + log_miss(trees[dim], x, cosine[rows])
+                more = miss > math.log(1 - p)
+                yield pa.RecordBatch.from_pydict({"n": pa.array(n[rows][more]), "miss": pa.array(miss[more])})
 
     return run
 
@@ -342,23 +360,23 @@ def _found(rows: DataFrame, asked: DataFrame, k: int, least: float, ws: Workspac
     spark = rows.sparkSession
     forest = Forest(rows)
     found = ws.write(spark.createDataFrame([], "n long, other long, cosine double, kth double"))
-    asking, used = asked, 0
+    asking, used = asked.select("n", F.lit(0.0).alias("miss")), 0
     left = asking.count()
     single = all(not v for v in forest.levels.values())
     while left > SHARD and used < MAX_TREES:
         trees = forest.trees(used, used + (1 if single else ROUND_TREES))
-        flagged = rows.join(asking.withColumn("asks", F.lit(True)), "n", "left").select("n", "dim", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
+        flagged = rows.join(asking.select("n", F.lit(True).alias("asks")), "n", "left").select("n", "dim", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
         placed = flagged.mapInArrow(_place(trees, used), "dim int, tree int, leaf int, n binary, asks binary, v binary")
         met = placed.groupBy("dim", "tree", "leaf").applyInArrow(_meet(k, least), "n long, other long, cosine double")
         found, before = ws.write(_kept(found.select("n", "other", "cosine").unionByName(met), k)), found
         ws.drop(before)
-        used += ROUND_TREES
         if single:
             return found.select("n", "other")
+        used += ROUND_TREES
         kth = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)).alias("cosine")
         near = found.groupBy("n").agg(F.max("kth").alias("kth"))
-        test = rows.join(asking, "n").join(near, "n", "left").select("n", "dim", "v", kth)
-        asking = ws.write(test.mapInArrow(_asking(forest.trees(0, used), p), "n long"))
+        test = rows.join(asking, "n").join(near, "n", "left").select("n", "dim", "v", kth, "miss")
+        asking = ws.write(test.mapInArrow(_asking(trees, p), "n long, miss double"))
         left = asking.count()
     if not left:
         return found.select("n", "other")
