@@ -65,7 +65,7 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     """The commonest tokens of the corpus: a top-k report."""
-    return search.postings(Tables(spark, d).chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("df"), "term").limit(50)
+    return _words(Tables(spark, d))[0].groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("df"), "term").limit(50)
 
 
 def link_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +133,14 @@ def _terms() -> list[search.Term]:
     return search.parse_terms(QUESTION, search.plain)
 
 
+def _words(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Postings by term and lengths of all chunks, unstemmed, stored until the table changes."""
+    put = Store(t.spark, "words", stamp(t.spark, f"{t.d}/chunks.parquet"))
+    return put("posts", lambda: search.postings(t.chunks).sort("term")), put("lens", lambda: search.lengths(t.chunks))
+
+
 def _found(t: Tables) -> DataFrame:
-    return search.hits(search.postings(t.chunks), _terms())
+    return search.hits(_words(t)[0], _terms())
 
 
 def term_df(spark: SparkSession, d: str) -> DataFrame:
@@ -145,18 +151,18 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
 
 def _stats(t: Tables) -> tuple[DataFrame, search.Stats]:
     found = _found(t)
-    return found, search.term_stats(found, t.chunks.select("chunk_id").count(), len(_terms()))
+    return found, search.term_stats(found, _words(t)[1].count(), len(_terms()))
 
 
 def coverage_mass(spark: SparkSession, d: str) -> DataFrame:
-    found, stats = _stats(Tables(spark, d).stored())
+    found, stats = _stats(Tables(spark, d))
     return search.coverage(found, stats).select("chunk_id", F.round("mass", 6).alias("mass"), "terms_matched", "content_matched")
 
 
 def _ranked(t: Tables, n: int) -> DataFrame:
     """(chunk_id, bm25) of the n best chunks; the matches are written once and read by every step."""
     found = Workspace(t.spark).write(_found(t))
-    lens = search.lengths(t.chunks)
+    lens = _words(t)[1]
     df = [0] * len(_terms())
     for r in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a term
         df[r.t] = r.n
@@ -167,13 +173,13 @@ def _ranked(t: Tables, n: int) -> DataFrame:
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks by BM25 over the whole table: a top-k report."""
-    return _ranked(Tables(spark, d).stored(), 50)
+    return _ranked(Tables(spark, d), 50)
 
 
 def prefix_widening(spark: SparkSession, d: str) -> DataFrame:
     """What each word of the question is searched as, after widening."""
     t = Tables(spark, d)
-    got = search.widen(search.postings(t.chunks), search.parse_terms(QUESTION, search.plain))
+    got = search.widen(_words(t)[0], search.parse_terms(QUESTION, search.plain))
     return spark.createDataFrame([(x.origin, x.stem, x.prefix) for x in got], "origin string, stem string, prefix boolean")
 
 
@@ -199,7 +205,7 @@ def _dims(t: Tables) -> list[int]:
 
 def lane_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Word ranking of the question and meaning ranking of one vector a model, fused by reciprocal ranks."""
-    return _lanes(Tables(spark, d).stored()).select("id", F.round("fusion", 6).alias("fusion"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "meaning_rank")])
+    return _lanes(Tables(spark, d)).select("id", F.round("fusion", 6).alias("fusion"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "meaning_rank")])
 
 
 def byte_budget(spark: SparkSession, d: str) -> DataFrame:

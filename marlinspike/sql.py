@@ -59,6 +59,19 @@ mn AS (SELECT chunk_id AS id, row_number() OVER (ORDER BY cosine DESC, chunk_id)
 fu AS (SELECT id, coalesce(1.0 / (10 + lex.rank), 0) + coalesce(1.2 / (10 + mn.rank), 0) AS fusion, lex.rank AS lexical_rank, mn.rank AS meaning_rank FROM lex FULL JOIN mn USING (id))"""
 
 
+_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: Of numbered lines ``li`` (d, n, line): those outside fences, as ``see``.
+_UNFENCED = """fe AS (SELECT d, n, row_number() OVER (PARTITION BY d ORDER BY n) AS k, regexp_extract(line, '^\\s*(`{3,}|~{3,})', 1) AS mark, trim(regexp_extract(line, '^\\s*(?:`{3,}|~{3,})(.*)$', 1), E' \\t\\r') AS rest
+  FROM li WHERE regexp_matches(line, '^\\s*(`{3,}|~{3,})')),
+st AS (SELECT d, n, k, mark AS opener FROM fe WHERE k = 1 UNION ALL SELECT fe.d, fe.n, fe.k, CASE WHEN opener = '' THEN mark WHEN starts_with(mark, opener) AND rest = '' THEN '' ELSE opener END FROM st JOIN fe ON fe.d = st.d AND fe.k = st.k + 1),
+see AS (SELECT li.d, li.n, line FROM li ASOF LEFT JOIN st ON st.d = li.d AND st.n <= li.n WHERE coalesce(opener, '') = '' AND NOT regexp_matches(line, '^\\s*(`{3,}|~{3,})'))"""
+_LINKS = f"""li AS (SELECT doc_id AS d, generate_subscripts(a, 1) AS n, unnest(a) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '{_BREAK}') AS a FROM documents WHERE text IS NOT NULL)), {_UNFENCED},
+nl AS (SELECT d, generate_subscripts(x, 1) AS n, trim(split_part(split_part(unnest(x), '|', 1), '#', 1), E' \\t\\n\\r' || chr(160)) AS name FROM (SELECT d, regexp_extract_all(string_agg(line, chr(10) ORDER BY n), '!?\\[\\[([^\\]]+)\\]\\]', 1) AS x FROM see GROUP BY 1))"""
+_THREADS = f"""ss AS (SELECT id, path, coalesce(project, '') AS project FROM notes WHERE lower(type) = 'session'),
+bo AS (SELECT note_id AS d, ord, c.chunk_id, generate_subscripts(a, 1) AS i, unnest(a) AS raw FROM (SELECT note_id, ord, chunk_id, regexp_split_to_array(body, '{_BREAK}') AS a FROM c WHERE body IS NOT NULL AND note_id IN (SELECT id FROM ss)) c),
+li AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY ord, chunk_id, i) AS n, CASE WHEN regexp_matches(raw, '^- [A-Z]') THEN '- [ ] ' || substr(raw, 3) ELSE raw END AS line FROM bo), {_UNFENCED},
+it AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY n) - 1 AS pos, trim(regexp_replace(substr(line, 3), '[\\s\\x{{a0}}]+', ' ', 'g')) AS item FROM see WHERE regexp_matches(line, '^- \\[ \\](\\s.*)?$'))"""
+
 SQL = {
     "text_functions": f"""SELECT id AS note_id, {_NORM} AS project_norm, {_NORM} AS project_canon,
   left(sha256(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))), 16) AS thread_key,
@@ -76,6 +89,14 @@ SELECT string_agg(dst_name, '|' ORDER BY n DESC, dst_name) AS spellings, CAST(su
     "missing_vectors": f"SELECT DISTINCT sha256(body) AS hash FROM chunks WHERE body IS NOT NULL AND sha256(body) NOT IN (SELECT hash FROM chunk_vectors WHERE {_OK})",
     "dead_vectors": "SELECT hash FROM chunk_vectors WHERE hash NOT IN (SELECT sha256(body) FROM chunks WHERE body IS NOT NULL)",
     "duplicate_chunks": f"WITH {_C} SELECT sha256(body) AS hash, count(*) AS n, min(chunk_id) AS first_id FROM c WHERE body IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "markdown_links": f"WITH RECURSIVE {_LINKS} SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY n) - 1 AS pos, name FROM nl WHERE name <> ''",
+    "shape_problems": "WITH RECURSIVE l0 AS (" + _LINKS.split("li AS (", 1)[1].split(f"), {_UNFENCED}", 1)[0] + f"""), fr AS (SELECT d, min(n) FILTER (n > 1 AND trim(line, E' \\t') = '---') AS shut FROM l0 GROUP BY 1 HAVING bool_or(n = 1 AND trim(line, E' \\t') = '---')),
+li AS (SELECT l0.* FROM l0 LEFT JOIN fr USING (d) WHERE shut IS NULL OR n > shut), {_UNFENCED}, nl AS ({_LINKS.split("nl AS (", 1)[1]},
+p AS (SELECT CASE WHEN doc_id IN (SELECT d FROM fr WHERE shut IS NULL) THEN 'frontmatter not closed' WHEN doc_id NOT IN (SELECT d FROM nl WHERE name <> '') THEN 'no link' END AS problem FROM documents)
+SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY 1""",
+    "open_threads": f"""WITH RECURSIVE {_C}, {_THREADS}, w AS (SELECT d, pos, item, {_STEM} AS stem, project FROM it JOIN ss ON ss.id = d WHERE project = '' OR {_NORM} = 'quill-board')
+SELECT d AS note_id, pos, item, left(sha256(trim(regexp_replace({_SHOWN.format("item", 200)} || ' (Session — ' || regexp_replace(stem, '^Session — ', '') || CASE WHEN project = '' THEN ', no project' ELSE '' END || ')', '\\s+', ' ', 'g'))), 16) AS key FROM w""",
+    "threads_by_project": f"WITH RECURSIVE {_C}, {_THREADS} SELECT {_NORM} AS project, count(*) AS n FROM it JOIN ss ON ss.id = d GROUP BY 1",
     "term_df": f"{_HITS} SELECT stem AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM h JOIN q USING (t) GROUP BY 1",
     "coverage_mass": f"""{_STATS}, x AS (SELECT t, idf, df, content OR NOT (SELECT bool_or(content) FROM w) AS content FROM w)
 SELECT chunk_id, round(sum(CASE WHEN content THEN idf ELSE 0 END), 6) AS mass, count(*) AS terms_matched, count(*) FILTER (content) AS content_matched FROM h JOIN x USING (t) GROUP BY 1""",

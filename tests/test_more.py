@@ -72,7 +72,7 @@ def test_digest_text(spark):
     full = digest.assemble(row("t1", "t2"), row("g"), row(), (lines, total), 10_000, "proj", "index not refreshed")
     text = digest.text_of(full)
     assert "of proj" in text and "- t2" in text and "3 in all" in text and "Godnotes:" not in text and text.endswith("index not refreshed")
-    cut = digest.assemble(row("t1", "t2"), row("g"), row("n"), ([], 0), 110)
+    cut = digest.assemble(row("t" * 60, "t2"), row("g"), row("n" * 60), ([], 0), 260)
     assert cut["budget_cut"] >= 1 and "more lines did not fit" in digest.text_of(cut)
     assert digest.text_of(digest.assemble(row(), row(), row(), ([], 0), 1000)) == ""
 
