@@ -35,7 +35,7 @@ LEAF_ROWS, MAX_LEVELS, FIT_PER_LEAF, FIT_LEAST = 4096, 12, 16, 8192
 #: Trees of one round; trees after which the rest is compared with everything.
 ROUND_TREES, MAX_TREES = 4, 96
 #: Vectors that still ask are sent to all rows, instead of all rows to them, when so few are left.
-SHARD = 16_384
+SHARD = 32_768
 #: Rows of a task that are dealt to the leaves together.
 HELD_ROWS = 65_536
 #: Vectors travel as 16-bit integers: cosines are off by less than this until they are verified.
