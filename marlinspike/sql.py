@@ -92,7 +92,7 @@ SELECT string_agg(dst_name, '|' ORDER BY n DESC, dst_name) AS spellings, CAST(su
     "markdown_links": f"WITH RECURSIVE {_LINKS} SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY n) - 1 AS pos, name FROM nl WHERE name <> ''",
     "shape_problems": "WITH RECURSIVE l0 AS (" + _LINKS.split("li AS (", 1)[1].split(f"), {_UNFENCED}", 1)[0] + f"""), fr AS (SELECT d, min(n) FILTER (n > 1 AND trim(line, E' \\t') = '---') AS shut FROM l0 GROUP BY 1 HAVING bool_or(n = 1 AND trim(line, E' \\t') = '---')),
 li AS (SELECT l0.* FROM l0 LEFT JOIN fr USING (d) WHERE shut IS NULL OR n > shut), {_UNFENCED}, nl AS ({_LINKS.split("nl AS (", 1)[1]},
-p AS (SELECT CASE WHEN doc_id IN (SELECT d FROM fr WHERE shut IS NULL) THEN 'frontmatter not closed' WHEN doc_id NOT IN (SELECT d FROM nl WHERE name <> '') THEN 'no link' END AS problem FROM documents)
+p AS (SELECT CASE WHEN doc_id IN (SELECT d FROM fr WHERE shut IS NULL) THEN 'frontmatter not closed' WHEN CASE WHEN doc_id IS NULL THEN NOT contains(coalesce(text, ''), '[[') ELSE doc_id NOT IN (SELECT d FROM nl WHERE name <> '' AND d IS NOT NULL) END THEN 'no link' END AS problem FROM documents)
 SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY 1""",
     "open_threads": f"""WITH RECURSIVE {_C}, {_THREADS}, w AS (SELECT d, pos, item, {_STEM} AS stem, project FROM it JOIN ss ON ss.id = d WHERE project = '' OR {_NORM} = 'quill-board')
 SELECT d AS note_id, pos, item, left(sha256(trim(regexp_replace({_SHOWN.format("item", 200)} || ' (Session — ' || regexp_replace(stem, '^Session — ', '') || CASE WHEN project = '' THEN ', no project' ELSE '' END || ')', '\\s+', ' ', 'g'))), 16) AS key FROM w""",
