@@ -246,18 +246,21 @@ def groups(rows: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
     """(id, group) of every record that is similar or equal to another; the group is its least id.
 
     Groups are the connected components of the similar pairs, found without listing
-    them: every record of a bucket is compared with the bucket's least id first, and
-    only members of a bucket that are still in different components are compared with
-    each other, so a bucket of n near copies costs n comparisons.  No link between
-    components is lost.  Copies are joined to their class afterwards, one row each.
+    them: every record of a bucket is compared with the bucket's least id first, which
+    labels it with the least such id that is similar, and that one's own label in turn;
+    only members of a bucket with different labels are compared with each other, so a
+    bucket of n near copies costs n comparisons.  No link between components is lost.  Copies are joined to their class afterwards, one row each.
     """
     s = Sketched(rows, plan, ws)
     heads = s.keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("key", "a")
     live = ws.write(s.keyed.join(heads, "key"))
     star = live.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     first = s.verify(star)
-    part = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), ws)
-    placed = live.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    up = ws.write(first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")))
+    for _ in range(2):  # the least head of a head: records of one label are connected, which is all that is asked of it
+        head = up.select(F.col("id").alias("c"), F.col("c").alias("_c"))
+        up = ws.write(up.join(head, "c", "left").select("id", F.coalesce("_c", "c").alias("c")))
+    placed = live.join(up, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     apart = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     rest = ws.write(placed.join(apart, "key", "left_semi"))
     cross = member_pairs(rest.select("key", "id"), ["key"], ws, unique=True)
