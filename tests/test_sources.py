@@ -122,6 +122,9 @@ def test_flat_host(spark):
     parts = spark.createDataFrame([("2", 1, json.dumps({"type": "text", "text": "two"})), ("2", 0, json.dumps({"type": "text", "text": "one"})), ("2", 2, json.dumps({"type": "text", "text": "x", "synthetic": True}))], "message_id string, ordinal int, data string")
     got = transcripts.host_c(s, spark.createDataFrame(m, "id string, session_id string, time_created timestamp, data string"), parts, spark.createDataFrame([("moved",)], "id string"))
     assert said(got) == [("user", "inline"), ("assistant", "one\ntwo")]
+    ties = [(i, "a", t, json.dumps({"role": "user", "content": i})) for i in ("2", "1", "3", "1")] + [("9", "a", None, json.dumps({"role": "assistant", "content": "untimed"}))]
+    rows = transcripts.host_c(s, spark.createDataFrame(ties, "id string, session_id string, time_created timestamp, data string"), None)
+    assert sorted((r.pos, r.text) for r in rows.collect()) == [(0, "untimed"), (1, "1"), (2, "2"), (3, "3")]
 
 
 def test_shapes():
